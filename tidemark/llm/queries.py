@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import minhash, mixing, packing, token_counts, token_files
+from tidemark.llm import minhash, mixing, packing, quality, token_counts, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +37,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(token_counts.prefix_table(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model")), limit=4096)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_token_files, op6_packing, op8_token_counts, op10_minhash)}
+    return {f.__name__: f for f in (op1_mixing, op4_token_files, op6_packing, op8_token_counts, op9_quality_rules, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import minhash, mixing, packing, quality, token_counts, token_files
+from tidemark.llm import minhash, mixing, packing, quality, secrets, token_counts, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), end_id=0, window=1024))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(token_counts.prefix_table(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model")), limit=4096)
 
@@ -46,7 +50,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_token_files, op6_packing, op8_token_counts, op9_quality_rules, op10_minhash)}
+    return {f.__name__: f for f in (op1_mixing, op4_token_files, op6_packing, op7_secrets, op8_token_counts, op9_quality_rules, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

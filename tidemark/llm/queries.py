@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import minhash, mixing, packing, quality, secrets, token_counts, token_files
+from tidemark.llm import minhash, mixing, packing, pii, quality, secrets, token_counts, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_documents(spark, sf_dir))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, manifest = token_files.write_files(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), end_id=2)
     return token_files.digests(token_files.read_files(path, manifest))
@@ -50,7 +54,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_token_files, op6_packing, op7_secrets, op8_token_counts, op9_quality_rules, op10_minhash)}
+    return {f.__name__: f for f in (op1_mixing, op3_pii, op4_token_files, op6_packing, op7_secrets, op8_token_counts, op9_quality_rules, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

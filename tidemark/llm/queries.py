@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import minhash, mixing, packing, pii, quality, secrets, token_counts, token_files
+from tidemark.llm import minhash, mixing, packing, pii, quality, reshard, secrets, token_counts, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_files(path, manifest))
 
 
+def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = reshard.reshard(_documents(spark, sf_dir), reshard.by_source(8), shards=8)
+    return reshard.report(rows)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), end_id=0, window=1024))
 
@@ -54,7 +59,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_pii, op4_token_files, op6_packing, op7_secrets, op8_token_counts, op9_quality_rules, op10_minhash)}
+    return {f.__name__: f for f in (op1_mixing, op3_pii, op4_token_files, op5_resharding, op6_packing, op7_secrets, op8_token_counts, op9_quality_rules, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import BROADCAST_ROWS, staged
 from tidemark.llm.components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -230,3 +230,24 @@ def near_duplicates(
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), "class_id")
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """The documents whose id is the smallest of their component, with all their columns.
+
+    Rows that repeat the kept doc_id are copies of it: one of them stays, the least by text. Documents
+    without words, and those without an id, link with nothing and stay.
+    """
+    found = near_duplicates(docs, **options)
+    gone = staged(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "minhash-gone")
+    small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    key = docs["doc_id"].cast("long") == F.col("__gone")
+    gone = gone.withColumnRenamed("doc_id", "__gone")
+    out = docs.join(F.broadcast(gone) if small else gone, key, "left_anti")
+    again = staged(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__again")), "minhash-again")
+    if not again.limit(1).count():
+        return out
+    same = docs["doc_id"].cast("long") == F.col("__again")
+    repeated = out.join(again, same, "left_semi")
+    firsts = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), F.struct(F.coalesce("text", F.lit("")))).alias("__row")).select("__row.*")
+    return out.join(again, same, "left_anti").unionByName(firsts)

@@ -123,3 +123,19 @@ def mix(
 
     run = overlap(first, F.least(last, around)) + overlap(F.lit(0), last - around)
     return placed.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.coalesce(run, F.lit(0))).cast("long").alias("taken"), "shard")
+
+
+def mixed(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
+    """The mix itself, whole documents: each as often as the words it gives, rounded by a hash of its id
+    so that the expected words are those taken. Its rows have the columns of ``docs``.
+
+    A doc_id that repeats is counted by all its rows alike: they are repeated as the first of them is.
+    """
+    taken = mix(docs, seed=seed, **options).where("taken > 0")
+    draw = (F.pmod(F.xxhash64(F.lit(seed + 3), "doc_id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    whole = F.floor(F.col("taken") / F.col("size"))
+    copies = (whole + (draw < F.col("taken") / F.col("size") - whole).cast("int")).cast("int")
+    counts = taken.select("doc_id", copies.alias("__copies")).groupBy("doc_id").agg(F.max("__copies").alias("__copies")).where("__copies > 0")
+    key = docs["doc_id"].eqNullSafe(F.col("__id"))
+    rows = docs.join(counts.withColumnRenamed("doc_id", "__id"), key, "inner")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])

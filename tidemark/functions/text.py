@@ -55,7 +55,7 @@ def question_format(question: Column, rules: list[tuple[str, str]] = FORMAT_RULE
 def options(question: Column) -> Column:
     """The options behind ``please select ...:``, split at semicolons."""
     listed = F.rtrim(F.trim(F.regexp_extract(question, r"(?is)please select[^:]*:\s*(.+)$", 1)), F.lit("."))
-    return F.filter(F.transform(F.split(listed, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(listed, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def folded(text: Column, names: tuple[str, ...] = FO_CLASSES) -> Column:
@@ -103,7 +103,7 @@ def stem(path: Column) -> Column:
 
 def canonical_list(text: Column) -> Column:
     """Parts of a comma list in order, joined again; repeats stay."""
-    return F.array_join(F.sort_array(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")), ", ")
+    return F.array_join(F.sort_array(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")), ", ")
 
 
 def replaced_word(text: Column, old: str, new: str) -> Column:
@@ -113,7 +113,7 @@ def replaced_word(text: Column, old: str, new: str) -> Column:
 
 def distinct_list(text: Column) -> Column:
     """Parts of a comma list, the first of those that differ in case alone."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
     none = F.filter(parts, lambda x: F.lit(False))
     kept = F.aggregate(parts, none, lambda a, x: F.when(F.exists(a, lambda y: F.lower(y) == F.lower(x)), a).otherwise(F.concat(a, F.array(x))))
     return F.array_join(kept, ", ")

@@ -27,14 +27,14 @@ def anchors(text: Column) -> Column:
 
 def strict_times(text: Column) -> Column:
     """A comma list of clock times in order; null if any part is something else, or there is none."""
-    parts = F.transform(F.split(text, ","), F.trim)
+    parts = F.transform(F.split(text, ","), lambda x: F.trim(x))
     fine = F.forall(parts, lambda p: F.rlike(p, F.lit(rf"^{TIMESTAMP}$")))
     return F.when(fine, F.sort_array(F.transform(parts, _clock)))
 
 
 def loose_times(text: Column) -> Column:
     """A comma list of h:m:s with number parts of any length; an empty list if one is none."""
-    parts = F.transform(F.split(text, ","), F.trim)
+    parts = F.transform(F.split(text, ","), lambda x: F.trim(x))
     fine = F.forall(parts, lambda p: F.rlike(p, F.lit(r"^[0-9]+:[0-9]+:[0-9]+$")))
     return F.when(fine, F.transform(parts, _clock)).otherwise(F.filter(F.array(F.lit(0).cast("long")), lambda x: F.lit(False)))
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import fresh_path, join_small, staged
 
-ADDED = ("size", "text_crc32", "shard", "old_shard", "chunk", "rank")
+ADDED = ("size", "text_crc32", "shard", "slot", "old_shard", "class", "bucket", "rank", "n_chunks", "chunk_start", "end", "first", "n")
 
 
 def cheapest_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:

@@ -65,7 +65,7 @@ def _split(rows: DataFrame, sizes: DataFrame, overlap: int, shard_rows: int, lev
     pivots = drawn.groupBy("grp", "size").agg(F.slice(F.sort_array(F.collect_list(F.struct("draw", "vector"))), 1, PIVOTS).alias("p"))
     n_chunks = F.ceil(F.col("size") / CHUNK_ROWS)
     pivots = pivots.select("grp", F.slice("p", F.lit(1), wish.cast("int")).alias("p"), F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"))
-    pivots = pivots.select("grp", "chunk", F.posexplode("p").alias("at", "p")).select("grp", "chunk", "at", F.col("p.vector").alias("vector"))
+    pivots = pivots.select("grp", "chunk", F.posexplode("p").alias("at", "p")).select(F.col("grp").alias("of"), F.col("chunk").alias("part"), "at", F.col("p.vector").alias("pivot"))
     chunked = rows.select("key", "grp", "vector", F.pmod(F.xxhash64(F.lit(-level), "key"), n_chunks).alias("chunk"))
 
     def assign(key, own, piv):
@@ -77,12 +77,12 @@ def _split(rows: DataFrame, sizes: DataFrame, overlap: int, shard_rows: int, lev
         if not len(piv):
             return own[["key", "grp", "vector"]]
         piv = piv.sort_values("at")
-        near = np.argsort(-(matrix(own["vector"]) @ matrix(piv["vector"]).T), axis=1, kind="stable")[:, :overlap]
+        near = np.argsort(-(matrix(own["vector"]) @ matrix(piv["pivot"]).T), axis=1, kind="stable")[:, :overlap]
         name = np.array([xxh64_intdigest(f"{key[0]}/{level}/{a}") >> 1 for a in range(len(piv))], dtype=np.int64)
         k = near.shape[1]
         return pd.DataFrame({"key": np.repeat(own["key"].to_numpy(), k), "grp": name[near].ravel(), "vector": [v for v in own["vector"] for _ in range(k)]})
 
-    return chunked.groupBy("grp", "chunk").cogroup(pivots.groupBy("grp", "chunk")).applyInPandas(assign, "key long, grp long, vector array<double>")
+    return chunked.groupBy("grp", "chunk").cogroup(pivots.groupBy("of", "part")).applyInPandas(assign, "key long, grp long, vector array<double>")
 
 
 def shards(rows: DataFrame, overlap: int, shard_rows: int) -> DataFrame:

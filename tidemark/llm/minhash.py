@@ -5,13 +5,14 @@
 2. Documents with equal shingle sets form a class (128-bit digest of the set); its smallest doc_id goes
    on alone, so copies cost one row each, however many there are.
 3. Min-max signature: each of ``permutations`` hash permutations gives its minimum and its maximum, so
-   128 values take 64 hash evaluations. A band holds ``band_rows`` of them; at a similarity of 0.8 a pair
-   misses all 32 bands of 4 with a chance of 5e-8.
-4. Candidates without all pairs of a bucket: each bucket links its members to one hub, first its smallest
-   id, and the pairs are confirmed on full sets. Members that are in one component then need no other
-   comparison. While a large bucket still holds several components, all get another hub, for up to
-   ``star_rounds`` rounds; what is left is compared in full: the rest of a small bucket as pairs across components, that
-   of a large one block by block inside tasks, which give links only.
+   256 values take 128 hash evaluations. A band holds ``band_rows`` of them; at a similarity of 0.8 a pair
+   misses all 42 bands of 6 with a chance of 3e-6. One bit of each value goes along, so that candidates
+   whose bits agree too rarely need no full sets (at 0.8 a chance below 4e-6 to go wrong).
+4. Candidates without all pairs of a bucket: each bucket of the first bands links its members to one hub,
+   its smallest id, and the pairs are confirmed on full sets. Members that are in one component then need
+   no other comparison. Buckets of all bands that still hold several components get another hub, and large
+   ones a third; what is left is compared in full: the rest of a small bucket as pairs across components,
+   that of a large one block by block inside tasks, which give links only.
 5. Components of the confirmed links and of the classes.
 
 Nulls and the like: a null or blank text has n_shingles 0 and is its own component; a null doc_id is
@@ -64,8 +65,9 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     return out
 
 
-def min_max_bands(sets: list[np.ndarray], permutations: int, band_rows: int, seed: int) -> np.ndarray:
-    """(sets, bands) keys; all sets must have members. A permutation is x -> a x + b modulo 2**64, a odd."""
+def min_max_bands(sets: list[np.ndarray], permutations: int, band_rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sets, bands) keys and (sets, words) bits, one bit of each signature value; all sets have members.
+    A permutation is x -> a x + b modulo 2**64, a odd."""
     draw = np.random.default_rng(seed).integers(0, 2**64, size=(permutations, 2), dtype=np.uint64)
     flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
     values = np.empty((2 * permutations, len(sets)), dtype=np.uint64)
@@ -79,7 +81,8 @@ def min_max_bands(sets: list[np.ndarray], permutations: int, band_rows: int, see
         for row in values[j * band_rows : (j + 1) * band_rows]:
             k = _mixed(k * _MIX[0] + row)
         keys[:, j] = k
-    return keys
+    bits = np.packbits((_mixed(values) & np.uint64(1)).astype(np.uint8).T, axis=1)
+    return keys, np.ascontiguousarray(bits).view(np.int64)
 
 
 def _pieces(column: pa.Array, most: int = 4_000_000):
@@ -94,7 +97,7 @@ def _pieces(column: pa.Array, most: int = 4_000_000):
 
 
 def signatures(docs: DataFrame, shingle: int, permutations: int, band_rows: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, d1 and d2 (digest of the set, null for an empty one), bands."""
+    """doc_id, n_shingles, d1 and d2 (digest of the set, null for an empty one), bands, bits."""
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -105,16 +108,18 @@ def signatures(docs: DataFrame, shingle: int, permutations: int, band_rows: int,
                 sets = shingle_sets(texts, shingle)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 bands: list = [None] * len(sets)
+                bits: list = [None] * len(sets)
                 if full:
-                    for i, row in zip(full, min_max_bands([sets[i] for i in full], permutations, band_rows, seed).view(np.int64)):
-                        bands[i] = row
+                    keys, marks = min_max_bands([sets[i] for i in full], permutations, band_rows, seed)
+                    for i, row, mark in zip(full, keys.view(np.int64), marks):
+                        bands[i], bits[i] = row, mark
                 digest = [[signed(xxh64_intdigest(s.tobytes(), seed=k)) if len(s) else None for s in sets] for k in (1, 2)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).slice(begin, len(texts)), pa.array(list(map(len, sets)), pa.int64()), *(pa.array(d, pa.int64()) for d in digest), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "d1", "d2", "bands"],
+                    [part.column(0).slice(begin, len(texts)), pa.array(list(map(len, sets)), pa.int64()), *(pa.array(d, pa.int64()) for d in digest), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "d1", "d2", "bands", "bits"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -126,7 +131,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 sets = [s.view(np.int64) for s in shingle_sets(texts, shingle)]
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(begin, len(texts)), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)  # spares a shuffle of all texts
+    rows = rows.join(wanted, "doc", "left_semi")
     return rows.mapInArrow(read, "doc long, shingles array<long>")
 
 
@@ -137,9 +145,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _close(percent: int):
-    """No pair of such sizes can be missed: the smaller set is at least that share of the larger."""
-    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+def _close(percent: int, permutations: int):
+    """Pairs (na, ba, nb, bb) that may reach the similarity J: the smaller set is at least that share of the
+    larger, which is exact, and the signatures' bits agree often enough. Bits agree with a chance of
+    (1 + J) / 2; the limit lies 4.5 deviations below, counted as if minimum and maximum went together."""
+    p = (1 + percent / 100) / 2
+    least = 2 * (permutations * p - 4.5 * (permutations * p * (1 - p)) ** 0.5)
+    differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (2 * permutations - differ >= least)
 
 
 def _in_blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -179,9 +192,10 @@ def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
     percent: int = 80,
-    permutations: int = 64,
-    band_rows: int = 4,
+    permutations: int = 128,
+    band_rows: int = 6,
     star_rounds: int = 2,
+    first_bands: int = 4,
     seed: int = 11,
 ) -> DataFrame:
     """Returns doc_id, n_shingles, component_id, kept, class_id (the smallest id with the same set)."""
@@ -189,41 +203,47 @@ def near_duplicates(
     # classes of equal sets
     sized = signed.where("d1 is not null and doc_id is not null")
     classes = staged(sized.groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("doc")), "minhash-classes")
-    own = sized.select("doc_id", "d1", "d2", "bands").join(classes.select("doc", "n"), F.col("doc_id") == F.col("doc"))
-    own = own.dropDuplicates(["doc"])
-    spread = own.select("doc", "n", F.explode("bands").alias("bucket"))
-    hubs = spread.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    shared = staged(spread.join(hubs.select("bucket", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n"), "members"), "bucket"), "minhash-buckets")
-
-    pairs = shared.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb"))
-    pairs = staged(pairs.where(_close(percent)).select("a", "b").distinct(), "minhash-pairs")
-    sets = staged(full_sets(docs, shared.select("doc").distinct(), shingle).dropDuplicates(["doc"]), "minhash-sets")
-    links = staged(confirmed(pairs, sets, percent), "minhash-links")
-    tested = pairs
-    for turn in range(1, star_rounds + 2):
-        roots = components(links)
-        now = shared.select("bucket", "doc", "n").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        mixed = now.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members"), F.min(F.struct(F.xxhash64(F.lit(turn), "doc"), "doc", "n", "root")).alias("hub")).where("r0 <> r1")
-        rest = staged(now.join(mixed.select("bucket", "members", "hub"), "bucket"), f"minhash-rest{turn}")
-        if not rest.limit(1).count():
-            break
-        large = turn <= star_rounds and rest.where(F.col("members") > BLOCK_MEMBERS).limit(1).count()
-        if large:  # another hub, against the members of other components
-            pairs = rest.where("hub.root <> root").select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
-            pairs = staged(pairs.where(_close(percent)).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"minhash-pairs{turn}")
-            tested = tested.unionByName(pairs)
+    own = sized.select("doc_id", "bands", "bits").join(classes.select("doc", "n"), F.col("doc_id") == F.col("doc")).dropDuplicates(["doc"])
+    spread = own.select("doc", F.posexplode("bands").alias("band", "bucket"))
+    full = spread.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    open_ = staged(spread.join(full, "bucket").join(own.select("doc", "n", "bits"), "doc"), "minhash-buckets")
+    wanted = staged(open_.select("doc").distinct(), "minhash-wanted")
+    sets = staged(full_sets(docs, wanted, shingle).dropDuplicates(["doc"]), "minhash-sets")
+
+    # the first bands join most copies of a text to one hub each; the others then have little left
+    links, tested, turn = None, None, 0
+    now = open_.withColumn("root", F.col("doc"))
+    while True:
+        if turn == 0:
+            rest, large = now.where(F.col("band") < first_bands), True
+        else:
+            roots = components(links).withColumnRenamed("node", "doc")
+            now = staged(now.drop("root").join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc")), "minhash-now")
+            mixed = now.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+            rest = now = staged(now.join(mixed.select("bucket"), "bucket"), f"minhash-rest{turn}")
+            if not rest.limit(1).count():
+                break
+            large = turn <= star_rounds and (turn == 1 or rest.where(F.col("members") > BLOCK_MEMBERS).limit(1).count() > 0)
+        if large:  # one hub per bucket, against the members of other components
+            order = F.struct("doc") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "doc"))
+            hubs = rest.groupBy("bucket").agg(F.min_by(F.struct("doc", "n", "root", "bits"), order).alias("hub"))
+            pairs = rest.join(hubs, "bucket").where("hub.root <> root").select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"), F.col("bits").alias("ba"), F.col("hub.bits").alias("bb"))
+            pairs = pairs.where(_close(percent, permutations)).select("a", "b").distinct()
+            pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"minhash-pairs{turn}")
+            tested = pairs if tested is None else tested.unionByName(pairs)
             new = confirmed(pairs, sets, percent)
         else:
-            few = rest.where(F.col("members") <= BLOCK_MEMBERS).select("bucket", "doc", "n", "root")
-            x, y = (few.select("bucket", F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}")) for k in "ab")
-            pairs = x.join(y, "bucket").where("a < b and ra <> rb").where(_close(percent)).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+            few = rest.where(F.col("members") <= BLOCK_MEMBERS).select("bucket", "doc", "n", "root", "bits")
+            x, y = (few.select("bucket", F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}"), F.col("bits").alias(f"b{k}")) for k in "ab")
+            pairs = x.join(y, "bucket").where("a < b and ra <> rb").where(_close(percent, permutations)).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
             new = confirmed(staged(pairs, "minhash-pairs-rest"), sets, percent)
             many = rest.where(F.col("members") > BLOCK_MEMBERS)
             if many.limit(1).count():
                 new = new.unionByName(_in_blocks(many.select("bucket", "members", "doc", "root"), sets, percent))
-        links = staged(links.unionByName(new), f"minhash-links{turn}")
+        links = staged(new if links is None else links.unionByName(new), f"minhash-links{turn}")
         if not large:
             break
+        turn += 1
     roots = components(links)
     # every class takes the root of its smallest member, which is the smallest of all
     classes = classes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("d1", "d2", F.col("n").alias("n_shingles"), F.col("doc").alias("class_id"), F.coalesce("root", "doc").alias("root"))

@@ -7,7 +7,6 @@ Every stage works on all that its predecessor kept; all but the last return the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import minhash, mixing, packing, quality, secrets
 from tidemark.llm.common import fresh_path

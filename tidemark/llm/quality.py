@@ -34,8 +34,6 @@ RULES = {
     "punctuation": "n_punct / n_words",
     "repeats": "n_repeat_words / n_words",
     "dup_lines": "n_dup_lines / n_lines",
-    "long_words": "word_chars / n_words",
-    "short_words": "- word_chars / n_words",
     "digits": "n_digits / word_chars",
 }
 

@@ -59,7 +59,8 @@ def _split(rows: DataFrame, sizes: DataFrame, overlap: int, shard_rows: int, lev
     """Rows of large groups (key, grp, vector) in the groups of their nearest pivots' cells."""
     rows = join_small(rows, sizes, ["grp"])
     draw = F.xxhash64(F.lit(level), "key")
-    wish = F.least(F.lit(PIVOTS), F.ceil(2 * F.col("size") / F.lit(shard_rows)))
+    # cells hold each row ``overlap`` times and should come out at half the bound
+    wish = F.least(F.lit(PIVOTS), F.ceil(2 * overlap * F.col("size") / F.lit(shard_rows)))
     # about four times as many rows as pivots, of which those of the least hash are taken
     drawn = rows.where((draw.cast("double") + 2.0**63) / 2.0**64 < 4.0 * wish / F.col("size")).withColumn("draw", draw)
     pivots = drawn.groupBy("grp", "size").agg(F.slice(F.sort_array(F.collect_list(F.struct("draw", "vector"))), 1, PIVOTS).alias("p"))

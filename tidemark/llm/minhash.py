@@ -36,7 +36,7 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 #: Rest members of a bucket that are compared as pairs; larger rests are compared in blocks of as many.
-BLOCK_MEMBERS = 128
+BLOCK_MEMBERS = 48
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -217,6 +217,39 @@ def test_windows_keep_the_mixture(edge):
             assert all(abs(own[s] - 1024 * total[s] / sum(total.values())) <= 2 for s in total)
 
 
+def test_small_sources_are_packed_once(spark):
+    words = [("a", 900), ("b", 7), ("bb", 1), ("c", 1100), ("d", 20), ("e", 700), ("f", 3), (None, 2)]
+    docs = spark.createDataFrame([(i, "word " * n, s) for i, (s, n) in enumerate(words)], "doc_id long, text string, source string")
+    tokens, windows = defaultdict(list), defaultdict(list)
+    for p in packing.pack(docs, BPE, window=16).collect():
+        assert len(p.ids) == 4 * p.length
+        tokens[p.doc_id, p.doc_tokens] += range(p.start, p.start + p.length)
+        windows[p.sequence_id] += range(p.offset, p.offset + p.length)
+    assert len(tokens) == len(words)
+    assert all(sorted(x) == list(range(n)) for (_, n), x in tokens.items())
+    total = sum(n for _, n in tokens)
+    assert sorted(windows) == list(range(-(-total // 16)))
+    assert all(sorted(x) == list(range(min(16, total - 16 * w))) for w, x in windows.items())
+
+
+def test_the_shared_queue_holds_its_shares():
+    rng = np.random.default_rng(1)
+    for sizes in ([1001, 2001], [1] * 300, [1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144], rng.integers(1, 900, 60).tolist()):
+        pool, window = sum(sizes), 64
+        total = max(window * max(sizes) + 1, 3 * pool)
+        seen, ends = [], -(-total // window)
+        for n, path in zip(sizes, packing.tree_paths(sizes)):
+            at, length, w, offset = packing.scatter(0, n, path, pool, total, window)
+            assert at.tolist() == np.cumsum([0, *length[:-1]]).tolist()
+            assert (np.diff(w) >= 0).all()
+            per = np.bincount(w, weights=length, minlength=ends)[: ends - 1]
+            assert abs(per - window * n / total).max() < 4
+            seen += [(a, b + i) for a, b, m in zip(w.tolist(), offset.tolist(), length.tolist()) for i in range(m)]
+        left = np.minimum(packing.boundaries(np.arange(ends + 1), total - pool, total, window), total - pool)
+        size = np.minimum(np.arange(1, ends + 1) * window, total) - np.arange(ends) * window
+        assert sorted(seen) == [(a, o) for a in range(ends) for o in range(left[a + 1] - left[a], size[a])]
+
+
 def test_token_counts(edge, rows):
     import sentencepiece
 

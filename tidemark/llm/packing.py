@@ -11,6 +11,14 @@ its credit up to a deficit below one token, and the tokens of a window add up to
 the round-robin needs no pass over windows one after another: any task knows the deficits at any window
 from the totals alone, and they carry across windows and partitions. Only the last window is short.
 
+C(s, w) - C(s - 1, w) never falls where a queue's quantum is one token or more, nor for the last queue.
+Sources of a smaller quantum therefore share one queue, the last. A Huffman tree of their sizes orders
+its tokens: of the first m tokens of a node, floor(m * L / T) come from its left child, which has L of the
+node's T tokens, and the rest from the right one. Both grow with m by at most one at a time, so each token
+has one place, found by going up the tree. An error at a node weighs as the source's share of the child,
+and nodes' sizes grow at least as Fibonacci's numbers, so in any window such a source is within four tokens
+of its share.
+
 Documents are encoded once, by parts of the input, and staged with their running token counts per source
 in the part. The totals of (part, source), a slim table, give each part's place in each queue; it is
 joined to the staged rows, and each row is cut into pieces where it lies. Ids are never shuffled.
@@ -22,6 +30,7 @@ other columns are left out.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,26 +92,85 @@ def cut(start: int, n: int, below: int, upto: int, total: int, window: int) -> t
     return a[at], (b - a)[at], w[at], (low[1:] - low[:-1])[at] + (a - given[:-1])[at]
 
 
+def tree_paths(sizes: list[int]) -> list[list[int]]:
+    """For each size its way up a Huffman tree: the left child's size (negative if it comes from the right
+    child) and the node's size, node after node."""
+    heap = [(n, i) for i, n in enumerate(sizes)]
+    heapq.heapify(heap)
+    up: dict[int, tuple[int, int, int]] = {}
+    node = len(sizes)
+    while len(heap) > 1:
+        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+        up[x], up[y] = (node, a, a + b), (node, -a, a + b)
+        heapq.heappush(heap, (a + b, node))
+        node += 1
+    out = []
+    for i in range(len(sizes)):
+        path: list[int] = []
+        while i in up:
+            i, left, size = up[i]
+            path += [left, size]
+        out.append(path)
+    return out
+
+
+def raised(k: np.ndarray, left: int, size: int) -> np.ndarray:
+    """Places in a node of the tokens at the places ``k`` of its left child, or of its right one (-left)."""
+    if size >= 2**31:
+        k = k.astype(object)
+    m = -(-(k + 1) * size // left) - 1 if left > 0 else k * size // (size + left)
+    return m.astype(np.int64)
+
+
+def scatter(start: int, n: int, path: list[int], pool: int, total: int, window: int) -> tuple[np.ndarray, ...]:
+    """As ``cut``, for a document of a source in the shared queue, which has ``pool`` tokens and is the last."""
+    k = np.arange(start, start + n, dtype=np.int64)
+    p = k
+    for left, size in zip(path[::2], path[1::2]):
+        p = raised(p, left, size)
+    w = (p if pool == total else raised(p, pool - total, total)) // window
+    low, high = (np.minimum(boundaries(x, total - pool, total, window), total - pool) for x in (w, w + 1))
+    offset = high - low + p - (w * window - low)
+    new = np.flatnonzero((np.diff(p, prepend=-2) != 1) | (np.diff(w, prepend=-1) != 0))
+    return k[new], np.diff(new, append=n), w[new], offset[new]
+
+
+def _shared(sources: DataFrame) -> DataFrame:
+    """source, path, pool: the sources whose quantum is below one token."""
+
+    def paths(own):
+        own = own.sort_values(["size", "source"], na_position="last")
+        return own.assign(path=tree_paths([int(n) for n in own["size"]]), pool=int(own["size"].sum()))[["source", "path", "pool"]]
+
+    return sources.groupBy().applyInPandas(paths, "source string, path array<long>, pool long")
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (binary, u32), doc_tokens, sequence_id, offset, source."""
     rows = staged(encoded(docs, tokenizer, end_id), "pack-ids")
     held = staged(rows.groupBy("part", "source").agg(F.sum("n").alias("held")), "pack-parts")
-    sources = held.groupBy("source").agg(F.sum("held").alias("size"))
+    sizes = held.groupBy("source").agg(F.sum("held").alias("size"))
+    sizes = staged(sizes.withColumn("total", F.sum("size").over(W.partitionBy())), "pack-sizes")
+    small = F.col("size") * F.lit(window) < F.col("total")
     upto = F.sum("size").over(W.orderBy(F.col("source").asc_nulls_last()))
-    sources = sources.select("source", upto.alias("upto"), (upto - F.col("size")).alias("below"), F.sum("size").over(W.partitionBy()).alias("total"))
+    sources = sizes.where(~small).select("source", upto.alias("upto"), (upto - F.col("size")).alias("below"), "total", F.lit(None).cast("array<long>").alias("path"), F.lit(None).cast("long").alias("pool"))
+    none = F.lit(None).cast("long")
+    shared = join_small(sizes.where(small), staged(_shared(sizes.where(small)), "pack-shared"), ["source"])
+    sources = sources.unionByName(shared.select("source", none.alias("upto"), none.alias("below"), "total", "path", "pool"))
     # places of the parts in a queue: a running sum over at most one row per part
     first = F.coalesce(F.sum("held").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     places = join_small(held.select("part", "source", first.alias("first")), staged(sources, "pack-sources"), ["source"])
     placed = join_small(rows, staged(places, "pack-places"), ["part", "source"])
-    placed = placed.select("doc_id", "source", (F.col("first") + F.col("before")).alias("start"), "n", "ids", "below", "upto", "total")
+    placed = placed.select("doc_id", "source", (F.col("first") + F.col("before")).alias("start"), "n", "ids", "below", "upto", "total", "path", "pool")
 
     def pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             cols = part.to_pydict()
             for a in range(0, part.num_rows, 256):
                 out: list[list] = [[] for _ in range(8)]
-                for key, source, start, n, ids, below, upto_, total in zip(*(cols[c][a : a + 256] for c in part.schema.names)):
-                    at, length, w, offset = (x.tolist() for x in cut(start, n, below, upto_, total, window))
+                for key, source, start, n, ids, below, upto_, total, path, pool in zip(*(cols[c][a : a + 256] for c in part.schema.names)):
+                    found = cut(start, n, below, upto_, total, window) if pool is None else scatter(start, n, path, pool, total, window)
+                    at, length, w, offset = (x.tolist() for x in found)
                     k = len(at)
                     out[0] += [key] * k
                     out[1] += [x - start for x in at]

@@ -60,6 +60,20 @@ def test_links_and_components(spark, shard_rows):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
 
 
+def test_a_large_tight_cluster_keeps_its_links(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=64)
+    tight = base / np.linalg.norm(base) + rng.normal(size=(700, 64)) * 0.0235
+    made = np.concatenate([tight, rng.normal(size=(500, 64))]).astype(np.float32)
+    x = vectors.matrix(made)
+    want = ((x @ x.T) >= 0.93).sum(axis=1) - 1
+    assert want[:700].min() > 600
+    frame = spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(made)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(frame, shard_rows=100).collect()}
+    assert all(got[i] <= n for i, n in enumerate(want))
+    assert sum(got.values()) >= 0.99 * want.sum()
+
+
 def test_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 

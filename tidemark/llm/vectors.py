@@ -3,10 +3,11 @@
 1. Usable vectors (label and every component present, finite, not all zero) are collapsed to one row per
    (label, length, components); copies count as a weight. Vectors of different lengths never link.
 2. Overlapping cluster shards: a group (at first a label and length) of more than ``shard_rows`` rows draws
-   pivots by smallest hash, at most ``PIVOTS``, and every row goes to the cells of its nearest
-   ``overlap`` pivots; cells that are still too large split again. Rows meet pivots in chunks of bounded
-   size. A cell that does not shrink (very many almost equal vectors) is cut into tiles, and every pair of
-   its tiles is searched, so it costs more tasks but no larger ones.
+   pivots by smallest hash, at most ``PIVOTS`` and no two that link, so that a tight cluster has one, and
+   every row goes to the cells of its nearest ``overlap`` pivots that one of its links may be nearest to;
+   cells that are still too large split again. Rows meet pivots in chunks of bounded size. A group with
+   fewer than 2 * ``overlap`` such pivots (very many almost equal vectors), or a cell that does not shrink,
+   is cut into tiles, and every pair of its tiles is searched: it costs more tasks but no larger ones.
 3. In each tile a graph is built: candidates are the nearest ``CANDIDATES`` rows, and a candidate is pruned
    if a chosen neighbour is ``ALPHA`` times nearer to it than the row itself. A row's lists of all its
    tiles are united.
@@ -15,8 +16,9 @@
    threshold less ``SLACK`` are looked at until none is new. Similarities are double-precision cosines, so
    each link that is given is verified. A pair that meets in several shards counts in their first alone.
 5. Tasks give counts and local components, never pairs; components are joined over all shards.
-6. Audit: ``AUDIT`` rows drawn by hash are compared with all rows, block by block. Should recall fall below
-   ``least_recall``, the search runs again with more overlap.
+6. Audit: ``AUDIT`` rows drawn by hash are compared with all rows, block by block. Should recall, summed or
+   as the mean over rows, fall below ``least_recall``, the search runs again with more overlap; beyond half
+   of ``PIVOTS`` no group is split. If recall is still too low then, an error is raised.
 
 Nulls and the like: unusable rows have no links and are their own component, a null vec_id too; repeated
 vec_ids are vectors of their own; copies link with each other; an empty table gives an empty result; other
@@ -55,19 +57,39 @@ def _shaped(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("fine", F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
-def _split(rows: DataFrame, sizes: DataFrame, overlap: int, shard_rows: int, level: int) -> DataFrame:
-    """Rows of large groups (key, grp, vector) in the groups of their nearest pivots' cells."""
+def _pivots(rows: DataFrame, sizes: DataFrame, overlap: int, shard_rows: int, level: int, least: float) -> DataFrame:
+    """grp, size, p: pivots of large groups, no two of which link."""
     rows = join_small(rows, sizes, ["grp"])
-    draw = F.xxhash64(F.lit(level), "key")
+    draw = F.xxhash64(F.lit(level), "grp", "key")
     # cells hold each row ``overlap`` times and should come out at half the bound
-    wish = F.least(F.lit(PIVOTS), F.ceil(2 * overlap * F.col("size") / F.lit(shard_rows)))
+    wish = F.least(F.lit(PIVOTS), F.ceil(2 * overlap * F.col("size") / F.lit(shard_rows))).cast("int")
     # about four times as many rows as pivots, of which those of the least hash are taken
     drawn = rows.where((draw.cast("double") + 2.0**63) / 2.0**64 < 4.0 * wish / F.col("size")).withColumn("draw", draw)
-    pivots = drawn.groupBy("grp", "size").agg(F.slice(F.sort_array(F.collect_list(F.struct("draw", "vector"))), 1, PIVOTS).alias("p"))
+    drawn = drawn.groupBy("grp", "size").agg(F.slice(F.sort_array(F.collect_list(F.struct("draw", "vector"))), 1, 4 * PIVOTS)["vector"].alias("p"))
+
+    def thin(parts):
+        for pdf in parts:
+            kept = []
+            for own, most in zip(pdf["p"], pdf["wish"]):
+                s = matrix(own) @ matrix(own).T
+                at: list[int] = []
+                for i in range(len(own)):
+                    if len(at) < most and (s[i, at] < least - SLACK).all():
+                        at.append(i)
+                kept.append([own[i] for i in at])
+            yield pdf.assign(p=kept)[["grp", "size", "p"]]
+
+    return drawn.select("grp", "size", "p", wish.alias("wish")).mapInPandas(thin, "grp long, size long, p array<array<double>>")
+
+
+def _split(rows: DataFrame, pivots: DataFrame, overlap: int, level: int, least: float) -> DataFrame:
+    """Rows of the pivots' groups (key, grp, vector) in the groups of their nearest pivots' cells."""
+    rows = join_small(rows, pivots.select("grp", "size"), ["grp"])
     n_chunks = F.ceil(F.col("size") / CHUNK_ROWS)
-    pivots = pivots.select("grp", F.slice("p", F.lit(1), wish.cast("int")).alias("p"), F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"))
-    pivots = pivots.select("grp", "chunk", F.posexplode("p").alias("at", "p")).select(F.col("grp").alias("of"), F.col("chunk").alias("part"), "at", F.col("p.vector").alias("pivot"))
+    pivots = pivots.select("grp", "p", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"))
+    pivots = pivots.select(F.col("grp").alias("of"), F.col("chunk").alias("part"), F.posexplode("p").alias("at", "pivot"))
     chunked = rows.select("key", "grp", "vector", F.pmod(F.xxhash64(F.lit(-level), "key"), n_chunks).alias("chunk"))
+    reach = 2 * np.arccos(least)  # a linked row's nearest pivot is at most so much farther than the own one
 
     def assign(key, own, piv):
         import pandas as pd
@@ -75,18 +97,19 @@ def _split(rows: DataFrame, sizes: DataFrame, overlap: int, shard_rows: int, lev
 
         if not len(own):
             return pd.DataFrame({"key": [], "grp": [], "vector": []})
-        if not len(piv):
-            return own[["key", "grp", "vector"]]
         piv = piv.sort_values("at")
-        near = np.argsort(-(matrix(own["vector"]) @ matrix(piv["pivot"]).T), axis=1, kind="stable")[:, :overlap]
+        s = matrix(own["vector"]) @ matrix(piv["pivot"]).T
+        near = np.argsort(-s, axis=1, kind="stable")[:, :overlap]
+        far = np.arccos(np.clip(np.take_along_axis(s, near, axis=1), -1, 1))
+        i, j = np.nonzero(far <= far[:, :1] + reach + 1e-6)
         name = np.array([xxh64_intdigest(f"{key[0]}/{level}/{a}") >> 1 for a in range(len(piv))], dtype=np.int64)
-        k = near.shape[1]
-        return pd.DataFrame({"key": np.repeat(own["key"].to_numpy(), k), "grp": name[near].ravel(), "vector": [v for v in own["vector"] for _ in range(k)]})
+        vectors = own["vector"].tolist()
+        return pd.DataFrame({"key": own["key"].to_numpy()[i], "grp": name[near[i, j]], "vector": [vectors[a] for a in i]})
 
     return chunked.groupBy("grp", "chunk").cogroup(pivots.groupBy("of", "part")).applyInPandas(assign, "key long, grp long, vector array<double>")
 
 
-def shards(rows: DataFrame, overlap: int, shard_rows: int) -> DataFrame:
+def shards(rows: DataFrame, overlap: int, shard_rows: int, least: float) -> DataFrame:
     """(key, grp, vector): every row in one or more groups; groups beyond ``shard_rows`` are left only
     where splitting does not help."""
     done, open_, level = None, rows, 0
@@ -95,10 +118,14 @@ def shards(rows: DataFrame, overlap: int, shard_rows: int) -> DataFrame:
         large = sizes.where(F.col("size") > shard_rows)
         if level >= LEVELS or not large.limit(1).count():
             return open_ if done is None else done.unionByName(open_)
-        small = join_small(open_, sizes.where(F.col("size") <= shard_rows).select("grp"), ["grp"], "left_semi")
-        done = small if done is None else done.unionByName(small)
         level += 1
-        open_ = staged(_split(open_, large, overlap if level == 1 else 2, shard_rows, level).dropDuplicates(["key", "grp"]), "vectors-split")
+        own = overlap if level == 1 else max(2, -(-overlap // 2))
+        pivots = staged(_pivots(open_, large, own, shard_rows, level, least), "vectors-pivots").where(F.size("p") >= 2 * own)
+        if not pivots.limit(1).count():
+            return open_ if done is None else done.unionByName(open_)
+        whole = join_small(open_, pivots.select("grp"), ["grp"], "left_anti")
+        done = whole if done is None else done.unionByName(whole)
+        open_ = staged(_split(open_, pivots, own, level, least).dropDuplicates(["key", "grp"]), "vectors-split")
 
 
 def robust_lists(x: np.ndarray) -> np.ndarray:
@@ -237,7 +264,7 @@ def _lowest(keys: np.ndarray, q: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _links(rows: DataFrame, least: float, overlap: int, shard_rows: int) -> DataFrame:
     """key, links (weight of other rows linked), and local roots: one row per row and tile pair."""
-    placed = staged(shards(rows.select("key", F.shiftrightunsigned(F.xxhash64("label", F.size("vector")), 1).alias("grp"), "vector"), overlap, shard_rows), "vectors-placed")
+    placed = staged(shards(rows.select("key", F.shiftrightunsigned(F.xxhash64("label", F.size("vector")), 1).alias("grp"), "vector"), overlap, shard_rows, least), "vectors-placed")
     sizes = placed.groupBy("grp").agg(F.count("*").alias("size"))
     tiled = join_small(placed, staged(sizes, "vectors-groups"), ["grp"])
     n_tiles = F.ceil(F.col("size") / F.lit(shard_rows))
@@ -291,11 +318,12 @@ def _links(rows: DataFrame, least: float, overlap: int, shard_rows: int) -> Data
     return pairs.groupBy("grp", "i", "j").applyInPandas(look, "key long, links long, root long")
 
 
-def audit(rows: DataFrame, links: DataFrame, least: float) -> tuple[int, int]:
-    """(found, true) links of at most AUDIT rows drawn by hash, the latter against all rows, in blocks."""
+def audit(rows: DataFrame, links: DataFrame, least: float) -> float:
+    """Recall of the links of at most AUDIT rows drawn by hash, which are compared with all rows, in blocks:
+    the summed one or the mean over rows, whichever is less."""
     drawn = rows.select("key", "label", "vector").orderBy(F.xxhash64(F.lit(7), "key")).limit(AUDIT).collect()
     if not drawn:
-        return 0, 0
+        return 1.0
     by: dict[tuple[str, int], list] = {}
     for r in drawn:
         by.setdefault((r["label"], len(r["vector"])), []).append(r)
@@ -316,10 +344,13 @@ def audit(rows: DataFrame, links: DataFrame, least: float) -> tuple[int, int]:
                         total[i] = total.get(i, 0) + n
         yield pa.RecordBatch.from_pandas(pd.DataFrame({"key": list(total), "n": list(total.values())}, dtype="int64"), preserve_index=False)
 
-    true = rows.select("key", "label", "vector", "weight").mapInArrow(compare, "key long, n long").agg(F.sum("n")).first()[0] or 0
+    true = dict(rows.select("key", "label", "vector", "weight").mapInArrow(compare, "key long, n long").groupBy("key").agg(F.sum("n")).where("sum(n) > 0").collect())
     ids = F.broadcast(rows.sparkSession.createDataFrame([(r["key"],) for r in drawn], "key long"))
-    found = links.join(ids, "key", "left_semi").agg(F.sum("links")).first()[0] or 0
-    return int(found), int(true)
+    found = dict(links.join(ids, "key", "left_semi").groupBy("key").agg(F.sum("links")).collect())
+    if not true:
+        return 1.0
+    each = [min(found.get(k, 0), n) for k, n in true.items()]
+    return min(sum(each) / sum(true.values()), float(np.mean([f / n for f, n in zip(each, true.values())])))
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93, overlap: int = 3, shard_rows: int = 1024, least_recall: float = 0.99) -> DataFrame:
@@ -330,9 +361,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, overlap: int = 3, s
     rows = staged(fine.groupBy(*equal).agg(F.min("vec_id").alias("key"), F.count("*").alias("weight")), "vectors-classes")
     while True:
         links = staged(_links(rows, least, overlap, shard_rows), "vectors-links")
-        found, true = audit(rows, links, least)
-        if found >= least_recall * true or overlap >= PIVOTS:
+        recall = audit(rows, links, least)
+        if recall >= least_recall:
             break
+        if 2 * overlap > PIVOTS:
+            raise RuntimeError(f"recall of links is {recall:.4f} without splitting, below {least_recall}")
         overlap *= 2
     sums = links.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(links.where("root <> key"), "key", "root").withColumnRenamed("node", "key")

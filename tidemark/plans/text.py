@@ -18,7 +18,7 @@ ASKS = (
 
 def _questions(s, d):
     asks = F.array(*map(F.lit, ASKS))
-    q = F.concat_ws(" ", F.substring("text", 1, 40), F.element_at(asks, (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(ASKS))) + 1).cast("int")))
+    q = F.concat_ws(" ", "text", F.element_at(asks, (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(ASKS))) + 1).cast("int")))
     return table(s, d, "conversations").select("conv_id", "turn", q.alias("q"))
 
 

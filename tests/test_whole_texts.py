@@ -10,3 +10,15 @@ def test_questions_hold_the_whole_text(spark, tmp_path):
     assert all(t in prompts[i] for i, t in texts.items())
     templates = [r.template for r in text.txt_template_fold(spark, str(tmp_path)).collect()]
     assert any("at <TS> the <FO> was seen" in t for t in templates)
+
+
+def test_documents_are_read_to_their_ends(spark, tmp_path):
+    parts = [a + b + c for a in "bcdfghjklm" for b in "aeiouwxyzq" for c in "npqrstvxzk"]
+    doc = "First sentence. " + "x " * 150 + " ".join([*parts, *parts, "the", "erand"])
+    spark.createDataFrame([(i, doc) for i in range(12)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = lambda f, c: {r.doc_id: r[c] for r in f(spark, str(tmp_path)).collect()}
+    assert set(out(text.txt_entities_longest_first, "hits")[1].split(",")) >= {"erand", "the"}
+    assert out(text.txt_word_replace, "v")[1] == doc.replace(" the ", " mesh ")
+    assert out(text.txt_distinct_list, "v")[1] == ", ".join(["First", "sentence", "x", *parts, "the", "erand"])
+    assert all(p in out(text.txt_canonical_list, "v")[1] for p in ("the", "erand", parts[-1]))
+    assert set(out(text.txt_sentence_dropout, "v").values()) <= {doc, doc.removeprefix("First sentence. ")}

@@ -61,7 +61,7 @@ WORDS = ("then", "the", "erand", "and", "tion", "tionen", "en")
 
 
 def txt_entities_longest_first(s, d):
-    return table(s, d, "documents").select("doc_id", F.array_join(X.entities(F.substring("text", 1, 60), WORDS), ",").alias("hits"))
+    return table(s, d, "documents").select("doc_id", F.array_join(X.entities(F.col("text"), WORDS), ",").alias("hits"))
 
 
 def _entity_sql():
@@ -121,17 +121,17 @@ _LIST = "with " + ANS + ", b as (select doc_id, {t} as t from an), p as (select
 
 
 def txt_word_replace(s, d):
-    rows = table(s, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("t"))
+    rows = table(s, d, "documents").select("doc_id", F.col("text").alias("t"))
     return rows.select("doc_id", X.replaced_word(F.col("t"), "the", "mesh").alias("v"))
 
 
 def txt_distinct_list(s, d):
-    rows = table(s, d, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 80), "[^A-Za-z]+", ",").alias("t"))
+    rows = table(s, d, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z]+", ",").alias("t"))
     return rows.select("doc_id", X.distinct_list(F.col("t")).alias("v"))
 
 
 def txt_canonical_list(s, d):
-    rows = table(s, d, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z]+", ",").alias("t"))
+    rows = table(s, d, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z]+", ",").alias("t"))
     return rows.select("doc_id", X.canonical_list(F.col("t")).alias("v"))
 
 
@@ -152,7 +152,7 @@ def txt_paraphrase(s, d):
 def txt_sentence_dropout(s, d):
     """The first sentence goes for a seeded third of the documents."""
     cut = F.regexp_replace("t", r"^[^.]*\.\s*", "")
-    rows = table(s, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("t"))
+    rows = table(s, d, "documents").select("doc_id", F.col("text").alias("t"))
     return rows.select("doc_id", F.when(X.coin("drop", F.col("doc_id"), 1 / 3), cut).otherwise(F.col("t")).alias("v"))
 
 

@@ -1,6 +1,7 @@
 """Queries over texts read them to their ends."""
 
-from tidemark.plans import text
+from tidemark.plans import relational, text
+from tidemark.plans.base import events
 
 
 def test_questions_hold_the_whole_text(spark, tmp_path):
@@ -22,3 +23,21 @@ def test_documents_are_read_to_their_ends(spark, tmp_path):
     assert out(text.txt_distinct_list, "v")[1] == ", ".join(["First", "sentence", "x", *parts, "the", "erand"])
     assert all(p in out(text.txt_canonical_list, "v")[1] for p in ("the", "erand", parts[-1]))
     assert set(out(text.txt_sentence_dropout, "v").values()) <= {doc, doc.removeprefix("First sentence. ")}
+
+
+def test_edit_score_of_whole_sequences(spark, sf):
+    seqs = {}
+    for r in events(spark, sf).orderBy("event_id").collect():
+        own = seqs.setdefault(r.user_id, [])
+        if not own or own[-1] != r.cls[0]:
+            own.append(r.cls[0])
+    assert max(map(len, seqs.values())) > 40
+    got = {r.user_id: r.score for r in relational.sc_edit_score(spark, sf).collect()}
+    assert got.keys() == seqs.keys()
+    for user, s in seqs.items():
+        row = list(range(len(s) + 1))
+        for i, a in enumerate(s, 1):
+            last, row = row, [i]
+            for j, b in enumerate(reversed(s), 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (a != b)))
+        assert abs(got[user] - 100 * (1 - row[-1] / len(s))) < 1e-6

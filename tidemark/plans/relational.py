@@ -374,7 +374,7 @@ def sc_edit_score(s, d):
     e = events(s, d).withColumn("c", F.substring("cls", 1, 1))
     w = W.partitionBy("user_id").orderBy("event_id")
     seg = e.withColumn("prev", F.lag("c").over(w)).where("prev is null or prev <> c")
-    t = seg.groupBy("user_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "c"))), lambda x: x["c"]), 1, 40).alias("s"))
+    t = seg.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "c"))), lambda x: x["c"]).alias("s"))
     return t.select("user_id", F.round(stats.edit_score(F.col("s"), F.reverse("s")), 9).alias("score"))
 
 

@@ -53,9 +53,11 @@ def question_format(question: Column, rules: list[tuple[str, str]] = FORMAT_RULE
 
 
 def options(question: Column) -> Column:
-    """The options behind ``please select ...:``, split at semicolons."""
-    listed = F.rtrim(F.trim(F.regexp_extract(question, r"(?is)please select[^:]*:\s*(.+)$", 1)), F.lit("."))
-    return F.filter(F.transform(F.split(listed, ";"), lambda x: F.trim(x)), lambda x: x != "")
+    """The options of a menu: what stands behind the colon after ``please select``, split at semicolons."""
+    at = F.instr(F.lower(question), F.lit("please select"))
+    menu = F.when(at > 0, F.substring(question, at, F.length(question)))
+    listed = F.when(F.instr(menu, F.lit(":")) > 0, F.substring(menu, F.instr(menu, F.lit(":")) + 1, F.length(menu)))
+    return F.filter(F.transform(F.split(F.rtrim(F.btrim(F.coalesce(listed, F.lit("")), F.lit(" \t\n\r")), F.lit(".")), ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def folded(text: Column, names: tuple[str, ...] = FO_CLASSES) -> Column:
@@ -112,41 +114,44 @@ def replaced_word(text: Column, old: str, new: str) -> Column:
 
 
 def distinct_list(text: Column) -> Column:
-    """Parts of a comma list, the first of those that differ in case alone."""
+    """Parts of a comma list, the first of those that differ in case alone, in their order."""
     parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
-    none = F.filter(parts, lambda x: F.lit(False))
-    kept = F.aggregate(parts, none, lambda a, x: F.when(F.exists(a, lambda y: F.lower(y) == F.lower(x)), a).otherwise(F.concat(a, F.array(x))))
-    return F.array_join(kept, ", ")
+    low = F.transform(F.array(F.transform(parts, lambda x: F.lower(x))), lambda k: F.transform(F.array_distinct(k), lambda x: F.array_position(k, x)))[0]
+    return F.array_join(F.transform(low, lambda i: F.get(parts, (i - 1).cast("int"))), ", ")
 
 
 #: Marks that may trail an answer.
 TRAIL = " \t\n.。、,；;:：!！?？'\"`*"
 
 
+#: The short answer of a format is what its first pattern with a match captures.
+_ENDS = r"[ \t\n.。、,；;:：!！?？'\"`*]*"
+SHORT_ANSWERS = {
+    "number": (r"([0-9]+)",),
+    "percentage": (r"([0-9]+(?:\.[0-9]+)?)",),
+    "binary": (rf"(?i)^{_ENDS}(yes|no){_ENDS}$", r"(?i)^\s*(yes|no)\b"),
+}
+#: A word that may be a class nobody has named yet.
+UNNAMED = r"[A-Za-z][A-Za-z /-]{0,29}"
+
+
 def normalised(answer: Column, form: str, classes: tuple[str, ...] = FO_CLASSES, first_line: bool = False, unknown: bool = False) -> Column:
     """An answer brought into its format's shape; what does not fit stays as it is.
 
     ``first_line`` cuts it at the first line end; ``unknown`` takes class-like words beside the classes.
     """
-    text = F.trim(answer)
-    if first_line:
-        text = F.trim(F.split(text, "\n")[0])
-    if form in ("number", "percentage"):
-        got = F.regexp_extract(text, r"[0-9]+" if form == "number" else r"[0-9]+(?:\.[0-9]+)?", 0)
-        return F.when(got != "", got).otherwise(text)
-    bare = lambda c: F.btrim(c, F.lit(TRAIL))
-    if form == "binary":
-        got = F.regexp_extract(F.lower(text), r"^(yes|no)\b", 1)
-        return F.when(F.lower(bare(text)).isin("yes", "no"), F.lower(bare(text))).when(got != "", got).otherwise(text)
-    if form == "fo_class":
-        parts = F.filter(F.transform(F.split(text, ","), bare), lambda x: x != "")
-        known = F.array(*[F.lit(c.lower()) for c in (*classes, "none")])
-        right = (F.size(parts) > 0) & F.forall(parts, lambda x: F.array_contains(known, F.lower(x)))
-        out = F.when(right & F.exists(parts, lambda x: F.lower(x) == "none"), "none").when(right, F.array_join(parts, ", "))
-        if unknown:
-            out = out.when((F.size(parts) > 0) & F.forall(parts, lambda x: F.rlike(x, F.lit(r"^[A-Za-z][A-Za-z /\-]{0,29}$"))), F.array_join(parts, ", "))
-        return out.otherwise(text)
-    return text
+    text = F.trim(F.substring_index(F.trim(answer), "\n", 1) if first_line else answer)
+    if form in SHORT_ANSWERS:
+        found = [F.nullif(F.lower(F.regexp_extract(text, p, 1)), F.lit("")) for p in SHORT_ANSWERS[form]]
+        return F.coalesce(*found, text)
+    if form != "fo_class":
+        return text
+    # a list is rewritten if every part of it is in one of the vocabularies, "none" standing for all
+    named = f"(?i)^(?:{'|'.join((*classes, 'none'))})$"
+    parts = F.filter(F.transform(F.split(text, ","), lambda c: F.btrim(c, F.lit(TRAIL))), lambda x: x != "")
+    every = lambda pattern: (F.size(parts) > 0) & F.forall(parts, lambda x: F.rlike(x, F.lit(pattern)))
+    joined = F.when(F.exists(parts, lambda x: F.rlike(x, F.lit("(?i)^none$"))), "none").otherwise(F.array_join(parts, ", "))
+    return F.when(every(named), joined).when(every(f"^{UNNAMED}$") if unknown else F.lit(False), F.array_join(parts, ", ")).otherwise(text)
 
 
 def quadrant(x: Column, y: Column, width: Column, height: Column) -> Column:

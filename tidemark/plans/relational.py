@@ -433,13 +433,29 @@ def sc_error_buckets(s, d):
 
 
 def sc_contamination(s, d):
-    """Share of documents that hold the first eight words of a benchmark item, found by shingle joins."""
-    words = lambda c: F.split(F.trim(c), r"\s+")
-    b = table(s, d, "benchmark").select(F.array_join(F.slice(words("text"), 1, 8), " ").alias("k")).distinct()
-    w = table(s, d, "documents").select("doc_id", "source", words("text").alias("w")).where(F.size("w") >= 8)
-    g = w.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))).alias("k"))
-    hit = g.join(b, "k", "left_semi").select("doc_id").distinct().withColumn("hit", F.lit(1))
-    return _docs(s, d).join(hit, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+    """Documents that hold any eight words in a row of a benchmark item, or a shorter item as a whole.
+
+    Windows meet as 64-bit hashes; the words behind equal hashes are then compared.
+    """
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    window = lambda i: F.slice("w", i, F.least(F.size("w"), F.lit(8)))
+    item = table(s, d, "benchmark").select(words.alias("w"))
+    item = item.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1))), window)).alias("k")).distinct()
+    item = item.select(F.xxhash64("k").alias("h"), F.col("k").alias("item"), F.size("k").alias("len"))
+    docs = table(s, d, "documents").select("doc_id", words.alias("w"))
+    sizes = [r[0] for r in item.select("len").distinct().collect()]  # of 1 to 8
+    hit = None
+    for n in sizes:
+        windows = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.slice("w", i, n)))  # noqa: B023
+        own = docs.where(F.size("w") >= n).select("doc_id", F.explode(windows).alias("h"))
+        found = own.join(item.where(F.col("len") == n).select("h").distinct(), "h", "left_semi").select("doc_id", "h").distinct()
+        # few documents are left; their words are compared
+        there = found.join(item.where(F.col("len") == n), "h").join(docs, "doc_id")
+        there = there.where(F.contains(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("item", " "), F.lit(" ")))).select("doc_id")
+        hit = there if hit is None else hit.unionByName(there)
+    rows = _docs(s, d)
+    hits = hit.distinct().withColumn("hit", F.lit(1)) if hit is not None else rows.select("doc_id", F.lit(1).alias("hit")).where("false")
+    return rows.join(hits, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
 
 
 # --- serving
@@ -596,7 +612,7 @@ QUERIES = {
     ),
     "sc_edit_score": (
         sc_edit_score,
-        "with " + EV + ", e as (select user_id, event_id, substr(cls, 1, 1) as c from ev), l as (select *, lag(c) over (partition by user_id order by event_id) as p from e), s as (select user_id, c, row_number() over (partition by user_id order by event_id) as k from l where p is null or p <> c), t as (select user_id, string_agg(c, '' order by k) as x from s where k <= 40 group by 1) select user_id, round(100.0 * (1 - levenshtein(x, reverse(x)) / length(x)), 9) as score from t",
+        "with " + EV + ", e as (select user_id, event_id, substr(cls, 1, 1) as c from ev), l as (select *, lag(c) over (partition by user_id order by event_id) as p from e), s as (select user_id, c, row_number() over (partition by user_id order by event_id) as k from l where p is null or p <> c), t as (select user_id, string_agg(c, '' order by k) as x from s group by 1) select user_id, round(100.0 * (1 - levenshtein(x, reverse(x)) / length(x)), 9) as score from t",
     ),
     "sc_set_diff_classes": (
         sc_set_diff_classes,
@@ -621,8 +637,9 @@ QUERIES = {
     "sc_error_buckets": (sc_error_buckets, "with " + GU + ", l as (select user_id, max(hr) - min(hr) as len from ev group by 1) select case when len < 600 then 'short' when len < 660 then 'middle' else 'long' end as bucket, count(*) as n, count(*) filter (where cls <> guess) as wrong from gu join l using (user_id) group by 1"),
     "sc_contamination": (
         sc_contamination,
-        "with b as (select distinct array_to_string(list_slice(regexp_split_to_array(trim(text), '\\s+'), 1, 8), ' ') as k from benchmark), w as (select doc_id, regexp_split_to_array(trim(text), '\\s+') as w from documents), g as (select doc_id, w, unnest(range(1, len(w) - 6)) as i from w where len(w) >= 8), "
-        "h as (select distinct doc_id from g where array_to_string(list_slice(w, i, i + 7), ' ') in (select k from b)) select source, count(*) as n, count(h.doc_id) as hits from documents d left join h using (doc_id) group by 1",
+        "with bw as (select regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') as w from benchmark), b as (select distinct array_to_string(list_slice(w, i, i + 7), ' ') as k from (select w, unnest(range(1, greatest(len(w) - 6, 2))) as i from bw)), "
+        "t as (select doc_id, ' ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' ' as t from documents), "
+        "h as (select distinct doc_id from t where len(list_filter((select list(k) from b), lambda k: contains(t, ' ' || k || ' '))) > 0) select source, count(*) as n, count(h.doc_id) as hits from documents d left join h using (doc_id) group by 1",
     ),
     "srv_vote_majority": (
         srv_vote_majority,

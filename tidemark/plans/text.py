@@ -23,9 +23,15 @@ def _questions(s, d):
 
 
 _sql = lambda x: "'" + x.replace("'", "''") + "'"
-QS = f"qs as (select conv_id, turn, concat_ws(' ', substr(text, 1, 40), [{', '.join(map(_sql, ASKS))}][(conv_id + turn) % {len(ASKS)} + 1]) as q from conversations)"
-_CASES = " ".join(f"when regexp_matches(q, {_sql(p)}) then '{n}'" for n, p in X.FORMAT_RULES)
-FORM = f"(case {_CASES} else 'open_ended' end)"
+QS = f"qs as (select conv_id, turn, concat_ws(' ', text, [{', '.join(map(_sql, ASKS))}][(conv_id + turn) % {len(ASKS)} + 1]) as q from conversations)"
+#: The expected format of each of ASKS, in their order, for a text that asks for no format itself; the twin
+#: states results, not the rules, and falls back on plain searches of words where a text has such a phrase.
+EXPECTED = ("number", "binary", "multiple_choice", "time", "open_ended", "fo_class", "percentage", "open_ended", "open_ended", "open_ended", "open_ended")
+_L = "lower(q)"
+FORM = (
+    f"(case when contains({_L}, 'in %') or contains({_L}, 'xx%') or contains({_L}, 'percentage') then 'percentage' when contains({_L}, 'provide a single integer') then 'open_ended' "
+    f"else [{', '.join(map(_sql, EXPECTED))}][(conv_id + turn) % {len(ASKS)} + 1] end)"
+)
 
 
 def txt_detect_format(s, d):
@@ -66,7 +72,7 @@ def txt_entities_longest_first(s, d):
 
 def _entity_sql():
     names = sorted(WORDS, key=lambda n: (-len(n), n))
-    steps, prev = ["e0 as (select doc_id, lower(substr(text, 1, 60)) as rest, '' as hits from documents)"], "e0"
+    steps, prev = ["e0 as (select doc_id, lower(text) as rest, '' as hits from documents)"], "e0"
     for i, n in enumerate(names, 1):
         steps.append(f"e{i} as (select doc_id, replace(rest, '{n}', ' ') as rest, case when contains(rest, '{n}') then case when hits = '' then '{n}' else hits || ',{n}' end else hits end as hits from {prev})")
         prev = f"e{i}"
@@ -86,13 +92,15 @@ def txt_path_stem(s, d):
 
 
 def _answers(s, d):
-    """Answers of several shapes made of a document's first words and its id."""
-    a = F.element_at(F.array(*[F.concat(F.lit(p), F.col("doc_id").cast("string"), F.lit(e)) for p, e in SHAPES]), (F.pmod("doc_id", F.lit(len(SHAPES))) + 1).cast("int"))
+    """Answers of several shapes about a document's id, or about its whole text."""
+    fill = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.col("doc_id").cast("string")).otherwise(F.concat(F.lit(" "), F.coalesce("text", F.lit(""))))
+    a = F.element_at(F.array(*[F.concat(F.lit(p), fill, F.lit(e)) for p, e in SHAPES]), (F.pmod("doc_id", F.lit(len(SHAPES))) + 1).cast("int"))
     return table(s, d, "documents").select("doc_id", a.alias("a"))
 
 
 SHAPES = (("about ", "."), ("Yes, it is ", ""), ("NO", "!"), ("no.", ""), ("around ", ".5%"), ("Clip, Sponge., ", ""), ("clip, none; ", ""), ("none.", ""), (" Specimen Bag , Mesh\nx", " y"))
-ANS = "an as (select doc_id, [" + ", ".join(f"{_sql(p)} || doc_id || {_sql(e)}" for p, e in SHAPES) + f"][doc_id % {len(SHAPES)} + 1] as a from documents)"
+_FILL = "case when doc_id % 2 = 0 then cast(doc_id as varchar) else ' ' || coalesce(text, '') end"
+ANS = "an as (select doc_id, [" + ", ".join(f"{_sql(p)} || {_FILL} || {_sql(e)}" for p, e in SHAPES) + f"][doc_id % {len(SHAPES)} + 1] as a from documents)"
 _TRAIL = "' ' || chr(9) || chr(10) || '.。、,；;:：!！?？''\"`*'"
 
 
@@ -273,19 +281,19 @@ QUERIES = {
     "txt_normalize_list": (txt_normalize_list, _LIST.format(t="trim(regexp_replace(a, '[0-9]+', '', 'g'))", more="")),
     "txt_normalize_line": (txt_normalize_line, _LIST.format(t="trim(string_split(trim(regexp_replace(a, '[0-9]+', '', 'g')), chr(10))[1])", more="when len(ps) > 0 and len(list_filter(ps, lambda x: not regexp_full_match(x, '[A-Za-z][A-Za-z /\\-]{0,29}'))) = 0 then array_to_string(ps, ', ')")),
     "txt_normalize_changed": (txt_normalize_changed, f"with {ANS} select count(*) as n, count(*) filter (where a <> case when regexp_extract(a, '[0-9]+') <> '' then regexp_extract(a, '[0-9]+') else trim(a) end) as changed from an"),
-    "txt_word_replace": (txt_word_replace, "select doc_id, regexp_replace(regexp_replace(substr(text, 1, 80), '\\bThe\\b', 'Mesh', 'g'), '\\bthe\\b', 'mesh', 'g') as v from documents"),
+    "txt_word_replace": (txt_word_replace, "select doc_id, regexp_replace(regexp_replace(text, '\\bThe\\b', 'Mesh', 'g'), '\\bthe\\b', 'mesh', 'g') as v from documents"),
     "txt_distinct_list": (
         txt_distinct_list,
-        "with p as (select doc_id, unnest(string_split(regexp_replace(substr(text, 1, 80), '[^A-Za-z]+', ',', 'g'), ',')) as x, unnest(range(1000)) as i from documents), f as (select doc_id, i, x from p where x is not null and x <> ''), "
+        "with p as (select doc_id, unnest(string_split(regexp_replace(text, '[^A-Za-z]+', ',', 'g'), ',')) as x, generate_subscripts(string_split(regexp_replace(text, '[^A-Za-z]+', ',', 'g'), ','), 1) as i from documents), f as (select doc_id, i, x from p where x is not null and x <> ''), "
         "k as (select *, row_number() over (partition by doc_id, lower(x) order by i) as k from f), j as (select doc_id, string_agg(x, ', ' order by i) as v from k where k = 1 group by 1) select doc_id, coalesce(v, '') as v from documents left join j using (doc_id)",
     ),
-    "txt_canonical_list": (txt_canonical_list, "with p as (select doc_id, list_filter(string_split(regexp_replace(substr(text, 1, 60), '[^A-Za-z]+', ',', 'g'), ','), lambda x: x <> '') as l from documents) select doc_id, array_to_string(list_sort(l), ', ') as v from p"),
+    "txt_canonical_list": (txt_canonical_list, "with p as (select doc_id, list_filter(string_split(regexp_replace(text, '[^A-Za-z]+', ',', 'g'), ','), lambda x: x <> '') as l from documents) select doc_id, array_to_string(list_sort(l), ', ') as v from p"),
     "txt_paraphrase": (
         txt_paraphrase,
         "with " + EV + ", q as (select event_id, cls || 's' as a, lpad(cast((sec % 86400) // 3600 as varchar), 2, '0') || ':' || lpad(cast((sec % 3600) // 60 as varchar), 2, '0') || ':' || lpad(cast(sec % 60 as varchar), 2, '0') as b, cast('0x' || substr(md5('p:' || event_id), 1, 7) as bigint) % 3 as k from ev) "
         "select event_id, case k when 0 then 'How many ' || a || ' are there at ' || b || '?' when 1 then 'At ' || b || ', what is the number of ' || a || '?' else 'Count the ' || a || ' seen at ' || b || '.' end as v from q",
     ),
-    "txt_sentence_dropout": (txt_sentence_dropout, f"with a as (select doc_id, substr(text, 1, 200) as t from documents) select doc_id, case when substr(md5('drop:' || doc_id), 1, 8) < '{int(2**32 / 3):08x}' then regexp_replace(t, '^[^.]*\\.\\s*', '') else t end as v from a"),
+    "txt_sentence_dropout": (txt_sentence_dropout, f"with a as (select doc_id, text as t from documents) select doc_id, case when substr(md5('drop:' || doc_id), 1, 8) < '{int(2**32 / 3):08x}' then regexp_replace(t, '^[^.]*\\.\\s*', '') else t end as v from a"),
     "txt_group_map": (txt_group_map, "with " + EV + " select case when cls in ('view', 'click') then 'PASSIVE' when cls in ('purchase', 'signup') then 'ACTIVE' else 'OTHER' end as grp, count(*) as n from ev group by 1"),
     "txt_question_family": (txt_question_family, f"with {QS} select case when regexp_matches(q, '(?i)^in\\b|how many|number') then 'count' when regexp_matches(q, '(?i)when|hh:mm:ss') then 'time' when regexp_matches(q, '(?i)select') then 'choice' when regexp_matches(q, '(?i)yes or no|^are|\\bis the\\b') then 'yes_no' else 'other' end as family, count(*) as n from qs group by 1"),
     "txt_prompt_assembly": (txt_prompt_assembly, f"with {QS}, f as (select *, {FORM} as form from qs) select conv_id, turn, concat_ws(chr(10), 'You answer questions about a video.', case form when 'number' then 'Give digits only.' when 'binary' then 'Say yes or no.' end, 'Format: ' || form, q) as prompt from f"),

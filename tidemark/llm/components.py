@@ -5,33 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_staged, staged
+from tidemark.llm.common import Scratch
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """The smallest node that each linked node reaches: rows (node, root), for linked nodes alone.
 
     Every round each node takes the smallest root among its own and its neighbours', and hands it to
     its old root; then roots jump to their roots. The number of rounds grows with the logarithm of the
     longest chain. Sums and minima are taken before rows are dealt out, so a node with very many links
     costs its task few rows; joins on it are split by AQE. Nulls in either column are left out.
+    The result lies in a table that ``scratch`` removes.
     """
+    spark = links.sparkSession
+    kept = Scratch(spark)
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    edges = staged(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "cc-edges")
-    state = staged(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).withColumnRenamed("u", "node"), "cc-state")
+    edges = kept(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "cc-edges")
+    last = Scratch(spark)
+    state = last(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).withColumnRenamed("u", "node"), "cc-state")
     while True:
+        now = Scratch(spark)
         seen = edges.join(state.select(F.col("node").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("near"))
         own = state.join(seen.withColumnRenamed("u", "node"), "node").select("node", "root", F.least("root", "near").alias("new"))
-        own = staged(own, "cc-step")
+        own = last(own, "cc-step")
         # a root hears of the smallest root that its nodes have met
         heard = own.groupBy("root").agg(F.min("new").alias("heard")).withColumnRenamed("root", "node")
-        hooked = staged(own.join(heard, "node", "left").select("node", "root", F.least("new", F.coalesce("heard", "new")).alias("new")), "cc-hooked")
+        hooked = last(own.join(heard, "node", "left").select("node", "root", F.least("new", F.coalesce("heard", "new")).alias("new")), "cc-hooked")
         up = hooked.select(F.col("node").alias("new"), F.col("new").alias("up"))
-        jumped = hooked.join(up, "new", "left").select("node", F.least("new", F.coalesce("up", "new")).alias("root"), (F.least("new", F.coalesce("up", "new")) != F.col("root")).alias("moved"))
-        jumped = staged(jumped, "cc-state")
+        to = F.least("new", F.coalesce("up", "new"))
+        jumped = now(hooked.join(up, "new", "left").select("node", to.alias("root"), (to != F.col("root")).alias("moved")), "cc-state")
         moved = jumped.where("moved").limit(1).count()
-        for old in (state, own, hooked):
-            drop_staged(old)
-        state = jumped.drop("moved")
+        last.clear()
+        last, state = now, jumped.drop("moved")
         if not moved:
-            return state
+            break
+    kept.clear()
+    scratch.paths += last.paths
+    return state

@@ -2,22 +2,29 @@
 
 1. Shingles: A-Z lower-cased, words between ASCII white space, distinct ``shingle`` -word shingles as
    64-bit hashes (a shorter text is one shingle; a text without words has none and links with nothing).
-2. Documents with equal shingle sets form a class (128-bit digest of the set); its smallest doc_id goes
-   on alone, so copies cost one row each, however many there are.
+2. Documents with equal shingle sets form a class (128-bit digest of the set), which goes on alone, so
+   copies cost one row each, however many there are.
 3. Min-max signature: each of ``permutations`` hash permutations gives its minimum and its maximum, so
    256 values take 128 hash evaluations. A band holds ``band_rows`` of them; at a similarity of 0.8 a pair
-   misses all 42 bands of 6 with a chance of 3e-6. One bit of each value goes along, so that candidates
-   whose bits agree too rarely need no full sets (at 0.8 a chance below 4e-6 to go wrong).
-4. Candidates without all pairs of a bucket: each bucket of the first bands links its members to one hub,
-   its smallest id, and the pairs are confirmed on full sets. Members that are in one component then need
-   no other comparison. Buckets of all bands that still hold several components get another hub, and large
-   ones a third; what is left is compared in full: the rest of a small bucket as pairs across components,
-   that of a large one block by block inside tasks, which give links only.
-5. Components of the confirmed links and of the classes.
+   misses all 42 bands of 6 with a chance of 3e-6. Minimum and maximum of a small set depend on each other,
+   so sets of at most ``SMALL`` shingles also meet by their own digest and those without one shingle, which
+   finds every pair of them that differs by one. One bit of each value goes along, so that candidates whose
+   bits agree too rarely need no full sets (at 0.8 a chance below 4e-6 to go wrong).
+4. Stars: in the buckets of some bands, then of all, every component sends one member to a hub, a member of
+   the bucket's largest component. Of several hubs of one component the one whose bits agree best is kept,
+   and no more than ``STARS`` per member. Links are confirmed on full sets and components joined. A group of
+   m near copies costs a few pairs per member.
+5. Rest: what still shares a bucket with another component is compared without all pairs of the bucket. Two
+   sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1 of their shingles in any common order;
+   the order is by the number of documents that hold a shingle, rarest first. So members outside their
+   bucket's largest component are joined with all others on such rare shingles, at places that leave enough
+   shingles behind for sets of the two sizes, and pairs of one bucket and two components are confirmed on full
+   sets. This loses no candidate, and shingles that a whole group shares come last in the order.
+6. Components of the confirmed links and of the classes.
 
 Nulls and the like: a null or blank text has n_shingles 0 and is its own component; a null doc_id is
-ignored as a link end and is its own component; rows that repeat a doc_id get one row each; ties go to
-the smaller id; an empty table gives an empty result; other columns are left out.
+ignored as a link end and is its own component; rows that repeat a doc_id get one row each, by their own
+texts; ties go to the smaller id; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -28,15 +35,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import BROADCAST_ROWS, staged
+from tidemark.llm.common import BROADCAST_ROWS, Scratch, fresh_path
 from tidemark.llm.components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
-#: Rest members of a bucket that are compared as pairs; larger rests are compared in blocks of as many.
-BLOCK_MEMBERS = 48
+#: Sets of at most so many shingles meet by exact digests too; up to a union of nine shingles, a similarity
+#: of 0.8 leaves room for one shingle of difference.
+SMALL = 9
+#: Pairs that a member of a bucket sends to hubs in one round.
+STARS = 4
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -85,6 +96,12 @@ def min_max_bands(sets: list[np.ndarray], permutations: int, band_rows: int, see
     return keys, np.ascontiguousarray(bits).view(np.int64)
 
 
+def small_keys(own: np.ndarray) -> np.ndarray:
+    """Keys that small sets share if one has one shingle more, at least five in all."""
+    h = _mixed(own ^ _MIX[0])
+    return np.append(h.sum() - h[: len(h) if len(h) > 4 else 0], h.sum())
+
+
 def _pieces(column: pa.Array, most: int = 4_000_000):
     """Slices of a text column of a few megabytes, as lists."""
     begin, held = 0, 0
@@ -112,7 +129,8 @@ def signatures(docs: DataFrame, shingle: int, permutations: int, band_rows: int,
                 if full:
                     keys, marks = min_max_bands([sets[i] for i in full], permutations, band_rows, seed)
                     for i, row, mark in zip(full, keys.view(np.int64), marks):
-                        bands[i], bits[i] = row, mark
+                        more = small_keys(sets[i]).view(np.int64) if len(sets[i]) <= SMALL else row[:0]
+                        bands[i], bits[i] = np.concatenate([row, more]), mark
                 digest = [[signed(xxh64_intdigest(s.tobytes(), seed=k)) if len(s) else None for s in sets] for k in (1, 2)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).slice(begin, len(texts)), pa.array(list(map(len, sets)), pa.int64()), *(pa.array(d, pa.int64()) for d in digest), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
@@ -122,152 +140,206 @@ def signatures(docs: DataFrame, shingle: int, permutations: int, band_rows: int,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bits array<long>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(doc, shingles) of the documents whose ids ``wanted`` (doc) holds."""
+def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, repeated: bool) -> DataFrame:
+    """(node, shingles) of the sets that ``wanted`` (node, doc, d1, d2) names; ``repeated`` tells whether a
+    doc_id may stand for several rows."""
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for part in parts:
             for begin, texts in _pieces(part.column(1)):
-                sets = [s.view(np.int64) for s in shingle_sets(texts, shingle)]
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(begin, len(texts)), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
+                sets = shingle_sets(texts, shingle)
+                digest = [np.array([xxh64_intdigest(s.tobytes(), seed=k) for s in sets], dtype=np.uint64).view(np.int64) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(begin, len(texts)), *map(pa.array, digest), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc", "d1", "d2", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)  # spares a shuffle of all texts
-    rows = rows.join(wanted, "doc", "left_semi")
-    return rows.mapInArrow(read, "doc long, shingles array<long>")
+    ids = wanted.select("doc").distinct()
+    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)  # spares a shuffle of all texts
+    out = rows.join(ids, "doc", "left_semi").mapInArrow(read, "doc long, d1 long, d2 long, shingles array<long>")
+    if not repeated:  # a node is its document
+        return out.select(F.col("doc").alias("node"), "shingles")
+    out = out.dropDuplicates(["doc", "d1", "d2"]).join(wanted.select("node", "doc", "d1", "d2"), ["doc", "d1", "d2"])
+    return out.select("node", "shingles")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union."""
-    left, right = (sets.select(F.col("doc").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _close(percent: int, permutations: int):
-    """Pairs (na, ba, nb, bb) that may reach the similarity J: the smaller set is at least that share of the
-    larger, which is exact, and the signatures' bits agree often enough. Bits agree with a chance of
-    (1 + J) / 2; the limit lies 4.5 deviations below, counted as if minimum and maximum went together."""
+def _differ(x, y):
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, n: a + n)
+
+
+def _close(na, nb, differ, percent: int, permutations: int):
+    """Pairs that may reach the similarity J: the smaller set is at least that share of the larger, which is
+    exact, and the signatures' bits agree often enough. Bits agree with a chance of (1 + J) / 2; the limit
+    lies 4.5 deviations below, counted as if minimum and maximum went together. Small sets all pass."""
     p = (1 + percent / 100) / 2
     least = 2 * (permutations * p - 4.5 * (permutations * p * (1 - p)) ** 0.5)
-    differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (2 * permutations - differ >= least)
-
-
-def _in_blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the rest of large buckets. A task holds two blocks of members and gives links only:
-    a member is compared with those of other components and joins at the first that is similar."""
-    sized = rest.withColumn("block", F.pmod(F.xxhash64("doc"), F.ceil(F.col("members") / BLOCK_MEMBERS)))
-    n = F.ceil(F.col("members") / BLOCK_MEMBERS)
-    tiles = sized.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    tiles = tiles.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "root").join(sets, "doc")
-
-    def compare(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("doc")
-        docs, blocks = pdf["doc"].to_numpy(), pdf["block"].to_numpy()
-        own = [np.sort(np.asarray(s)) for s in pdf["shingles"]]
-        group = {}
-        label = np.array([group.setdefault(r, len(group)) for r in pdf["root"]])
-        out = []
-        for x in range(len(docs)):
-            for y in range(x):
-                if label[x] == label[y] or (key[1] != key[2] and blocks[x] == blocks[y]):
-                    continue
-                nx, ny = len(own[x]), len(own[y])
-                if 100 * min(nx, ny) < percent * max(nx, ny):
-                    continue
-                both = len(np.intersect1d(own[x], own[y], assume_unique=True))
-                if 100 * both >= percent * (nx + ny - both):
-                    out.append((docs[y], docs[x]))
-                    label[label == label[x]] = label[y]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return tiles.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((F.greatest(na, nb) <= SMALL) | (2 * permutations - differ >= least))
+
+
+def class_nodes(sized: DataFrame, repeated: bool) -> DataFrame:
+    """One row per distinct set: node, doc (its smallest doc_id), d1, d2, n, bands, bits. The node is doc, or
+    a number beyond 2**62 where another set has the same doc."""
+    own = sized.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"))
+    if not repeated:
+        return own.select(F.col("doc").alias("node"), "*")
+    first = own.groupBy("doc").agg(F.min(F.struct("d1", "d2")).alias("first"))
+    high = F.shiftrightunsigned(F.xxhash64("d1", "d2"), 2).bitwiseOR(F.lit(1 << 62))
+    return own.join(first, "doc").select(F.when(F.col("first") == F.struct("d1", "d2"), F.col("doc")).otherwise(high).alias("node"), "doc", "d1", "d2", "n", "bands", "bits")
+
+
+def meeting(nodes: DataFrame) -> DataFrame:
+    """The nodes that share a bucket with another one; of their bands, the buckets that are shared."""
+    spread = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
+    met = spread.join(shared, "bucket").groupBy("node").agg(F.collect_list("bucket").alias("bands"))
+    return nodes.drop("bands").join(met, "node")
+
+
+def star_pairs(now: DataFrame, turn: int, percent: int, permutations: int, of: int) -> DataFrame:
+    """Pairs (a, b) of members and hubs of other components, in the buckets of every ``of``-th band."""
+    pick = F.filter("bands", lambda b: F.pmod(F.xxhash64(b), F.lit(of)) == 0)
+    part = now.select(F.explode(pick).alias("bucket"), "root", "node")
+    reps = part.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("x"))
+    hubs = reps.groupBy("bucket").agg(F.max(F.struct("k", "root", "x")).alias("hub"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    pairs = reps.join(hubs, "bucket").where("hub.root <> root").select("root", F.col("hub.root").alias("other"), "x", F.col("hub.x").alias("y")).distinct()
+    for k in "xy":
+        pairs = pairs.join(now.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}")), k)
+    pairs = pairs.withColumn("differ", _differ(F.col("bx"), F.col("by"))).where(_close(F.col("nx"), F.col("ny"), F.col("differ"), percent, permutations))
+    best = pairs.groupBy("root", "other").agg(F.min(F.struct("differ", "x", "y")).alias("p")).select("p.*")
+    # a member has at most one pair per band
+    best = best.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("differ", "y"))), 1, STARS).alias("to"))
+    return best.select("x", F.explode("to").alias("to")).select(F.least("x", "to.y").alias("a"), F.greatest("x", "to.y").alias("b")).distinct()
+
+
+def mixed_members(now: DataFrame) -> DataFrame:
+    """(node, minor): members of buckets with several components; minor if outside the largest of one."""
+    part = now.select(F.explode("bands").alias("bucket"), "node", "root")
+    per = part.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+    mixed = per.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1")
+    return part.join(mixed.select("bucket", "major"), "bucket").groupBy("node").agg(F.max(F.col("root") != F.col("major")).alias("minor"))
+
+
+def rest_pairs(now: DataFrame, members: DataFrame, sets: DataFrame, percent: int, permutations: int) -> DataFrame:
+    """Pairs (a, b) of two components that share a bucket and a rare shingle; one of them is a minor."""
+    own = now.join(members, "node")
+    tokens = sets.join(own.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("token"))
+    held = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = tokens.join(held, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    first = F.size("t") - F.ceil(F.size("t") * F.lit(percent) / 100).cast("int") + 1
+    heads = ranked.select("node", F.posexplode(F.slice("t", F.lit(1), first)).alias("at", "t")).where("t.df > 1")
+    heads = heads.join(own.select("node", "root", "n", "minor"), "node")
+    x, y = (heads.select(F.col("t.token").alias("token"), F.col("at").alias(f"i{k}"), F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("minor").alias(f"m{k}")) for k in "xy")
+    # a pair of minors meets once, from the larger node
+    pairs = x.where("mx").join(y, "token").where("rx <> ry and (not my or x > y)").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    # sets of these sizes need so many common shingles; the first of them has as many more behind it
+    need = F.ceil((F.col("nx") + F.col("ny")) * F.lit(percent) / F.lit(100 + percent))
+    pairs = pairs.where((F.col("ix") <= F.col("nx") - need) & (F.col("iy") <= F.col("ny") - need))
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    for k in "ab":
+        pairs = pairs.join(own.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}"), F.col("bands").alias(f"w{k}")), k)
+    near = _close(F.col("na"), F.col("nb"), _differ(F.col("ba"), F.col("bb")), percent, permutations)
+    return pairs.where(near & F.arrays_overlap("wa", "wb")).select("a", "b")
 
 
 def near_duplicates(
-    docs: DataFrame,
-    shingle: int = 5,
-    percent: int = 80,
-    permutations: int = 128,
-    band_rows: int = 6,
-    star_rounds: int = 2,
-    first_bands: int = 4,
-    seed: int = 11,
+    docs: DataFrame, shingle: int = 5, percent: int = 80, permutations: int = 128, band_rows: int = 6, star_bands: tuple[int, ...] = (10, 1, 1), seed: int = 11
 ) -> DataFrame:
-    """Returns doc_id, n_shingles, component_id, kept, class_id (the smallest id with the same set)."""
+    """Returns doc_id, n_shingles, component_id, kept, class_id (the smallest id with the same set), and d1, d2
+    (digest of the set) and lead (the set stands for its component).
+
+    ``star_bands``: the rounds of stars use the buckets of every so-manieth band.
+    """
+    spark = docs.sparkSession
+    staged = Scratch(spark)
     signed = staged(signatures(docs, shingle, permutations, band_rows, seed), "minhash-signed")
-    # classes of equal sets
     sized = signed.where("d1 is not null and doc_id is not null")
-    classes = staged(sized.groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("doc")), "minhash-classes")
-    own = sized.select("doc_id", "bands", "bits").join(classes.select("doc", "n"), F.col("doc_id") == F.col("doc")).dropDuplicates(["doc"])
-    spread = own.select("doc", F.posexplode("bands").alias("band", "bucket"))
-    full = spread.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    open_ = staged(spread.join(full, "bucket").join(own.select("doc", "n", "bits"), "doc"), "minhash-buckets")
-    wanted = staged(open_.select("doc").distinct(), "minhash-wanted")
-    sets = staged(full_sets(docs, wanted, shingle).dropDuplicates(["doc"]), "minhash-sets")
-
-    # the first bands join most copies of a text to one hub each; the others then have little left
-    links, tested, turn = None, None, 0
-    now = open_.withColumn("root", F.col("doc"))
-    while True:
-        if turn == 0:
-            rest, large = now.where(F.col("band") < first_bands), True
-        else:
-            roots = components(links).withColumnRenamed("node", "doc")
-            now = staged(now.drop("root").join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc")), "minhash-now")
-            mixed = now.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-            rest = now = staged(now.join(mixed.select("bucket"), "bucket"), f"minhash-rest{turn}")
-            if not rest.limit(1).count():
-                break
-            large = turn <= star_rounds and (turn == 1 or rest.where(F.col("members") > BLOCK_MEMBERS).limit(1).count() > 0)
-        if large:  # one hub per bucket, against the members of other components
-            order = F.struct("doc") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "doc"))
-            hubs = rest.groupBy("bucket").agg(F.min_by(F.struct("doc", "n", "root", "bits"), order).alias("hub"))
-            pairs = rest.join(hubs, "bucket").where("hub.root <> root").select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"), F.col("bits").alias("ba"), F.col("hub.bits").alias("bb"))
-            pairs = pairs.where(_close(percent, permutations)).select("a", "b").distinct()
-            pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"minhash-pairs{turn}")
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            new = confirmed(pairs, sets, percent)
-        else:
-            few = rest.where(F.col("members") <= BLOCK_MEMBERS).select("bucket", "doc", "n", "root", "bits")
-            x, y = (few.select("bucket", F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}"), F.col("bits").alias(f"b{k}")) for k in "ab")
-            pairs = x.join(y, "bucket").where("a < b and ra <> rb").where(_close(percent, permutations)).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-            new = confirmed(staged(pairs, "minhash-pairs-rest"), sets, percent)
-            many = rest.where(F.col("members") > BLOCK_MEMBERS)
-            if many.limit(1).count():
-                new = new.unionByName(_in_blocks(many.select("bucket", "members", "doc", "root"), sets, percent))
+    repeated = bool(sized.groupBy("doc_id").count().where("count > 1").limit(1).count())
+    nodes = staged(class_nodes(sized, repeated), "minhash-nodes")
+    held = staged(meeting(nodes), "minhash-meeting")
+    sets = staged(full_sets(docs, held.select("node", "doc", "d1", "d2"), shingle, repeated), "minhash-sets")
+
+    links, tested = None, None
+    now, turn = held.withColumn("root", F.col("node")), 0
+
+    def settle(pairs: DataFrame) -> None:
+        """Tests the pairs that were not tested before, and joins components."""
+        nonlocal links, tested, now
+        pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"minhash-pairs{turn}")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        new = confirmed(pairs, sets, percent)
         links = staged(new if links is None else links.unionByName(new), f"minhash-links{turn}")
-        if not large:
-            break
-        turn += 1
-    roots = components(links)
-    # every class takes the root of its smallest member, which is the smallest of all
-    classes = classes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("d1", "d2", F.col("n").alias("n_shingles"), F.col("doc").alias("class_id"), F.coalesce("root", "doc").alias("root"))
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), "class_id")
-
+        roots = components(links, staged).withColumnRenamed("node", "__node")
+        now = staged(held.join(roots, F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "node")).drop("__node"), f"minhash-now{turn}")
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns.
-
-    Rows that repeat the kept doc_id are copies of it: one of them stays, the least by text. Documents
-    without words, and those without an id, link with nothing and stay.
+    for turn, of in enumerate(star_bands):
+        settle(star_pairs(now, turn, percent, permutations, of))
+    members = staged(mixed_members(now), "minhash-members")
+    if members.limit(1).count():
+        turn += 1
+        settle(rest_pairs(now, members, sets, percent, permutations))
+
+    # a component bears the smallest doc_id of its classes; the least (doc, digest) stands for it
+    roots = now.select("root", "node").where("root <> node")
+    joined = roots.unionByName(roots.select("root", F.col("root").alias("node")).distinct()).join(nodes.select("node", "doc", "d1", "d2"), "node")
+    heads = joined.groupBy("root").agg(F.min(F.struct("doc", "d1", "d2")).alias("head"))
+    joined = joined.join(heads, "root").select(F.col("d1").alias("j1"), F.col("d2").alias("j2"), "head")
+    classes = nodes.select("d1", "d2", F.col("doc").alias("class_id")).join(joined, F.expr("d1 = j1 and d2 = j2"), "left")
+    classes = classes.select("d1", "d2", "class_id", F.coalesce("head.doc", "class_id").alias("root"), F.coalesce(F.col("head.d1") == F.col("d1"), F.lit(True)).alias("lead"))
+    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), "d1", "d2", F.coalesce("lead", F.lit(True)).alias("lead"))
+    path = fresh_path(spark, "minhash-found")
+    out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).write.parquet(path)
+    staged.clear()
+    return spark.read.parquet(path).select("doc_id", "n_shingles", "component_id", "kept", "class_id", "d1", "d2", "lead")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, **options) -> DataFrame:
+    """The documents whose set stands for its component, with all their columns: the smallest doc_id, and of
+    its rows the least text of the least set.
+
+    Of rows that repeat a doc_id each is judged by its own text, so one that links with nothing stays.
+    Documents without words, and those without an id, link with nothing and stay.
     """
-    found = near_duplicates(docs, **options)
-    gone = staged(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "minhash-gone")
+    found = near_duplicates(docs, shingle=shingle, **options)
+    known = found.where("doc_id is not null")
+    again = known.groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("n")).where("n > 1").select("__again")
+    gone = known.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    key = docs["doc_id"].cast("long") == F.col("__gone")
-    gone = gone.withColumnRenamed("doc_id", "__gone")
-    out = docs.join(F.broadcast(gone) if small else gone, key, "left_anti")
-    again = staged(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__again")), "minhash-again")
+    key = docs["doc_id"].cast("long")
+    out = docs.join(F.broadcast(gone) if small else gone, key == F.col("__gone"), "left_anti")
     if not again.limit(1).count():
         return out
-    same = docs["doc_id"].cast("long") == F.col("__again")
-    repeated = out.join(again, same, "left_semi")
-    firsts = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), F.struct(F.coalesce("text", F.lit("")))).alias("__row")).select("__row.*")
-    return out.join(again, same, "left_anti").unionByName(firsts)
+    # rows of repeated ids: by the digests of their own texts
+    rows = docs.join(again, key == F.col("__again"), "left_semi")
+    marked = with_digests(rows, shingle)
+    lead = known.where("kept and lead and d1 is not null").join(again, F.col("doc_id") == F.col("__again"), "left_semi").select(F.col("doc_id").alias("__id"), F.col("d1").alias("__l1"), F.col("d2").alias("__l2")).distinct()
+    same = (marked["doc_id"].cast("long") == F.col("__id")) & (F.col("__d1") == F.col("__l1")) & (F.col("__d2") == F.col("__l2"))
+    firsts = marked.join(lead, same, "left_semi").groupBy("doc_id", "__d1", "__d2").agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), F.col("text")).alias("__row")).select("__row.*")
+    wordless = marked.where("__d1 is null").select(*[f"`{c}`" for c in docs.columns])
+    return out.join(again, key == F.col("__again"), "left_anti").unionByName(firsts).unionByName(wordless)
+
+
+def with_digests(rows: DataFrame, shingle: int) -> DataFrame:
+    """The rows with __d1 and __d2, the digest of their texts' sets, null without words."""
+    at = rows.columns.index("text")
+
+    def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        for part in parts:
+            for begin, texts in _pieces(part.column(at)):
+                sets = shingle_sets(texts, shingle)
+                more = [pa.array([signed(xxh64_intdigest(s.tobytes(), seed=k)) if len(s) else None for s in sets], pa.int64()) for k in (1, 2)]
+                own = part.slice(begin, len(texts))
+                yield pa.RecordBatch.from_arrays([*own.columns, *more], names=[*own.schema.names, "__d1", "__d2"])
+
+    return rows.mapInArrow(mark, StructType([*rows.schema.fields, StructField("__d1", LongType()), StructField("__d2", LongType())]))

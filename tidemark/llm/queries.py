@@ -58,7 +58,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80)
+    found = minhash.near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import join_small, staged
+from tidemark.llm.common import Scratch, join_small, staged
 from tidemark.llm.components import components
 
 PIVOTS, CHUNK_ROWS, LEVELS = 64, 8192, 4
@@ -368,7 +368,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, overlap: int = 3, s
             raise RuntimeError(f"recall of links is {recall:.4f} without splitting, below {least_recall}")
         overlap *= 2
     sums = links.groupBy("key").agg(F.sum("links").alias("links"))
-    roots = components(links.where("root <> key"), "key", "root").withColumnRenamed("node", "key")
+    roots = components(links.where("root <> key"), Scratch(vectors.sparkSession), "key", "root").withColumnRenamed("node", "key")
     classes = rows.join(sums, "key", "left").join(roots, "key", "left")
     classes = classes.select(*equal, "key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "key").alias("component"))
     ids = fine.join(staged(classes, "vectors-found"), equal).select("vec_id", "n_links", "component", "key")

@@ -56,13 +56,22 @@ def apart_from(found: Column, taken: Column) -> Column:
     return F.filter(found, lambda x: ~F.exists(taken, lambda t: (t["s"] < x["e"]) & (x["s"] < t["e"])))
 
 
-def replaced(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
-    """The text with every span replaced by its mark; of overlapping spans the first one counts, and the
-    part of a later one that reaches beyond it goes with it."""
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with a space in place of every character of a span; positions stay."""
+    return replaced(text, spans, lambda x, start: F.repeat(F.lit(" "), x["e"] - start), True)
+
+
+def replaced(text: Column, spans: Column, mark: Callable[[Column, Column], Column], again: bool = False) -> Column:
+    """The text with every span replaced by ``mark`` of the span and its first character not yet replaced.
+
+    Of overlapping spans the first one counts, and the part of a later one that reaches beyond it goes with
+    it, under a mark of its own if ``again``.
+    """
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        new = F.concat(a["out"], F.substring(text, a["pos"] + 1, x["s"] - a["pos"]), mark(x))
-        return F.when(x["s"] >= a["pos"], F.struct(x["e"].alias("pos"), new.alias("out"))).otherwise(F.struct(F.greatest(a["pos"], x["e"]).alias("pos"), a["out"].alias("out")))
+        new = F.concat(a["out"], F.substring(text, a["pos"] + 1, x["s"] - a["pos"]), mark(x, x["s"]))
+        over = F.when(x["e"] > a["pos"], F.concat(a["out"], mark(x, a["pos"]))).otherwise(a["out"]) if again else a["out"]
+        return F.when(x["s"] >= a["pos"], F.struct(x["e"].alias("pos"), new.alias("out"))).otherwise(F.struct(F.greatest(a["pos"], x["e"]).alias("pos"), over.alias("out")))
 
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(F.sort_array(spans), start, step, lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text)))))

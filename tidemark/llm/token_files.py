@@ -1,24 +1,26 @@
 """Operator 4, token-id files of patched frame-of-reference blocks.
 
-File layout (little-endian): magic ``TMPF``, u32 version, u64 documents, u64 ids, u64 blocks; then
-``blocks`` index entries of u64 byte offset; the document table (i64 doc_id with a u8 null flag, u64
-ids) and the blocks. A block holds ``BLOCK`` ids (the last one is padded): u32 minimum, u8 width, u16
-exceptions; the ids less the minimum, cut to ``width`` bits and packed; then the exceptions, u16 place
-and u32 of the bits above the width. The width is the one that the ``PERCENTILE`` of a block's ids
-need. A reader finds any id by the index without unpacking what comes before.
-
-Write: documents are sorted by range of ``doc_id``; each task encodes its range and writes one file,
-under a name of its own, then moves it to the final name, so that a repeated task replaces its file by
-an equal one. The manifest (file, documents, ids) is written as a table; starts of files are running
-sums over it. Read: files are dealt to tasks by manifest, and each is decoded block by block.
-
-A null text is empty (its document has the end id alone); null ids sort first; repeated rows are kept,
-in the order of their texts; an empty table gives no file and no row; other columns are left out.
+File layout (little-endian): magic ``TMPF``, u32 version, the blocks, the index (u64 byte offset of each
+block), the document table (i64 doc_id, u8 null flag, u64 ids, each as one column), and a tail of u64
+documents, u64 ids, u64 blocks, u64 byte offset of the index, magic. A block holds ``BLOCK`` ids (the last
+one is padded): u32 minimum, u8 width, u16 exceptions; the ids less the minimum, cut to ``width`` bits and
+packed; then the exceptions, u16 place and u32 of the bits above the width. The width is the one that the
+``PERCENTILE`` of a block's ids need. ``ids_between`` finds any run of ids by the index and reads its blocks
+alone.
+
+Write: there are as many files as ``file_bytes`` of text need. Documents are sorted by range of ``doc_id``,
+then of a digest of the text, so that very many rows of one id spread over files; each task encodes its range
+and writes one file, whose blocks go out as they fill, under a name of its own, then moves it to the final
+name, so that a repeated task replaces its file by an equal one. The manifest (file, documents, ids) is
+written as a table; starts of files are running sums over it. Read: files are dealt to tasks by manifest, and
+each is decoded some blocks at a time.
+
+A null text is empty (its document has the end id alone); null ids sort first; repeated rows are kept, in the
+order of their texts' digests; an empty table gives no file and no row; other columns are left out.
 """
 
 from __future__ import annotations
 
-import io
 import struct
 import uuid
 from collections.abc import Iterator
@@ -32,9 +34,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import fresh_path, staged
 from tidemark.llm.tokenize import batches, encoder
 
-MAGIC, VERSION, BLOCK, LANES = b"TMPF", 1, 1024, 16
+MAGIC, VERSION, BLOCK, LANES = b"TMPF", 2, 1024, 16
 PERCENTILE = 90
-_HEAD, _BLOCK_HEAD = struct.Struct("<4sIQQQ"), struct.Struct("<IBH")
+_HEAD, _TAIL, _BLOCK_HEAD = struct.Struct("<4sI"), struct.Struct("<QQQQ4s"), struct.Struct("<IBH")
+#: Text of a file, about 256 MB; and least text of one, where there are few.
+FILE_BYTES, LEAST_BYTES = 1 << 28, 1 << 20
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -115,17 +119,25 @@ def _filesystem(uri: str):
 
 
 class _Writer:
-    """One file: blocks go to the store as they fill; index and documents follow at the end."""
+    """One file: blocks go to the store as they fill; only index and document table wait for the end."""
 
-    def __init__(self):
-        self.blocks = io.BytesIO()
+    def __init__(self, uri: str, name: str):
+        self.store, self.root = _filesystem(uri)
+        self.name, self.out, self.own = name, None, f"{self.root}/.{name}-{uuid.uuid4().hex}"
         self.offsets: list[int] = []
-        self.docs: list[tuple[int | None, int]] = []
+        self.keys: list[int | None] = []
+        self.counts: list[int] = []
         self.open = np.zeros(0, dtype=np.uint32)
         self.n_ids = 0
 
     def add(self, keys: list[int | None], ids: list[np.ndarray]) -> None:
-        self.docs += zip(keys, map(len, ids))
+        if self.out is None:
+            self.store.create_dir(self.root, recursive=True)
+            self.out = self.store.open_output_stream(self.own)
+            self.out.write(_HEAD.pack(MAGIC, VERSION))
+            self.at = _HEAD.size
+        self.keys += keys
+        self.counts += map(len, ids)
         run = np.concatenate([self.open, *ids])
         self.n_ids += len(run) - len(self.open)
         whole = len(run) // BLOCK * BLOCK
@@ -134,41 +146,61 @@ class _Writer:
 
     def _put(self, run: np.ndarray) -> None:
         for block in encode_blocks(run):
-            self.offsets.append(self.blocks.tell())
-            self.blocks.write(block)
+            self.offsets.append(self.at)
+            self.out.write(block)
+            self.at += len(block)
 
-    def save(self, uri: str, name: str) -> None:
+    def save(self) -> None:
         self._put(self.open)
-        store, root = _filesystem(uri)
-        keys = np.array([0 if k is None else k for k, _ in self.docs], dtype="<i8")
-        none = np.array([k is None for k, _ in self.docs], dtype="u1")
-        counts = np.array([n for _, n in self.docs], dtype="<u8")
-        base = _HEAD.size + 8 * len(self.offsets) + 17 * len(self.docs)
-        store.create_dir(root, recursive=True)
-        own = f"{root}/.{name}-{uuid.uuid4().hex}"
-        with store.open_output_stream(own) as f:
-            f.write(_HEAD.pack(MAGIC, VERSION, len(self.docs), self.n_ids, len(self.offsets)))
-            for part in ((np.array(self.offsets, dtype="<u8") + np.uint64(base)), keys, none, counts):
-                f.write(part.tobytes())
-            f.write(self.blocks.getbuffer())
-        store.move(own, f"{root}/{name}")
+        keys = np.array([0 if k is None else k for k in self.keys], dtype="<i8")
+        none = np.array([k is None for k in self.keys], dtype="u1")
+        for part in (np.array(self.offsets, dtype="<u8"), keys, none, np.array(self.counts, dtype="<u8")):
+            self.out.write(part.tobytes())
+        self.out.write(_TAIL.pack(len(self.keys), self.n_ids, len(self.offsets), self.at, MAGIC))
+        self.out.close()
+        self.store.move(self.own, f"{self.root}/{self.name}")
+
+
+def _opened(uri: str):
+    """The open file, its numbers of documents, ids and blocks, and the byte offset of its index."""
+    store, path = _filesystem(uri)
+    f = store.open_input_file(path)
+    magic, version = _HEAD.unpack(f.read(_HEAD.size))
+    f.seek(f.size() - _TAIL.size)
+    n_docs, n_ids, n_blocks, index, end = _TAIL.unpack(f.read(_TAIL.size))
+    if (magic, version, end) != (MAGIC, VERSION, MAGIC):
+        raise ValueError(f"{uri} is no token file")
+    return f, n_docs, n_ids, n_blocks, index
+
+
+def ids_between(uri: str, first: int, last: int) -> np.ndarray:
+    """The ids at the places [first, last) of a file; only the index entries and blocks that hold them are read."""
+    f, _, n_ids, n_blocks, index = _opened(uri)
+    with f:
+        first, last = max(first, 0), min(last, n_ids)
+        if first >= last:
+            return np.zeros(0, dtype="<u4")
+        a, b = first // BLOCK, -(-last // BLOCK)
+        f.seek(index + 8 * a)
+        offsets = np.frombuffer(f.read(8 * (min(b, n_blocks - 1) - a + 1)), "<u8")
+        f.seek(int(offsets[0]))
+        data = f.read((index if b == n_blocks else int(offsets[-1])) - int(offsets[0]))
+        return decode_blocks(memoryview(data), b - a)[first - a * BLOCK : last - a * BLOCK]
 
 
 def read_file(uri: str, blocks: int = 4096) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Documents of a file in order: (ids or None of documents, their counts, all their token ids)."""
-    store, path = _filesystem(uri)
-    with store.open_input_file(path) as f:
-        magic, version, n_docs, n_ids, n_blocks = _HEAD.unpack(f.read(_HEAD.size))
-        if (magic, version) != (MAGIC, VERSION):
-            raise ValueError(f"{uri} is no token file")
-        offsets = np.frombuffer(f.read(8 * n_blocks), "<u8")
+    f, n_docs, n_ids, n_blocks, index = _opened(uri)
+    with f:
+        f.seek(index)
+        offsets = [*np.frombuffer(f.read(8 * n_blocks), "<u8").tolist(), index]
         keys, none, counts = (np.frombuffer(f.read(size * n_docs), kind) for size, kind in ((8, "<i8"), (1, "u1"), (8, "<u8")))
         ends = np.cumsum(counts.astype(np.int64))
         have, done, left = 0, 0, np.zeros(0, dtype="<u4")
+        f.seek(_HEAD.size)
         for i in range(0, n_blocks, blocks):
             n = min(blocks, n_blocks - i)
-            size = int(offsets[i + n] - offsets[i]) if i + n < n_blocks else -1
-            ids = decode_blocks(memoryview(f.read() if size < 0 else f.read(size)), n)
+            ids = decode_blocks(memoryview(f.read(offsets[i + n] - offsets[i])), n)
             left = np.concatenate([left, ids[: n_ids - have]])
             have += len(ids)
             upto = int(np.searchsorted(ends, ends[done - 1] + len(left) if done else len(left), side="right"))
@@ -178,30 +210,33 @@ def read_file(uri: str, blocks: int = 4096) -> Iterator[tuple[list, np.ndarray,
                 left, done = left[used:], upto
 
 
-def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, files: int | None = None, path: str | None = None) -> tuple[str, DataFrame]:
+def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, file_bytes: int = FILE_BYTES, path: str | None = None) -> tuple[str, DataFrame]:
     """Encodes all texts into files in ascending ``doc_id``; returns their folder and the manifest.
 
-    Without ``files`` there are as many as shuffle partitions. The manifest has file, n_docs, n_ids.
+    The manifest has file, n_docs, n_ids. Of little text there are as many files as shuffle partitions.
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "tokens")
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    text = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(1, -(-text // file_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text // min(LEAST_BYTES, file_bytes))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
+    # equal rows are interchangeable, so their place in the input may part them
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(files, "doc_id", "digest", "row").sortWithinPartitions("doc_id", "digest", "row").select("doc_id", "text")
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        lib, writer = encoder(tokenizer), _Writer()
+        name = f"part-{TaskContext.get().partitionId():06d}.tmpf"
+        lib, writer = encoder(tokenizer), _Writer(path, name)
         end = np.array([end_id], dtype="<u4").tobytes()
         for part in parts:
             keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
             for a, b in batches(texts):
                 writer.add(keys[a:b], [np.frombuffer(x + end, "<u4") for x in lib.encode(texts[a:b])])
-        if writer.docs:
-            name = f"part-{TaskContext.get().partitionId():06d}.tmpf"
-            writer.save(path, name)
-            yield pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids]})
+        if writer.keys:
+            writer.save()
+            yield pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(writer.keys)], "n_ids": [writer.n_ids]})
 
     return path, staged(rows.mapInArrow(write, "file string, n_docs long, n_ids long"), "tokens-manifest")
 

@@ -14,7 +14,8 @@
 Nulls and the like: a null text has size 1 and crc32 0; a null doc_id or old shard is a value like others;
 equal texts are rows of their own and may part, since a group of copies may be larger than a shard; rows
 that agree in everything are interchangeable; an empty table gives no row; other columns stay in the
-rewritten files unless they bear one of the names added here.
+rewritten files, whatever their names: what is added bears the prefix ``PREFIX``, and a table that has such a
+column already is refused.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import fresh_path, join_small, staged
 
-ADDED = ("size", "text_crc32", "shard", "slot", "old_shard", "class", "bucket", "rank", "n_chunks", "chunk_start", "end", "first", "n")
+PREFIX = "reshard_"
 
 
 def cheapest_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -92,55 +93,59 @@ def plan(sizes: dict[int, int], capacities: list[int], cost: list[list[int]] | N
 def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, capacities: list[int] | None = None, chunk_bytes: int = 4 << 20, path: str | None = None) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
     """Rewrites the affected shards under ``path`` and returns all rows with shard and slot, and the transfers.
 
-    ``old_shard`` is an int expression over ``docs``. The table has one row per document: its columns,
-    size, text_crc32, shard, slot.
+    ``old_shard`` is an int expression over ``docs``. The table has one row per document: its columns, and
+    reshard_size, reshard_text_crc32, reshard_shard, reshard_slot.
     """
+    if any(c.lower().startswith(PREFIX) for c in docs.columns):
+        raise ValueError(f"columns that begin with {PREFIX} are added here")
     spark = docs.sparkSession
-    size_class = F.floor(F.log2(F.col("size"))).cast("int")
-    spread = F.xxhash64(F.lit(3), "doc_id", "size")
-    slim = staged(docs.select("doc_id", _size().alias("size"), old_shard.cast("int").alias("old_shard")), "reshard-sizes")
-    slim = slim.withColumn("class", size_class)
-    classes = staged(slim.groupBy("old_shard", "class").agg(F.sum("size").alias("bytes")), "reshard-classes")
-    sizes = {r[0]: r[1] for r in classes.groupBy("old_shard").agg(F.sum("bytes")).collect()}  # one row per shard
+    c = lambda name: F.col(PREFIX + name)
+    named = lambda *names: [PREFIX + n for n in names]
+    size_class = F.floor(F.log2(c("size"))).cast("int")
+    # rows of one id and size lie in as many chunks as their texts need
+    spread = F.xxhash64(F.lit(3), "doc_id", c("text_crc32"), c("size"))
+    added = [_size().alias(PREFIX + "size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias(PREFIX + "text_crc32"), old_shard.cast("int").alias(PREFIX + "old_shard")]
+    slim = staged(docs.select("doc_id", *added), "reshard-sizes").withColumn(PREFIX + "class", size_class)
+    classes = staged(slim.groupBy(*named("old_shard", "class")).agg(F.sum(c("size")).alias("bytes")), "reshard-classes")
+    sizes = {r[0]: r[1] for r in classes.groupBy(c("old_shard")).agg(F.sum("bytes")).collect()}  # one row per shard
     sizes = {-1 if k is None else k: v for k, v in sizes.items()}
     moves = plan(sizes, capacities or equal_capacities(sum(sizes.values()), shards))
 
-    classes = classes.select("old_shard", "class", F.ceil(F.col("bytes") / F.lit(chunk_bytes)).alias("n_chunks"))
-    chunk = F.pmod(spread, F.col("n_chunks"))
-    totals = join_small(slim, classes, ["old_shard", "class"]).groupBy("old_shard", "class", chunk.alias("bucket")).agg(F.sum("size").alias("bytes"))
-    before = F.sum("bytes").over(W.partitionBy("old_shard").orderBy(F.col("class").desc(), "bucket").rowsBetween(W.unboundedPreceding, -1))
-    starts = staged(totals.select("old_shard", "class", "bucket", F.coalesce(before, F.lit(0)).alias("chunk_start")), "reshard-chunks")
-
-    names = [c for c in docs.columns if c not in ADDED]
-    rows = docs.select(*names, _size().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
-    rows = join_small(rows.withColumn("class", size_class), classes, ["old_shard", "class"])
-    rows = join_small(rows.withColumn("bucket", chunk), starts, ["old_shard", "class", "bucket"])
-    own = W.partitionBy("old_shard", "class", "bucket")
-    order = [F.col("size").desc(), F.col("doc_id"), F.col("text_crc32")]
-    end = F.sum("size").over(own.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    middle = F.col("chunk_start") + F.col("end") - F.col("size") / 2
+    classes = classes.select(*named("old_shard", "class"), F.ceil(F.col("bytes") / F.lit(chunk_bytes)).alias(PREFIX + "n_chunks"))
+    chunk = F.pmod(spread, c("n_chunks"))
+    part = named("old_shard", "class", "bucket")
+    totals = join_small(slim, classes, named("old_shard", "class")).groupBy(*named("old_shard", "class"), chunk.alias(PREFIX + "bucket")).agg(F.sum(c("size")).alias("bytes"))
+    before = F.sum("bytes").over(W.partitionBy(c("old_shard")).orderBy(c("class").desc(), c("bucket")).rowsBetween(W.unboundedPreceding, -1))
+    starts = staged(totals.select(*part, F.coalesce(before, F.lit(0)).alias(PREFIX + "chunk_start")), "reshard-chunks")
+
+    rows = docs.select(*[docs[f"`{n}`"] for n in docs.columns], *added).withColumn(PREFIX + "class", size_class)
+    rows = join_small(rows, classes, named("old_shard", "class"))
+    rows = join_small(rows.withColumn(PREFIX + "bucket", chunk), starts, part)
+    order = [c("size").desc(), F.col("doc_id"), c("text_crc32")]
+    end = F.sum(c("size")).over(W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    middle = c("chunk_start") + c("end") - c("size") / 2
     target = F.lit(None).cast("int")
     for i, _, to, j in reversed(moves):
-        target = F.when((F.coalesce("old_shard", F.lit(-1)) == i) & (middle < to), j).otherwise(target)
-    rows = rows.withColumn("end", end).withColumn("shard", target)
-    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("old_shard", "class", "bucket", "shard").orderBy(*order)))
+        target = F.when((F.coalesce(c("old_shard"), F.lit(-1)) == i) & (middle < to), j).otherwise(target)
+    rows = rows.withColumn(PREFIX + "end", end).withColumn(PREFIX + "shard", target)
+    rows = rows.withColumn(PREFIX + "rank", F.row_number().over(W.partitionBy(*part, c("shard")).orderBy(*order)))
     path = path or fresh_path(spark, "shards")
     touched = {k for i, _, _, j in moves if i != j for k in (i, j)}
-    kept = [c for c in rows.columns if c not in ("n_chunks", "chunk_start", "end")]
-    wrote = rows.select(*kept)
+    wrote = rows.drop(*named("n_chunks", "chunk_start", "end"))
+    moved = c("shard").isin(*touched) if touched else F.lit(False)
     if touched >= set(range(shards)):
-        wrote.write.partitionBy("shard").parquet(path)
+        wrote.write.partitionBy(PREFIX + "shard").parquet(path)
         new = spark.read.schema(wrote.schema).parquet(path)
     else:  # untouched shards keep the files they have
-        wrote.where(F.col("shard").isin(*touched) if touched else F.lit(False)).write.partitionBy("shard").parquet(path)
-        new = spark.read.schema(wrote.schema).parquet(path).unionByName(wrote.where(~F.col("shard").isin(*touched) if touched else F.lit(True)))
+        wrote.where(moved).write.partitionBy(PREFIX + "shard").parquet(path)
+        new = spark.read.schema(wrote.schema).parquet(path).unionByName(wrote.where(~moved))
 
-    parts = ["shard", "old_shard", "class", "bucket"]
+    parts = [PREFIX + "shard", *part]
     counts = new.groupBy(*parts).agg(F.count("*").alias("n"))
-    first = F.sum("n").over(W.partitionBy("shard").orderBy("old_shard", F.col("class").desc(), "bucket").rowsBetween(W.unboundedPreceding, -1))
-    firsts = staged(counts.select(*parts, F.coalesce(first, F.lit(0)).alias("first")), "reshard-slots")
-    out = join_small(new, firsts, parts).withColumn("slot", (F.col("first") + F.col("rank") - 1).cast("long"))
-    return out.select(*names, "size", "text_crc32", "shard", "slot"), moves
+    first = F.sum("n").over(W.partitionBy(c("shard")).orderBy(c("old_shard"), c("class").desc(), c("bucket")).rowsBetween(W.unboundedPreceding, -1))
+    firsts = staged(counts.select(*parts, F.coalesce(first, F.lit(0)).alias(PREFIX + "first")), "reshard-slots")
+    out = join_small(new, firsts, parts).withColumn(PREFIX + "slot", (c("first") + c("rank") - 1).cast("long"))
+    return out.select(*[f"`{n}`" for n in docs.columns], *named("size", "text_crc32", "shard", "slot")), moves
 
 
 def by_source(shards: int = 8) -> Column:
@@ -149,4 +154,6 @@ def by_source(shards: int = 8) -> Column:
 
 
 def report(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    own = [F.col(PREFIX + n).alias(n) for n in ("size", "text_crc32", "shard", "slot")]
+    size, crc, shard, slot = own
+    return rows.select("doc_id", size, crc, F.lit("bytes").alias("law"), shard, slot, F.lit(None).cast("int").alias("grown_shard"))

@@ -128,9 +128,80 @@ def test_spans(spark, edge, rows, module, base, hard):
     assert got == want
 
 
-def test_entropy_adds_and_allows(spark):
-    docs = spark.createDataFrame([(1, "key Zx9Qw3Er7Ty1Ui5Op0AsDf done"), (2, "550e8400-e29b-41d4-a716-446655440000"), (3, "www.example.com/some/path/index2"), (4, "2024-01-01_2024-02-02_2024")], "doc_id long, text string")
-    assert {r.doc_id: r.spans for r in secrets.report(docs).collect()} == {1: "entropy:4:26", 2: "", 3: "", 4: ""}
+def plain_entropy(text, base):
+    """Spans of high entropy by counting every window anew."""
+    masked = list(text)
+    for x in base:
+        masked[x[0] : x[2]] = " " * (x[2] - x[0])
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=.-]{16,}", "".join(masked)):
+        s, w = m[0], min(20, len(m[0]))
+        if w < 20 and not all(re.search(k, s) for k in ("[0-9]", "[a-z]", "[A-Z]")):
+            continue
+        if any(re.search(p, s) for p in (r"^[0-9+/_=.-]+$", r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", r"(?i)^[a-z0-9-]+(\.[a-z0-9-]+)*?\.(com|org|net|edu|gov|io|de|fr|es|uk)([./].*)?$", r"(?i)^([a-z]+[0-9]{0,4}[._/=-]+)+[a-z]*[0-9]{0,4}$")):
+            continue
+        bits = 3.0 if re.fullmatch("[0-9a-fA-F]+", s) else 4.0 if re.fullmatch("[A-Z]?[a-z/_=.-]+|[A-Z/_=.-]+", s) else 3.5 if re.fullmatch("[0-9a-z]+|[0-9A-Z]+", s) else 3.9
+        most, own = secrets.most_weight(w, bits, 20), []
+        for i in range(len(s) - w + 1):
+            if sum(map(secrets.weight, Counter(s[i : i + w]).values())) <= most:
+                if own and own[-1][1] >= i:
+                    own[-1][1] = i + w
+                else:
+                    own.append([i, i + w])
+        for a, b in own:
+            if not re.search(r"(?i)(?<![a-z0-9])(example|sample|dummy|placeholder|changeme|lorem)(?![a-z0-9])|(.)\2{7}", s[a:b]):
+                out.append((m.start() + a, 3, m.start() + b, "entropy"))
+    return out
+
+
+def random_texts():
+    """Texts with runs of every class, alone, glued to others and beside base spans."""
+    import string
+
+    rng = np.random.default_rng(9)
+    alphabets = ["0123456789abcdef", string.ascii_lowercase, string.ascii_letters, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/", "ab/1-._="]
+    out = []
+    for i in range(150):
+        parts = []
+        for _ in range(4):
+            n, kind = int(rng.integers(10, 70)), rng.integers(6)
+            parts.append("".join(rng.choice(list(alphabets[kind]), n)))
+        glue = ["=" * 12, " ", "-" * 9 + "x", " token=abcdefg", ".example.", "-sample", "/", "é ", " 😀"]
+        out.append("".join(p + glue[int(rng.integers(len(glue)))] for p in parts))
+    return out
+
+
+CURVED = ["Zx9Qw3Er7Ty1Ui5Op0AsDf", "key Zx9Qw3Er7Ty1Ui5Op0AsDf done", "550e8400-e29b-41d4-a716-446655440000", "www.example.com/some/path/index2", "2024-01-01_2024-02-02_2024", "aZ3kQ9xT2mL7pR5w", "abcdefghijklmnop", "qwertyuiopasdfghjklzxcvbnm", "internationalisation", "=" * 40 + "Zx9Qw3Er7Ty1Ui5Op0AsDf" + "-" * 40, "password=abc123/Zx9Qw3Er7Ty1Ui5Op0AsDf password=abcdef,Zx9Qw3Er7Ty1Ui5Op0AsDf", "a.com.b.xyz.Zx9Qw3Er7Ty1Ui5Op0AsDf"]
+
+
+def test_entropy_spans(spark):
+    texts = [*CURVED, *random_texts(), *HARD_SECRETS]
+    got = {r.doc_id: r.spans for r in secrets.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        base = secret_base(t)
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted([*base, *plain_entropy(t, base)])), t
+    assert [got[i] for i in range(9)] == ["entropy:0:22", "entropy:4:26", "", "", "", "entropy:0:16", "", "entropy:0:26", ""]
+
+
+def test_random_secrets_are_found_and_words_are_not(spark, rows):
+    import string
+
+    rng = np.random.default_rng(3)
+    kinds = {"mixed": string.ascii_letters + string.digits, "lower": string.ascii_lowercase + string.digits, "upper hex": "0123456789ABCDEF", "letters": string.ascii_letters}
+    made = [(i, kind, f"a line with {''.join(rng.choice(list(a), 40))} in it") for kind, a in kinds.items() for i in range(100)]
+    docs = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(made)], "doc_id long, text string")
+    hit = Counter(made[r.doc_id][1] for r in secrets.report(docs).collect() if "entropy" in r.spans)
+    assert all(hit[k] >= 90 for k in kinds), hit
+    found = [t for i, t in rows if t and i is not None and i < 10**9 and plain_entropy(t, secret_base(t))]
+    assert len(found) <= len(rows) // 200
+
+
+@pytest.mark.parametrize("part", ["ab1-", "ab1.", "a/", "a=1-", "Zx9Qw3Er7Ty1Ui5Op0AsDf", "abcdefgh", "aB3.com/", "-", "1.", "a1", "é/a"])
+def test_long_runs_end(spark, part):
+    """Runs of 200,000 characters of any make are scanned to their ends."""
+    text = (part * 200_000)[:200_000]
+    docs = spark.createDataFrame([(1, text), (2, f"{text} Zx9Qw3Er7Ty1Ui5Op0AsDf")], "doc_id long, text string")
+    assert len({r.doc_id for r in secrets.report(docs).collect()}) == 2
 
 
 def test_redaction_keeps_columns(edge):
@@ -140,16 +211,23 @@ def test_redaction_keeps_columns(edge):
     assert out.where("text is null").count() == edge.where("text is null").count()
 
 
-def test_sliding_entropy(spark):
-    import math
+def plain_em(patterns, rounds=25):
+    """(votes, n) -> probability of each pattern, as the operator's docstring has it."""
+    share, hit, alarm = 0.5, [0.7] * 6, [0.3] * 6
 
-    from pyspark.sql import functions as F
+    def truth(votes):
+        odds = np.log(share / (1 - share))
+        for j, v in enumerate(votes):
+            odds += 0 if v is None else np.log(hit[j] / alarm[j]) if v else np.log((1 - hit[j]) / (1 - alarm[j]))
+        return 1 / (1 + np.exp(-odds))
 
-    s = "aaaaaaaaaaaaaaaaaaaaaaQw8Er2Ty6Ui4Op1As5Df7Gh9bbbbbbbbbbbbbbbbbbbbbbb"
-    h = lambda w: -sum(c / len(w) * math.log2(c / len(w)) for c in Counter(w).values())
-    hits = [i for i in range(len(s) - 19) if h(s[i : i + 20]) >= 3.9]
-    got = spark.range(1).select(secrets.entropy_range(F.lit(s), 20, F.lit(3.9)).alias("r")).first().r
-    assert (got[0], got[1]) == (hits[0], hits[-1])
+    for _ in range(rounds):
+        soft = [(v, n, truth(v)) for v, n in patterns]
+        rate = lambda j, w: (1 + sum(w(n, t) for v, n, t in soft if v[j] == 1)) / (2 + sum(w(n, t) for v, n, t in soft if v[j] is not None))
+        hit = [rate(j, lambda n, t: n * t) for j in range(6)]
+        alarm = [rate(j, lambda n, t: n * (1 - t)) for j in range(6)]
+        share = (1 + sum(n * t for _, n, t in soft)) / (2 + sum(n for _, n, _ in soft))
+    return {v: truth(v) for v, _ in patterns}
 
 
 def test_expectation_maximisation(spark):
@@ -157,24 +235,118 @@ def test_expectation_maximisation(spark):
     from pyspark.sql import types as T
 
     rows = [([1, 1, 0, None, None, None], 80), ([0, 0, 1, None, None, None], 120), ([1, 0, 1, None, None, None], 5), ([None] * 6, 10)]
-    p = spark.createDataFrame(rows, T.StructType().add("votes", T.ArrayType(T.IntegerType())).add("n", T.LongType()))
+    p = spark.createDataFrame([("a", *r) for r in rows], T.StructType().add("kind", T.StringType()).add("votes", T.ArrayType(T.IntegerType())).add("n", T.LongType()))
     got = {tuple(r.votes): r.p for r in pii.reliabilities(p).collect()}
     assert got[1, 1, 0, None, None, None] > 0.9
     assert got[0, 0, 1, None, None, None] < 0.1
+    assert got == pytest.approx(plain_em([(tuple(v), n) for v, n in rows]))
+
+
+def iban(rng):
+    body = "".join(map(str, rng.integers(0, 10, 18)))
+    check = 98 - int(body + "131400") % 97  # D, E and two zeros
+    return f"DE{check:02d}" + body
+
+
+def personal_texts(n=300):
+    """Texts with planted data (kind, text) and with look-alikes."""
+    rng = np.random.default_rng(8)
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    filler = lambda: " ".join(pick("the", "river", "was", "wide", "und", "sie", "ging", "avec", "lui", "casa", "grande", "stone") for _ in range(int(rng.integers(4, 12))))
+    true = {
+        "number": lambda: (pick("call ", "phone: ", "Telefon ", "teléfono: "), pick(f"{rng.integers(200, 999)}-{rng.integers(200, 999)}-{digits(4)}", f"({rng.integers(200, 999)}) {rng.integers(200, 999)}-{digits(4)}"), pick("", " mobile", " ext")),
+        "account": lambda: (pick("IBAN ", "Konto: ", "account "), pick(x := iban(rng), " ".join(x[i : i + 4] for i in range(0, 22, 4))), ""),
+        "date": lambda: (pick("born ", "geboren am ", "date of birth: "), f"{rng.integers(1, 29):02d}.{rng.integers(1, 13):02d}.{rng.integers(1940, 2000)}", ""),
+        "address": lambda: (pick("mail ", "reach me: ", "contact "), f"{pick('john', 'anna', 'marie')}.{pick('smith', 'weber', 'roux')}{rng.integers(1, 99)} [at] {pick('mail', 'web', 'post')} [dot] {pick('com', 'de', 'fr', 'org')}", ""),
+        "name": lambda: (pick("contact ", "dear ", "name: "), f"{pick('Mr', 'Mrs', 'Dr', 'Herr', 'Frau')} {pick('John', 'Mary', 'Hans', 'Petra')} {pick('Smith', 'Weber', 'Roux')}", ""),
+    }
+    false = (lambda: f"order {digits(3)}-{digits(4)}", lambda: f"version {rng.integers(10, 99)}.{rng.integers(10, 99)}.{rng.integers(10, 99)}", lambda: f"page {digits(2)}-{digits(2)}", lambda: f"invoice 20{rng.integers(10, 25)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}", lambda: f"total {digits(3)} {digits(3)} eur", lambda: f"item DE{digits(2)}{digits(18)}", lambda: "look at the dot on it", lambda: f"lot {digits(12)}")
+    out = []
+    for i in range(n):
+        text, planted = filler(), []
+        for _ in range(3):
+            if rng.random() < 0.5:
+                kind = pick(*true)
+                before, own, after = true[kind]()
+                text += " " + before
+                planted.append((kind, len(text), len(text) + len(own)))
+                text += own + after
+            else:
+                text += " " + pick(*false)()
+            text += ". " + filler()
+        out.append((i, text, planted))
+    return out
+
+
+def test_planted_personal_data(spark):
+    made = personal_texts()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string")
+    got = {r.doc_id: {tuple(x.split(":")) for x in r.spans.split(",") if x} for r in pii.report(docs).collect()}
+    added = {(i, k, int(a), int(b)) for i, spans in got.items() for k, a, b in spans if k not in pii.KINDS}
+    want = {(i, k, a, b) for i, _, planted in made for k, a, b in planted}
+    hit = len(added & want)
+    assert hit >= 0.9 * len(want), Counter(k for _, k, _, _ in want - added)
+    assert hit >= 0.95 * len(added), [made[i][1][a:b] for i, _, a, b in added - want][:9]
+    for i, spans in got.items():
+        ends = sorted((int(a), int(b)) for k, a, b in spans if k not in pii.KINDS)
+        assert all(x[1] <= y[0] for x, y in zip(ends, ends[1:]))
+
+
+def test_the_span_classifier(spark):
+    """Its weights are those of plain expectation-maximisation and log-odds over the same votes and features."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, t) for i, t, _ in personal_texts(80)], "doc_id long, text string")
+    found = docs.withColumn("base", pii.base_spans(F.col("text"))).select(pii.candidates(F.col("text"), F.col("base")).alias("cands"))
+    cands = [c for r in found.collect() for c in r.cands]
+    yes, no = Counter(), Counter()
+    for kind in pii.WIDE:
+        own = [c for c in cands if c.kind == kind]
+        p = plain_em(list(Counter(tuple(c.votes) for c in own).items()))
+        for c in own:
+            for value in [f"{kind}:", *c.features]:
+                yes[value] += p[tuple(c.votes)]
+                no[value] += 1 - p[tuple(c.votes)]
+    want = {}
+    for value in yes:
+        y, n = (x[f"{value.split(':')[0]}:"] for x in (yes, no))
+        want[value] = np.log((y + 1) / (n + 1)) if value.endswith(":") else np.log((yes[value] + 1) / (y + 2)) - np.log((no[value] + 1) / (n + 2))
+    assert pii.trained(found) == pytest.approx(want, abs=1e-6)
 
 
 # --- 4, 6, 8
 
 
 def test_token_files(edge, rows, library):
-    path, manifest = token_files.write_files(edge, BPE, end_id=2, files=3)
+    import xxhash
+
+    path, manifest = token_files.write_files(edge, BPE, end_id=2, file_bytes=150_000)
     got = sorted(((r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in token_files.digests(token_files.read_files(path, manifest)).collect()), key=lambda x: x[2])
-    want, at = [], 0
-    for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, (x[1] or "").encode())):
+    want, at, every = [], 0, []
+    signed = lambda t: (x := xxhash.xxh64_intdigest((t or "").encode(), seed=42)) - (x >> 63 << 64)
+    for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, signed(x[1]))):
         ids = ids_of(library, t, 2)
         want.append((i is not None, i or 0, at, len(ids), zlib.crc32(ids.tobytes())))
+        every.append(ids)
         at += len(ids)
     assert got == want
+    # runs of ids by the index, across blocks and at the ends of files
+    files = sorted(manifest.collect())
+    assert len(files) > 1
+    every, at, rng = np.concatenate(every), 0, np.random.default_rng(0)
+    for f in files:
+        for a, b in [(0, 1), (0, f.n_ids), (f.n_ids - 1, f.n_ids), (1023, 1025), *rng.integers(0, f.n_ids, (10, 2)).tolist()]:
+            assert np.array_equal(token_files.ids_between(f"{path}/{f.file}", a, b), every[at : at + f.n_ids][a:b])
+        at += f.n_ids
+
+
+def test_one_id_fills_several_files(spark):
+    docs = spark.createDataFrame([(None, "same text of a row") for _ in range(3000)] + [(7, f"text {i} of one id") for i in range(3000)], "doc_id long, text string")
+    _, manifest = token_files.write_files(docs, BPE, file_bytes=10_000)
+    held = [r.n_docs for r in manifest.collect()]
+    assert sum(held) == 6000
+    assert max(held) < 2000
 
 
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 5000])
@@ -284,6 +456,8 @@ def test_resharding(edge, rows):
     largest = max(r.size for r in got)
     assert max(per.values()) - min(per.values()) <= largest
     assert sum(b - a for i, a, b, j in moves) == sum(per.values())
+    assert new.columns[: len(edge.columns)] == edge.columns  # size, shard, class and the like are the user's own
+    assert new.where("doc_id = 1000000010").first().shard == "s"
 
 
 def test_cheapest_flow():
@@ -416,20 +590,63 @@ def test_minhash(spark, edge, rows):
     assert kept.columns == edge.columns
     ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
     plain = plain_components(rows, 4)
-    assert sorted(ids) == sorted(i for i, (_, c) in plain.items() if i == c)
-
-
-def test_blocks_of_large_rests(spark, monkeypatch):
-    """Large buckets whose members are not all alike are compared block by block, without losing links."""
-    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 4)
-    sets = [(i, [100 * (i % 3) + j for j in range(20)] + [1000 + i]) for i in range(12)]
-    rest = spark.createDataFrame([(7, 12, i, i) for i, _ in sets], "bucket long, members long, doc long, root long")
-    links = minhash._in_blocks(rest, spark.createDataFrame(sets, "doc long, shingles array<long>"), 80).collect()
-    root = list(range(12))
-    for _ in range(12):
-        for r in links:
-            root[r.a] = root[r.b] = min(root[r.a], root[r.b])
-    assert root == [i % 3 for i in range(12)]
+    # a row without words stays, however often its id is there
+    spare = sum(not words(t) for i, t in rows if i is not None) - len({i for i, t in rows if i is not None and not words(t)})
+    assert sorted(set(ids)) == sorted(i for i, (_, c) in plain.items() if i == c)
+    assert len(ids) == len(set(ids)) + spare
+
+
+def test_one_doc_id_with_two_texts(spark):
+    """Rows of one doc_id are judged by their own texts, links of both count, and copies of a row go."""
+    long = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    made = [(5, " ".join(long)), (5, " ".join(other)), (5, " ".join(other)), (7, " ".join([*long, "end"])), (9, " ".join([*other, "end"])), (3, " ".join([*other[1:], "x"])), (5, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(made)], "doc_id long, text string, k int")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, shingle=4).collect()}
+    assert got == {(5, 57, 5), (5, 57, 3), (7, 58, 5), (9, 58, 3), (3, 57, 3), (5, 0, 5)}
+    assert sorted(r.k for r in minhash.deduplicated(docs, shingle=4).collect()) == [0, 5, 6, 7]
+
+
+def test_small_sets_always_meet(spark):
+    """Sets of few shingles that differ by one are found by exact digests: none of many pairs is missed."""
+    rng = np.random.default_rng(2)
+    made = []
+    for i in range(600):
+        words_ = [f"{c}" for c in rng.integers(0, 10**9, 8)]
+        made += [(2 * i, " ".join(words_[:7])), (2 * i + 1, " ".join(words_))]  # 4 and 5 shingles
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    assert minhash.near_duplicates(docs, shingle=4).where("component_id % 2 = 0 and component_id = doc_id - doc_id % 2").count() == len(made)
+
+
+def test_pairs_grow_with_the_group(spark, monkeypatch):
+    """Near copies of one text whose similarities lie about the limit: what is compared grows as the group."""
+    from tidemark.llm import common
+
+    made = Counter()
+    whole = common.Scratch.__call__
+
+    def counted(self, df, name):
+        out = whole(self, df, name)
+        if name.startswith("minhash-pairs"):
+            made[size] += out.count()
+        return out
+
+    monkeypatch.setattr(common.Scratch, "__call__", counted)
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(150)]
+    for size in (200, 400, 800):
+        texts = []
+        for i in range(size):
+            own = list(base)
+            for at in rng.integers(0, 150, 7):
+                own[at] = f"u{rng.integers(10**9)}"
+            texts.append((i, " ".join(own)))
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, shingle=4).collect()}
+        if size == 200:
+            assert got == {i: c for i, (_, c) in plain_components(texts, 4).items()}
+    assert made[400] < 2.6 * made[200]
+    assert made[800] < 2.6 * made[400]
 
 
 # --- all

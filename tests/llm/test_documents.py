@@ -404,6 +404,82 @@ def test_small_sources_are_packed_once(spark):
     assert all(sorted(x) == list(range(min(16, total - 16 * w))) for w, x in windows.items())
 
 
+def round_robin(sizes, weights, window):
+    """Deficit round-robin, window by window: tokens of each queue in each window."""
+    from fractions import Fraction
+
+    left, deficit, out = list(sizes), [Fraction(0)] * len(sizes), []
+    while any(left):
+        live = [Fraction(w) if n else Fraction(0) for w, n in zip(weights, left)]
+        if not any(live):
+            live = [Fraction(n) for n in left]
+        shares = [x / sum(live) for x in live]
+        room, given = min(window, sum(left)), [0] * len(left)
+        for g, x in enumerate(shares):
+            deficit[g] += window * x
+            given[g] = min(left[g], int(deficit[g]), room - sum(given))
+            deficit[g] -= given[g]
+        while sum(given) < room:  # tokens left by fractions and dry queues go to the largest claim
+            g = max((g for g in range(len(left)) if left[g] > given[g]), key=lambda g: (shares[g] > 0, deficit[g]))
+            given[g] += 1
+            deficit[g] -= 1
+        left = [n - d for n, d in zip(left, given)]
+        out.append(given)
+    return out
+
+
+@pytest.mark.parametrize(("sizes", "weights"), [([9000, 5000, 700], [1, 2, 3]), ([4000, 4000], [1, 1]), ([100, 20000, 3], [5, 1, 1]), ([5000, 0, 800], [1, 1, 0]), ([700, 700, 700, 90], [0.1, 0.2, 0.3, 0.4]), ([3], [1])])
+def test_target_shares_against_round_robin(sizes, weights):
+    """Every token has one place, windows are full, and no window is farther from the literal round-robin
+    than the tokens that fractions leave."""
+    window = 64
+    plan = packing.phases(sizes, weights, window)
+    seen, mine = set(), defaultdict(lambda: [0] * len(sizes))
+    for g, n in enumerate(sizes):
+        at = 0
+        for step in (1, 7, 200, 10**6):  # documents of several lengths
+            for a, m, w, o in packing.place(plan, g, at, k := min(step, n - at), window):
+                mine[w][g] += m
+                seen |= {w * window + o + i for i in range(m)}
+            at += k
+            if step == 10**6:
+                assert at == n
+    assert seen == set(range(sum(sizes)))
+    want = round_robin(sizes, weights, window)
+    assert len(want) == len(mine)
+    left = np.array(sizes)
+    for w in range(len(want)):
+        x = np.where(left > 0, weights, 0)
+        share = x / x.sum() if x.sum() else left / left.sum()
+        if all(n >= window * s + len(sizes) for n, s in zip(left, share) if s):  # no queue runs dry here
+            assert abs(mine[w] - window * share).max() <= len(sizes)
+        left = left - mine[w]
+    total = np.cumsum([mine[w] for w in range(len(want))], axis=0)
+    assert abs(total - np.cumsum(want, axis=0)).max() <= 2 * window
+
+
+def test_packing_by_weights(spark, edge, rows, library):
+    weights = {"src1": 2.0, None: 1.0, "none such": 1.0}
+    windows, tokens = defaultdict(Counter), Counter()
+    spans = defaultdict(list)
+    for p in packing.pack(edge, BPE, weights=weights, other=3.0).collect():
+        windows[p.sequence_id][p.source if p.source in weights else "other"] += p.length
+        spans[p.sequence_id].append((p.offset, p.length))
+        tokens[p.doc_id] += p.length
+    want = Counter()
+    for i, t in rows:
+        want[i] += len(ids_of(library, t, 0))
+    assert tokens == want
+    for w, own in spans.items():
+        at = 0
+        for a, n in sorted(own):
+            assert a == at
+            at += n
+        assert at == 1024 or w == max(spans)
+    # the null source has two tokens and is dry after the first window
+    assert abs(windows[1]["src1"] - 1024 * 2 / 5) <= 4
+
+
 def test_the_shared_queue_holds_its_shares():
     rng = np.random.default_rng(1)
     for sizes in ([1001, 2001], [1] * 300, [1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144], rng.integers(1, 900, 60).tolist()):

@@ -2,14 +2,14 @@
 
 Each source is a queue of tokens: its documents, each with the end id, in the order of the staged
 parts. Every window of ``window`` tokens credits each queue with its quantum, window * share, serves the
-whole tokens of the credit and carries the fraction as the queue's deficit. The shares are those of the
-sources' token counts, so all queues run dry together and every document is packed once.
+whole tokens of the credit and carries the fraction as the queue's deficit, across windows and partitions.
+Every document is packed once.
 
-With Q(s) the tokens of sources 0..s and N all tokens, the tokens served from sources 0..s before window
-w are C(s, w) = floor(w * window * Q(s) / N). Queue s has then given C(s, w) - C(s - 1, w) tokens, which is
-its credit up to a deficit below one token, and the tokens of a window add up to ``window`` exactly. So
-the round-robin needs no pass over windows one after another: any task knows the deficits at any window
-from the totals alone, and they carry across windows and partitions. Only the last window is short.
+Shares by size (no ``weights``): all queues run dry together. With Q(s) the tokens of sources 0..s and N all
+tokens, the tokens served from sources 0..s before window w are C(s, w) = floor(w * window * Q(s) / N). Queue
+s has then given C(s, w) - C(s - 1, w) tokens, which is its credit up to a deficit below one token, and the
+tokens of a window add up to ``window`` exactly. So the round-robin needs no pass over windows one after
+another: any task knows the deficits at any window from the totals alone. Only the last window is short.
 
 C(s, w) - C(s - 1, w) never falls where a queue's quantum is one token or more, nor for the last queue.
 Sources of a smaller quantum therefore share one queue, the last. A Huffman tree of their sizes orders
@@ -19,19 +19,27 @@ has one place, found by going up the tree. An error at a node weighs as the sour
 and nodes' sizes grow at least as Fibonacci's numbers, so in any window such a source is within four tokens
 of its share.
 
+Target shares (``weights``): each named source is a queue, and all others together are one, mixed among
+themselves by size as above. In a phase the live queues keep their shares: after b of its T tokens a queue
+of D tokens has given floor(b * D / T), and the largest queue what is left of b. A phase ends with the last
+whole window before a queue runs dry; in the next window that queue gives its rest and the others fill up by
+their shares, which from then on are those of the queues left, scaled to one. Phases are few, two at most
+for each weight, so they are settled beforehand from the queues' sizes alone.
+
 Documents are encoded once, by parts of the input, and staged with their running token counts per source
 in the part. The totals of (part, source), a slim table, give each part's place in each queue; it is
 joined to the staged rows, and each row is cut into pieces where it lies. Ids are never shuffled.
 
 Nulls and the like: a null text is empty (its document is the end id alone); a null source is a queue
-of its own, after the others; repeated rows are documents of their own; an empty table gives no piece;
-other columns are left out.
+of its own, after the others; repeated rows are documents of their own; an empty table gives no piece; a
+weight of 0 has its queue wait until the others are dry; other columns are left out.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -135,6 +143,66 @@ def scatter(start: int, n: int, path: list[int], pool: int, total: int, window:
     return k[new], np.diff(new, append=n), w[new], offset[new]
 
 
+def one_window(left: list[int], shares: list[Fraction], room: int) -> list[int]:
+    """Tokens of each queue in a window in which one runs dry: by share, then by the shares of those left."""
+    given = [0] * len(left)
+    while room and any(left):
+        live = [g for g, n in enumerate(left) if n and shares[g]] or [g for g, n in enumerate(left) if n]
+        total = sum(shares[g] for g in live)
+        want = {g: room * shares[g] / total if total else Fraction(room, len(live)) for g in live}
+        take = {g: min(left[g], want[g].__floor__()) for g in live}
+        if not any(take.values()):  # less than a token each: the largest claim first
+            take = {max(live, key=lambda g: (want[g], -g)): 1}
+        for g, n in take.items():
+            given[g], left[g], room = given[g] + n, left[g] - n, room - n
+    return given
+
+
+def phases(sizes: list[int], weights: list[float], window: int) -> list[tuple[int, list[int]]]:
+    """Phases of the queues: first token of all, and the tokens that each queue gives in the phase."""
+    if len(sizes) * (len(sizes) - 1) > window:
+        raise ValueError("too many weighted queues for the window")
+    left, at, out = list(sizes), 0, []
+    every = [Fraction(w) for w in weights]
+    while any(left):
+        live = [w if n else Fraction(0) for w, n in zip(every, left)]
+        if not any(live):  # queues of no weight come last, by size
+            live = [Fraction(n) for n in left]
+        shares = [w / sum(live) for w in live]
+        # whole windows until the first queue has less than its share; the largest takes up what rounding leaves
+        whole = min((max(0, n - len(left)) / (window * x)).__floor__() for n, x in zip(left, shares) if x)
+        if whole:
+            given = [(whole * window * x).__floor__() for x in shares]
+            given[given.index(max(given))] += whole * window - sum(given)
+            left = [n - d for n, d in zip(left, given)]
+        else:
+            given = one_window(left, shares, window)
+        out.append((at, given))
+        at += sum(given)
+    return out
+
+
+def place(plan: list[tuple[int, list[int]]], g: int, start: int, n: int, window: int):
+    """Pieces of the tokens [start, start + n) of queue g: (first token in the queue, length, window, offset)."""
+    done = 0
+    for at, given in plan:
+        a, b = max(start, done), min(start + n, done + given[g])
+        if a < b:
+            total, filler = sum(given), given.index(max(given))
+            k = np.arange(-(-total // window) + 1)
+            if total > window:  # the windows that can hold the tokens
+                k = k[max(0, (a - done) * total // (given[g] * window) - 2 - len(given)) : (b - done) * total // (given[g] * window) + 3 + len(given)]
+            ends = np.minimum(k * window, total)
+            before = [boundaries(k, d, total, window) if total > window else ends * d // total for d in given]
+            before[filler] = ends - sum(x for s, x in enumerate(before) if s != filler)
+            own = before[g] + done
+            x, y = np.maximum(own[:-1], a), np.minimum(own[1:], b)
+            skipped = sum(before[s][1:] - before[s][:-1] for s in range(g)) if g else np.zeros(len(x), dtype=np.int64)
+            for i in np.flatnonzero(y > x).tolist():
+                yield int(x[i]), int(y[i] - x[i]), at // window + int(k[i]), int(skipped[i] + x[i] - own[i])
+        done += given[g]
+
+
 def _shared(sources: DataFrame) -> DataFrame:
     """source, path, pool: the sources whose quantum is below one token."""
 
@@ -145,32 +213,56 @@ def _shared(sources: DataFrame) -> DataFrame:
     return sources.groupBy().applyInPandas(paths, "source string, path array<long>, pool long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (binary, u32), doc_tokens, sequence_id, offset, source."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024, weights: dict[str | None, float] | None = None, other: float = 1.0) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids (binary, u32), doc_tokens, sequence_id, offset, source.
+
+    ``weights`` are the target shares of named sources, up to a factor, and ``other`` that of all others
+    together; without ``weights`` every source has the share of its tokens.
+    """
     rows = staged(encoded(docs, tokenizer, end_id), "pack-ids")
     held = staged(rows.groupBy("part", "source").agg(F.sum("n").alias("held")), "pack-parts")
-    sizes = held.groupBy("source").agg(F.sum("held").alias("size"))
-    sizes = staged(sizes.withColumn("total", F.sum("size").over(W.partitionBy())), "pack-sizes")
-    small = F.col("size") * F.lit(window) < F.col("total")
-    upto = F.sum("size").over(W.orderBy(F.col("source").asc_nulls_last()))
-    sources = sizes.where(~small).select("source", upto.alias("upto"), (upto - F.col("size")).alias("below"), "total", F.lit(None).cast("array<long>").alias("path"), F.lit(None).cast("long").alias("pool"))
+    names = list(weights or {})
+    group = F.lit(len(names))
+    for g, name in enumerate(names):
+        group = F.when(F.col("source").eqNullSafe(F.lit(name)), g).otherwise(group)
+    sizes = held.groupBy("source").agg(F.sum("held").alias("size")).withColumn("grp", group)
+    sizes = staged(sizes.withColumn("total", F.sum("size").over(W.partitionBy("grp"))), "pack-sizes")
+    plan: list[tuple[int, list[int]]] = []
+    if weights is not None:
+        have = dict(sizes.groupBy("grp").agg(F.sum("size")).collect())  # one row per weight
+        plan = phases([have.get(g, 0) for g in range(len(names) + 1)], [*weights.values(), other], window)
+    small = (F.col("size") * F.lit(window) < F.col("total")) & (F.col("grp") == len(names))
+    upto = F.sum("size").over(W.partitionBy("grp").orderBy(F.col("source").asc_nulls_last()))
+    sources = sizes.where(~small).select("source", "grp", upto.alias("upto"), (upto - F.col("size")).alias("below"), "total", F.lit(None).cast("array<long>").alias("path"), F.lit(None).cast("long").alias("pool"))
     none = F.lit(None).cast("long")
     shared = join_small(sizes.where(small), staged(_shared(sizes.where(small)), "pack-shared"), ["source"])
-    sources = sources.unionByName(shared.select("source", none.alias("upto"), none.alias("below"), "total", "path", "pool"))
+    sources = sources.unionByName(shared.select("source", "grp", none.alias("upto"), none.alias("below"), "total", "path", "pool"))
     # places of the parts in a queue: a running sum over at most one row per part
     first = F.coalesce(F.sum("held").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     places = join_small(held.select("part", "source", first.alias("first")), staged(sources, "pack-sources"), ["source"])
     placed = join_small(rows, staged(places, "pack-places"), ["part", "source"])
-    placed = placed.select("doc_id", "source", (F.col("first") + F.col("before")).alias("start"), "n", "ids", "below", "upto", "total", "path", "pool")
+    placed = placed.select("doc_id", "source", "grp", (F.col("first") + F.col("before")).alias("start"), "n", "ids", "below", "upto", "total", "path", "pool")
+
+    def cuts(grp: int, start: int, n: int, below, upto_, total: int, path, pool) -> tuple[list, ...]:
+        """First token in the source's queue, length, window and offset of the document's pieces."""
+        if not plan:
+            found = cut(start, n, below, upto_, total, window) if pool is None else scatter(start, n, path, pool, total, window)
+            return tuple(x.tolist() for x in found)
+        if grp < len(names):
+            own = [(start, n, start)]
+        else:  # the place among the other sources is the place in their common queue
+            found = cut(start, n, below, upto_, total, window) if pool is None else scatter(start, n, path, pool, total, window)
+            own = [(a, m, w * window + o) for a, m, w, o in zip(*(x.tolist() for x in found))]
+        out = [(a + x - at, m, w, o) for a, k, at in own for x, m, w, o in place(plan, grp, at, k, window)]
+        return tuple(map(list, zip(*out)))
 
     def pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             cols = part.to_pydict()
             for a in range(0, part.num_rows, 256):
                 out: list[list] = [[] for _ in range(8)]
-                for key, source, start, n, ids, below, upto_, total, path, pool in zip(*(cols[c][a : a + 256] for c in part.schema.names)):
-                    found = cut(start, n, below, upto_, total, window) if pool is None else scatter(start, n, path, pool, total, window)
-                    at, length, w, offset = (x.tolist() for x in found)
+                for key, source, grp, start, n, ids, *rest in zip(*(cols[c][a : a + 256] for c in part.schema.names)):
+                    at, length, w, offset = cuts(grp, start, n, *rest)
                     k = len(at)
                     out[0] += [key] * k
                     out[1] += [x - start for x in at]

@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "w06_runs"
 
 #: Modules of ``tidemark.plans``; each has QUERIES: name -> (function, SQL or None).
-FAMILIES: list[str] = ["timeline", "text", "relational", "sampling", "synthesis", "windows", "sources"]
+FAMILIES: list[str] = ["timeline", "text", "relational", "sampling", "synthesis", "windows", "lookups", "sources"]
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:

@@ -65,10 +65,15 @@ def parquet_union(spark: SparkSession, paths: dict[str, float]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def last_wins(rows: DataFrame, key: str, shard: str) -> DataFrame:
+    """Of rows with one key that of the last shard stays; counts are merged before rows are dealt out."""
+    others = [c for c in rows.columns if c not in (key, shard)]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), shard).alias("_row")).select(key, "_row.*")
+
+
 def last_shard_wins(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """JSON shards of (key, ...): of rows with one key that of the last file stays."""
-    rows = spark.read.schema(schema).json(path).withColumn("_file", F.input_file_name())
-    return rows.withColumn("_rk", F.row_number().over(W.partitionBy(key).orderBy(F.col("_file").desc()))).where("_rk = 1").drop("_rk", "_file")
+    return last_wins(spark.read.schema(schema).json(path).withColumn("_file", F.input_file_name()), key, "_file")
 
 
 def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -81,8 +86,12 @@ def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFram
     return tuple(one.select(F.explode(c).alias("x")).select("x.*") for c in ("images", "annotations", "categories"))
 
 
-def dumps(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """Several JSON-lines dumps in one; ids are unique by (source_index, id)."""
+def dumps(spark: SparkSession, paths: list[str], schema: str, labels: dict[str, dict[int, str]] | None = None) -> DataFrame:
+    """Several JSON-lines dumps in one; ids are unique by (source_index, id). ``labels`` are the dumps' label
+    maps, which must be equal."""
+    maps = list((labels or {}).values())
+    if any(m != maps[0] for m in maps):
+        raise ValueError(f"dumps of different labels: {sorted(labels)}")
     return reduce(DataFrame.unionByName, [spark.read.schema(schema).json(p).withColumn("source_index", F.lit(i)) for i, p in enumerate(paths)])
 
 
@@ -118,3 +127,25 @@ def images(spark: SparkSession, path: str, known: DataFrame | None = None) -> Da
     """Paths and lengths of image files, without those that ``known`` (path) holds already."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     return files if known is None else files.join(known.select("path"), "path", "left_anti")
+
+
+def sharpness(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """path and sharp of plain grey pictures (PGM, P2) that ``known`` (path) does not hold: the variance of the
+    Laplacian over inner pixels. Files are read where they lie, one at a time."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = files if known is None else files.join(known.select("path"), "path", "left_anti")
+
+    def score(parts):
+        import numpy as np
+
+        for pdf in parts:
+            out = []
+            for raw in pdf["content"]:
+                head = raw.split()
+                w, h = int(head[1]), int(head[2])
+                x = np.array(head[4 : 4 + w * h], dtype=np.float64).reshape(h, w)
+                z = 4 * x[1:-1, 1:-1] - x[1:-1, :-2] - x[1:-1, 2:] - x[:-2, 1:-1] - x[2:, 1:-1]
+                out.append(float(z.var()) if z.size else None)
+            yield pdf.assign(sharp=out)[["path", "sharp"]]
+
+    return files.mapInPandas(score, "path string, sharp double")

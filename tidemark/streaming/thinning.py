@@ -41,10 +41,14 @@ def thinned_stream(stream: DataFrame, key: str, t: str, gap: float) -> DataFrame
     return stream.select(key, t).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {t} {kinds[t]}", "last double", "append", "NoTimeout")
 
 
-def write_answers(stream: DataFrame, path: str, checkpoint: str):
-    """Each micro-batch to a folder of its own number, so that a repeated batch replaces itself."""
+def write_answers(stream: DataFrame, path: str, checkpoint: str, once: bool = False):
+    """Each micro-batch to a folder of its own number, so that a repeated batch replaces itself.
+
+    ``once`` ends the stream when what is there has been read.
+    """
 
     def put(df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
+    writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

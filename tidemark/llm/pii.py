@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
-from tidemark.llm.spans import SPAN, blanked, count_kind, let, listed, matches, of_kind
+from tidemark.llm.spans import SPAN, blanked, count_kind, gated, let, listed, matches, of_kind
 
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
@@ -40,8 +40,10 @@ WIDE = {
     "number": r"(?<![0-9A-Za-z+.])\(?[0-9]{2,5}\)?(?:[\x20./-][0-9]{2,5}){1,4}(?![0-9A-Za-z])",
     "digits": r"(?<![0-9A-Za-z+.,-])[0-9]{8,19}(?![0-9A-Za-z])",
     "address": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}+\x20?(?:[\[({](?i:at)[\])}]|\x20(?i:at)\x20)\x20?[A-Za-z0-9-]{2,63}+\x20?(?:[\[({](?i:dot)[\])}]|\x20(?i:dot)\x20)\x20?[A-Za-z]{2,6}(?![A-Za-z0-9])",
-    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|M|Mme|Mlle|Madame|Monsieur|Sr|Sra|Don)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?",
+    "name": r"(?=[DFHMPS])(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|M|Mme|Mlle|Madame|Monsieur|Sr|Sra|Don)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?",
 }
+#: Quick tests that a text must pass to hold a match of a kind; a text without is not searched for it.
+GATES = {"account": "[0-9]{2}", "date": "[0-9]{4}", "number": "[0-9]{2}", "digits": "[0-9]{8}", "address": r"(?i)[\[({\x20]dot[\])}\x20]", "name": r"[DFHMPS][A-Za-z]*+\.?\x20[A-Z]"}
 #: What the gazetteer knows: given names, endings of hosts, countries of account numbers.
 GIVEN = "james|mary|john|anna|peter|paul|laura|david|sarah|michael|thomas|robert|emma|william|linda|hans|klaus|petra|sabine|heike|jürgen|stefan|monika|andreas|birgit|jean|pierre|sophie|marie|luc|camille|julien|claire|michel|nathalie|juan|carlos|lucia|maria|jose|carmen|pablo|elena|miguel|isabel"
 HOSTS = "com|org|net|edu|gov|info|de|fr|es|uk|it|nl|at|ch|be|eu"
@@ -59,10 +61,11 @@ CONTEXT, AROUND = 32, 96
 
 def base_spans(text: Column) -> Column:
     digits = lambda x: F.regexp_replace(x["m"], "[^0-9]", "")
-    ips = F.filter(matches(text, IP), lambda x: F.rlike(x["m"], F.lit(_OCTETS)))
-    cards = F.filter(matches(text, CARD), lambda x: let(digits(x), lambda d: F.when(F.length(d).between(14, 19), _luhn(d)).otherwise(False)))
-    phones = F.filter(matches(text, PHONE), lambda x: F.length(digits(x)).between(10, 15))
-    return F.concat(of_kind(matches(text, EMAIL), 0, "email"), of_kind(ips, 1, "ip"), of_kind(cards, 2, "card"), of_kind(phones, 3, "phone"))
+    some = lambda mark, pattern: gated(text, F.contains(text, F.lit(mark)), pattern)
+    ips = F.filter(some(".", IP), lambda x: F.rlike(x["m"], F.lit(_OCTETS)))
+    cards = F.filter(gated(text, F.rlike(text, F.lit("[0-9]")), CARD), lambda x: let(digits(x), lambda d: F.when(F.length(d).between(14, 19), _luhn(d)).otherwise(False)))
+    phones = F.filter(some("+", PHONE), lambda x: F.length(digits(x)).between(10, 15))
+    return F.concat(of_kind(some("@", EMAIL), 0, "email"), of_kind(ips, 1, "ip"), of_kind(cards, 2, "card"), of_kind(phones, 3, "phone"))
 
 
 def _vote(*rules: tuple[Column, int]) -> Column:
@@ -191,7 +194,8 @@ def candidates(text: Column, base: Column) -> Column:
         return one
 
     # of candidates that overlap, the kind that is named first in WIDE counts
-    return let(blanked(text, base), lambda rest: F.concat(*[F.transform(matches(rest, pattern), judged(kind)) for kind, pattern in WIDE.items()]))
+    own = lambda rest, kind: gated(rest, F.rlike(rest, F.lit(GATES[kind])), WIDE[kind])
+    return let(blanked(text, base), lambda rest: F.concat(*[F.transform(own(rest, kind), judged(kind)) for kind in WIDE]))
 
 
 def reliabilities(patterns: DataFrame, rounds: int = 25) -> DataFrame:

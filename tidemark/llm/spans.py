@@ -37,6 +37,11 @@ def matches(text: Column, regex: str) -> Column:
     return let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda f: F.when(F.size(f) > 0, placed(f)).otherwise(F.array().cast(FOUND)))
 
 
+def gated(text: Column, gate: Column, regex: str) -> Column:
+    """``matches`` of texts that pass a quick test which every match implies; none of others."""
+    return F.when(gate, matches(text, regex)).otherwise(F.array().cast(FOUND))
+
+
 def of_kind(found: Column, order: int, kind: str) -> Column:
     """Matches as spans (s, o, e, kind); ``order`` ranks kinds that start together."""
     return F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(order).alias("o"), x["e"].alias("e"), F.lit(kind).alias("kind"))).cast(SPAN)

@@ -21,7 +21,7 @@ def coin(seed: str, key: Column, share: float) -> Column:
     return F.substring(seeded(seed, key), 1, 8) < F.lit(f"{min(int(share * 2**32), 2**32 - 1):08x}")
 
 
-def first_match(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
+def first_match(text: Column, rules: list[tuple[str, str]], default: str | None) -> Column:
     """The name of the first rule whose pattern is found; the order of rules decides."""
     out = F.lit(default)
     for name, pattern in reversed(rules):

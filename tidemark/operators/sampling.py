@@ -185,7 +185,7 @@ def refined(coarse: DataFrame, keys: list[str], t: str, hit: Column, radius: int
 
 @dataclass
 class Scene:
-    """What a rule looks at. Runs are array<struct<a, b>>, counts and firsts array<struct<t, n>> and (t, cls)."""
+    """What a rule looks at; a rule returns the times it wishes for, or null. Runs are array<struct<a, b>>, counts and firsts array<struct<t, n>> and (t, cls)."""
 
     question: Column
     lo: Column
@@ -226,16 +226,16 @@ def leave_view(s: Scene) -> Column:
     wide = padded(s.runs)
     total = F.aggregate(wide, F.lit(0.0), lambda a, r: a + (r["b"] - r["a"]))
     own = lambda r: M.linspace(r["a"], r["b"], F.greatest(F.lit(2.0), F.bround(s.n * (r["b"] - r["a"]) / F.greatest(total, F.lit(1e-9)))))
-    return F.when(F.size(s.runs) > 0, s.take(F.flatten(F.transform(wide, own))))
+    return F.when(F.size(s.runs) > 0, (F.flatten(F.transform(wide, own))))
 
 
 def last_seen_pair(s: Scene) -> Column:
     last = F.array_max(F.transform(s.any_runs, lambda r: r["b"].cast("double")))
-    return F.when(last.isNotNull(), s.take(dense(last - 120, last + 120, s.grid)))
+    return F.when(last.isNotNull(), (dense(last - 120, last + 120, s.grid)))
 
 
 def longest_together(s: Scene) -> Column:
-    return F.when(F.size(s.any_runs) > 0, s.take(evenly(_points(s.any_runs, s), s.n)))
+    return F.when(F.size(s.any_runs) > 0, (evenly(_points(s.any_runs, s), s.n)))
 
 
 def retrieval_exists(s: Scene) -> Column:
@@ -246,34 +246,34 @@ def retrieval_exists(s: Scene) -> Column:
     total = F.aggregate(steps, F.lit(0.0), lambda a, x: a + x)
     run = F.aggregate(steps, _empty(), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x)))
     far = F.transform(run, lambda x: t + x / total * (s.hi - t))
-    return F.when((F.size(s.anchors) > 0) & (s.hi > t), s.take(F.concat(edges, far, F.array(t))))
+    return F.when((F.size(s.anchors) > 0) & (s.hi > t), (F.concat(edges, far, F.array(t))))
 
 
 def nth_inserted(s: Scene) -> Column:
     k = s.ordinal()
     near = F.filter(s.rises(), lambda t, i: F.abs(i + 1 - k) <= 1)
     sparse = evenly(_points(s.runs, s), F.floor(s.n / 4))
-    return F.when((k >= 2) & (F.size(near) > 0), s.take(F.concat(s.around(near, 60.0), sparse)))
+    return F.when((k >= 2) & (F.size(near) > 0), (F.concat(s.around(near, 60.0), sparse)))
 
 
 def retrieved_when(s: Scene) -> Column:
     r = F.get(padded(s.runs), F.lit(0))
     t = F.coalesce(F.get(s.anchors, F.lit(0)).cast("double"), r["a"])
-    return F.when(F.size(s.runs) > 0, s.take(F.concat(dense(t, t + 60, s.grid), dense(r["b"] - 60, r["b"] + 60, s.grid))))
+    return F.when(F.size(s.runs) > 0, (F.concat(dense(t, t + 60, s.grid), dense(r["b"] - 60, r["b"] + 60, s.grid))))
 
 
 def last_visible(s: Scene) -> Column:
     ends = F.transform(F.slice(s.runs, F.greatest(F.size(s.runs) - 2, F.lit(1)), 3), lambda r: r["b"].cast("double"))
-    return F.when(F.size(s.runs) > 0, s.take(F.concat(s.around(ends, 30.0), M.linspace(s.lo.cast("double"), s.hi.cast("double"), F.floor(s.n / 6)))))
+    return F.when(F.size(s.runs) > 0, (F.concat(s.around(ends, 30.0), M.linspace(s.lo.cast("double"), s.hi.cast("double"), F.floor(s.n / 6)))))
 
 
 def after_first_inserted(s: Scene) -> Column:
-    return F.when(F.size(s.runs) > 0, s.take(M.linspace(s.span()["a"] - 60.0, s.span()["b"] + 60.0, s.n)))
+    return F.when(F.size(s.runs) > 0, (M.linspace(s.span()["a"] - 60.0, s.span()["b"] + 60.0, s.n)))
 
 
 def at_same_time(s: Scene) -> Column:
     wide = F.transform(s.both_runs, lambda r: F.struct((r["a"] - 30.0).alias("a"), (r["b"] + 30.0).alias("b")))
-    return F.when(F.size(s.both_runs) > 0, s.take(_points(wide, s))).when(F.size(s.any_runs) > 0, s.take(evenly(_points(s.any_runs, s), s.n)))
+    return F.when(F.size(s.both_runs) > 0, (_points(wide, s))).when(F.size(s.any_runs) > 0, (evenly(_points(s.any_runs, s), s.n)))
 
 
 def _peaks(s: Scene, k: int, apart: float) -> Column:
@@ -282,12 +282,12 @@ def _peaks(s: Scene, k: int, apart: float) -> Column:
 
 
 def max_count(s: Scene) -> Column:
-    return F.when(F.size(s.counts) > 0, s.take(s.around(_peaks(s, 3, 60.0), 60.0)))
+    return F.when(F.size(s.counts) > 0, (s.around(_peaks(s, 3, 60.0), 60.0)))
 
 
 def max_count_many(s: Scene) -> Column:
     most = F.array_max(F.transform(s.counts, lambda x: x["n"]))
-    return F.when(most >= 5, s.take(s.around(_peaks(s, 3, 60.0), 20.0)))
+    return F.when(most >= 5, (s.around(_peaks(s, 3, 60.0), 20.0)))
 
 
 def _changes(s: Scene, a: Column, b: Column) -> Column:
@@ -304,45 +304,45 @@ def _named_range(s: Scene) -> tuple[Column, Column]:
 
 def between(s: Scene) -> Column:
     a, b = _named_range(s)
-    return F.when((F.size(s.anchors) >= 2) & (b - a > 300), s.take(per_segment(_changes(s, a, b), s.n)))
+    return F.when((F.size(s.anchors) >= 2) & (b - a > 300), (per_segment(_changes(s, a, b), s.n)))
 
 
 def between_long(s: Scene) -> Column:
     a, b = _named_range(s)
-    return F.when((F.size(s.anchors) >= 2) & (b - a > 600), s.take(per_segment(_changes(s, a, b), s.n)))
+    return F.when((F.size(s.anchors) >= 2) & (b - a > 600), (per_segment(_changes(s, a, b), s.n)))
 
 
 def all_classes(s: Scene) -> Column:
     a, b = s.span()["a"] - 60.0, s.span()["b"] + 60.0
-    return F.when(F.size(s.runs) > 0, F.when(b - a > 600, s.take(per_segment(_changes(s, a, b), s.n))).otherwise(s.take(M.linspace(a, b, s.n))))
+    return F.when(F.size(s.runs) > 0, F.when(b - a > 600, (per_segment(_changes(s, a, b), s.n))).otherwise((M.linspace(a, b, s.n))))
 
 
 def applied_times(s: Scene) -> Column:
-    return F.when(F.size(s.rises()) > 0, s.take(s.around(s.rises(), 30.0)))
+    return F.when(F.size(s.rises()) > 0, (s.around(s.rises(), 30.0)))
 
 
 def nth_unique(s: Scene) -> Column:
     k = s.ordinal()
     near = F.transform(F.filter(F.array_sort(s.firsts), lambda x, i: F.abs(i + 1 - k) <= 1), lambda x: x["t"].cast("double"))
-    return F.when(F.size(near) > 0, s.take(s.around(near, 60.0)))
+    return F.when(F.size(near) > 0, (s.around(near, 60.0)))
 
 
 def nth_unique_late(s: Scene) -> Column:
     a, b = s.span()["a"].cast("double"), s.span()["b"].cast("double")
     cut = a + 0.3 * (b - a)
-    return F.when((s.ordinal() >= 3) & (F.size(s.runs) > 0), s.take(F.concat(M.linspace(a, cut, F.floor(s.n * 0.3)), M.linspace(cut, b, s.n - F.floor(s.n * 0.3)))))
+    return F.when((s.ordinal() >= 3) & (F.size(s.runs) > 0), (F.concat(M.linspace(a, cut, F.floor(s.n * 0.3)), M.linspace(cut, b, s.n - F.floor(s.n * 0.3)))))
 
 
 def count_inserted(s: Scene) -> Column:
     points = F.filter(dense(s.span()["a"] - 60.0, s.span()["b"] + 60.0, s.grid), lambda t: ~in_any(t, s.masked))
-    return F.when(F.size(s.runs) > 0, s.take(points))
+    return F.when(F.size(s.runs) > 0, (points))
 
 
 def present_at(s: Scene) -> Column:
     """Quadratically denser towards the named time."""
     t = F.get(s.anchors, F.lit(0)).cast("double")
     back = F.transform(F.sequence(F.lit(0), s.n.cast("int") - 1), lambda i: t - (t - s.lo) * F.pow(i / s.n, F.lit(2.0)))
-    return F.when(F.size(s.anchors) > 0, s.take(back))
+    return F.when(F.size(s.anchors) > 0, (back))
 
 
 #: Rules in the order they are tried: name, pattern of the question, sampler.
@@ -370,12 +370,13 @@ RULES = [
 
 
 def by_rule(s: Scene, rules=RULES) -> tuple[Column, Column]:
-    """(name of the first rule whose pattern matches, its points or null)."""
-    name, points = F.lit(None).cast("string"), F.lit(None).cast(NONE)
-    for rule, pattern, sampler in reversed(rules):
-        hit = F.rlike(s.question, F.lit(pattern))
-        name, points = F.when(hit, F.lit(rule)).otherwise(name), F.when(hit, sampler(s)).otherwise(points)
-    return name, points
+    """(name of the first rule whose pattern matches, its points or null).
+
+    A rule gives the times it wishes for; they are brought to the budget once, whichever rule it was.
+    """
+    name = X.first_match(s.question, [(rule, pattern) for rule, pattern, _ in rules], None)
+    wished = F.coalesce(*[F.when(name == rule, sampler(s).cast(NONE)) for rule, _, sampler in rules])
+    return name, s.take(wished)
 
 
 def edge_points(s: Scene, window: float = 90.0, share: float = 0.125) -> Column:

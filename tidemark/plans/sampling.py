@@ -162,6 +162,90 @@ def smp_rule_dispatch(s, d):
     return rows.select("user_id", "hi", _ints(S.dispatched(_scene(), F.col("secs"), F.col("w"))).alias("t"))
 
 
+# --- the rules' twin: scenes as lists, the times each rule wishes for, then one take; lo is 0, n 32, the grid 5
+
+
+def _dense(a, b):
+    return f"[least({a}, {b}) + k * 5.0::double for k in range(cast(ceil((greatest({a}, {b}) + 5 - least({a}, {b})) / 5.0::double) as bigint))]"
+
+
+def _lin(a, b, n):
+    return f"(case when ({n}) <= 0 then [] when ({n}) = 1 then [(({a}) + ({b})) / 2.0::double] else [({a}) + (({b}) - ({a})) * i / (cast({n} as double) - 1) for i in range(cast({n} as bigint))] end)"
+
+
+def _even(l, k):
+    return f"(case when {k} >= len({l}) then {l} when {k} <= 0 then [] when {k} = 1 then [({l})[1]] else [({l})[cast(round_even(i * (len({l}) - 1) / cast({k} - 1 as double), 0) as bigint) + 1] for i in range(cast({k} as bigint))] end)"
+
+
+def _all_points(runs):
+    return f"flatten([{_dense('r.a', 'r.b')} for r in {runs}])"
+
+
+def _about(times, radius):
+    return f"flatten([{_dense(f't - {radius}', f't + {radius}')} for t in {times}])"
+
+
+def _segments(a, b, n):
+    """Equal shares of n for the segments of [a, b] between changes of the count."""
+    cuts = f"list_concat([{a}], list_filter(moves, lambda t: t > {a} and t < {b}), [{b}])"
+    seg = f"list_filter([{{'a': c[i], 'b': c[i + 1]}} for i in range(1, len(c))], lambda s: s.b > s.a)"
+    share = f"greatest(2, {n} // greatest(len(g), 1))"
+    return f"(select flatten([{_lin('s.a', 's.b', share)} for s in g]) from (select {seg} as g from (select {cuts} as c)))"
+
+
+def _rules_sql():
+    first_a, last_b = "runs[1].a", "runs[-1].b"
+    ordinal = "try_cast(nullif(regexp_extract(q, '([0-9]+)(?:st|nd|rd|th)', 1), '') as bigint)"
+    wide = "[{'a': r.a - (r.b - r.a) * 0.075::double, 'b': r.b + (r.b - r.a) * 0.075::double} for r in runs]"
+    whole = "list_sum([r.b - r.a for r in wide])"
+    cut = f"({first_a} + 0.3::double * ({last_b} - {first_a}))"
+    t0 = "least(greatest(anchors[1], 0), hi)"
+    steps = f"[15.0::double * pow(greatest(30.0::double, hi - {t0}) / 15.0::double, i / 15.0::double) for i in range(16)]"
+    wish = {
+        "leave_fov": f"case when len(runs) > 0 then flatten([{_lin('r.a', 'r.b', f'greatest(2.0::double, round_even(32 * (r.b - r.a) / greatest({whole}, 1e-9), 0))')} for r in wide]) end",
+        "lastseen_pair": f"case when len(any_runs) > 0 then {_dense('list_max([r.b for r in any_runs]) - 120', 'list_max([r.b for r in any_runs]) + 120')} end",
+        "longest_cooc": f"case when len(any_runs) > 0 then {_even(_all_points('any_runs'), 32)} end",
+        "retrieval_exists": f"case when len(anchors) > 0 and hi > {t0} then list_concat(case when hi * 0.45::double >= {t0} then {_dense('greatest(0, hi * 0.4::double - 10)', 'least(hi, hi * 0.45::double + 10)')} else [] end, [{t0} + list_sum(({steps})[1:j]) / list_sum({steps}) * (hi - {t0}) for j in range(1, 17)], [{t0}]) end",
+        "nth_inserted": f"case when {ordinal} >= 2 and len([1 for i in range(1, len(rises) + 1) if abs(i - {ordinal}) <= 1]) > 0 then list_concat({_about(f'[rises[i] for i in range(1, len(rises) + 1) if abs(i - {ordinal}) <= 1]', 60)}, {_even(_all_points('runs'), 8)}) end",
+        "retrieval_when": f"case when len(runs) > 0 then list_concat({_dense('coalesce(anchors[1], wide[1].a)', 'coalesce(anchors[1], wide[1].a) + 60')}, {_dense('wide[1].b - 60', 'wide[1].b')}) end".replace(_dense("wide[1].b - 60", "wide[1].b"), _dense("wide[1].b - 60", "wide[1].b + 60")),
+        "last_visible": f"case when len(runs) > 0 then list_concat({_about('[r.b for r in runs[greatest(len(runs) - 2, 1):]]', 30)}, {_lin('0.0::double', 'hi', '5')}) end",
+        "after_first_inserted": f"case when len(runs) > 0 then {_lin(f'{first_a} - 60', f'{last_b} + 60', '32')} end",
+        "and_same_time": f"case when len(both_runs) > 0 then flatten([{_dense('r.a - 30', 'r.b + 30')} for r in both_runs]) when len(any_runs) > 0 then {_even(_all_points('any_runs'), 32)} end",
+        "max_count_many": f"case when list_max([c.n for c in counts]) >= 5 then {_about('peaks', 20)} end",
+        "max_count": f"case when len(counts) > 0 then {_about('peaks', 60)} end",
+        "interval_long": f"case when len(anchors) >= 2 and list_max(anchors) - list_min(anchors) > 600 then {_segments('list_min(anchors)', 'list_max(anchors)', '32')} end",
+        "interval_seg": f"case when len(anchors) >= 2 and list_max(anchors) - list_min(anchors) > 300 then {_segments('list_min(anchors)', 'list_max(anchors)', '32')} end",
+        "all_classes": f"case when len(runs) > 0 then case when {last_b} - {first_a} + 120 > 600 then {_segments(f'({first_a} - 60)', f'({last_b} + 60)', '32')} else {_lin(f'{first_a} - 60', f'{last_b} + 60', '32')} end end",
+        "applied_times": f"case when len(rises) > 0 then {_about('rises', 30)} end",
+        "nth_unique_late": f"case when {ordinal} >= 3 and len(runs) > 0 then list_concat({_lin(first_a, cut, '9')}, {_lin(cut, last_b, '23')}) end",
+        "nth_unique_class": _about(f"[firsts[i] for i in range(1, len(firsts) + 1) if abs(i - {ordinal}) <= 1]", 60),
+        "count_inserted": f"case when len(runs) > 0 then list_filter({_dense(f'{first_a} - 60', f'{last_b} + 60')}, lambda t: not t between hi * 0.4::double - 0.5 and hi * 0.45::double + 0.5) end",
+        "present_at_t": "case when len(anchors) > 0 then [anchors[1] - anchors[1] * pow(i / 32.0::double, 2) for i in range(32)] end",
+    }
+    name = "case " + " ".join(f"when regexp_matches(q, '{pattern}') then '{rule}'" for rule, pattern, _ in S.RULES) + " end"
+    asks = "[" + ", ".join("'" + x + "'" for x in QUESTIONS) + "]"
+    clock = lambda x: f"(lpad(cast(cast(round_even({x}, 0) as bigint) // 3600 as varchar), 2, '0') || ':' || lpad(cast(cast(round_even({x}, 0) as bigint) // 60 % 60 as varchar), 2, '0') || ':' || lpad(cast(cast(round_even({x}, 0) as bigint) % 60 as varchar), 2, '0'))"
+    runs = lambda name, src: f"{name}_f as (select user_id, t, t // 5 - row_number() over (partition by user_id order by t) as g from (select distinct user_id, t from {src})), {name}_r as (select user_id, cast(min(t) as double) as a, cast(max(t) as double) as b from {name}_f group by user_id, g), {name} as (select user_id, list({{'a': a, 'b': b}} order by a) as {name} from {name}_r group by 1)"
+    # peaks: the three largest counts, 60 apart, found one after another
+    peak = lambda k: f"pk{k} as (select user_id, counts, rises, moves, list_concat(pk, [list_reduce(list_filter(counts, lambda c: len(list_filter(pk, lambda p: abs(p - c.t) <= 60)) = 0), lambda x, y: case when y.n > x.n or (y.n = x.n and y.t < x.t) then y else x end).t]) as pk from pk{k - 1} where len(list_filter(counts, lambda c: len(list_filter(pk, lambda p: abs(p - c.t) <= 60)) = 0)) > 0 union all select user_id, counts, rises, moves, pk from pk{k - 1} where len(list_filter(counts, lambda c: len(list_filter(pk, lambda p: abs(p - c.t) <= 60)) = 0)) = 0)"
+    return (
+        "with " + EV + ", e as (select user_id, cls, (hr - min(hr) over (partition by user_id)) * 5 as t from ev), sp as (select user_id, cast(max(t) as double) as hi from e group by 1), "
+        + ", ".join([runs("runs", "e where cls = 'view'"), runs("any_runs", "e"), runs("both_runs", "(select user_id, t from e where cls = 'view' intersect select user_id, t from e where cls = 'click')")])
+        + ", cn as (select user_id, cast(t as double) as t, count(*) as n from e where cls = 'view' group by 1, 2), cl as (select *, coalesce(lag(n) over (partition by user_id order by t), 0) as before from cn), "
+        "pk0 as (select user_id, list({'t': t, 'n': n} order by t) as counts, coalesce(list(t order by t) filter (where n > before), []) as rises, coalesce(list(t order by t) filter (where n <> before), []) as moves, cast([] as double[]) as pk from cl group by 1), "
+        + ", ".join(peak(k) for k in (1, 2, 3))
+        + ", fi as (select user_id, list(t order by t, cls) as firsts from (select user_id, cls, cast(min(t) as double) as t from e group by 1, 2) group by 1), "
+        f"qs as (select user_id, hi, replace(replace({asks}[user_id % {len(QUESTIONS)} + 1], '{{a}}', {clock('hi * 0.25::double')}), '{{b}}', {clock('hi * 0.75::double')}) as q from sp), "
+        "sc as (select qs.*, coalesce(runs, []) as runs, coalesce(any_runs, []) as any_runs, coalesce(both_runs, []) as both_runs, coalesce(counts, []) as counts, coalesce(rises, []) as rises, coalesce(moves, []) as moves, coalesce(pk, []) as peaks, coalesce(firsts, []) as firsts, "
+        "[cast(string_split(x, ':')[1] as double) * 3600 + cast(string_split(x, ':')[2] as double) * 60 + cast(string_split(x, ':')[3] as double) for x in regexp_extract_all(q, '[0-9]{1,2}:[0-9]{2}:[0-9]{2}')] as anchors, "
+        f"{name} as rule from qs left join runs using (user_id) left join any_runs using (user_id) left join both_runs using (user_id) left join pk3 using (user_id) left join fi using (user_id)), wi as (select *, {wide} as wide from sc), "
+        "ws as (select user_id, hi, rule, case rule " + " ".join(f"when '{k}' then {v}" for k, v in wish.items()) + " end as w from wi), "
+        "gt as (select *, case when len(w) > 0 then list_sort(list_distinct([round(round_even(least(greatest(x, 0.0::double), hi) / 5.0::double, 0) * 5.0::double, 3) for x in w])) end as got from ws), "
+        f"rs as (select *, list_filter({_dense('0.0::double', 'hi')}, lambda x: not list_contains(got, x)) as rest from gt), ft as (select *, least(32 - len(got), len(rest)) as k from rs), "
+        f"tk as (select user_id, hi, rule, case when len(got) > 32 then {_even('got', 32)} when len(got) < 32 then list_sort(list_distinct(list_concat(got, {_even('rest', 'k')}))) else got end as p from ft) "
+    )
+
+
 QUERIES = {
     "smp_uniform_grid": (smp_uniform_grid, f"with {RQ}, {_PTS} select o_orderkey, array_to_string({_SNAP.format(p='p')}, ',') as t from pt"),
     "smp_uniform_anchor": (
@@ -197,7 +281,7 @@ QUERIES = {
     "smp_sharpest": (smp_sharpest, None),
     "smp_refine": (smp_refine, "with " + EV + ", c as (select user_id, (hr // 12) * 12 as t, count(*) as n from ev group by 1, 2) select distinct user_id, unnest(generate_series(t - 12, t + 12, 3)) as t from c where n >= 3"),
     "smp_config_draw": (smp_config_draw, "select cast('0x' || substr(md5('cfg:' || doc_id), 1, 7) as bigint) % 5 as cfg, count(*) as n from documents group by 1"),
-    "smp_rules": (smp_rules, None),
+    "smp_rules": (smp_rules, _rules_sql() + "select user_id, cast(hi as bigint) as hi, rule, cast(len(p) as integer) as n, array_to_string([cast(round_even(x, 0) as bigint) for x in p], ',') as t from tk"),
     "smp_edge_alloc": (smp_edge_alloc, None),
     "smp_rule_dispatch": (smp_rule_dispatch, None),
 }

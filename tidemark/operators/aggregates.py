@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import places
+
 Keys = list[str]
 
 
@@ -49,14 +51,10 @@ def class_scores(df: DataFrame, truth: str, guess: str) -> DataFrame:
 def rank_auc(df: DataFrame, score: str, positive: Column, tie: str) -> DataFrame:
     """Area under the ROC curve by rank sum, ties in the order of ``tie``.
 
-    Ranks come from counts per score value, so only distinct scores are ordered, not all rows: a value's
-    ranks are those of the rows below it plus the place among equals.
+    Rows are placed range by range of the score, so no task orders all of them.
     """
-    rows = df.withColumn("_p", positive.cast("int"))
-    values = rows.groupBy(score).agg(F.count("*").alias("_n"))
-    below = values.withColumn("_below", F.coalesce(F.sum("_n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    ranked = rows.withColumn("_in", F.row_number().over(W.partitionBy(score).orderBy(tie))).join(below, score)
-    sums = ranked.agg(F.sum((F.col("_below") + F.col("_in")) * F.col("_p")).alias("r"), F.sum("_p").alias("pos"), (F.count("*") - F.sum("_p")).alias("neg"))
+    ranked = places(df.select(F.col(score).alias("_s"), F.col(tie).alias("_t"), positive.cast("int").alias("_p")).where("_s is not null"), F.col("_s"), [F.col("_t")], "_rk")
+    sums = ranked.agg(F.sum(F.col("_rk") * F.col("_p")).alias("r"), F.sum("_p").alias("pos"), (F.count("*") - F.sum("_p")).alias("neg"))
     return sums.select(((F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))).alias("auc"), "pos", "neg")
 
 

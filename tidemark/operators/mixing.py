@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import seeded
+from tidemark.operators.ranks import hashed_places
 
 
 def _ranked(df: DataFrame, group: str, key: str, seed: str) -> DataFrame:
-    return df.withColumn("_rk", F.row_number().over(W.partitionBy(group).orderBy(seeded(seed, F.col(key)))))
+    return hashed_places(df, [group], seeded(seed, F.col(key)), "_rk")
 
 
 def capped(df: DataFrame, group: str, key: str, caps: Column, seed: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import seeded
+from tidemark.operators.ranks import places
 
 Keys = list[str]
 
@@ -33,16 +34,24 @@ def held_out(df: DataFrame, group: str, one: Column) -> DataFrame:
 
 def duplicate_units(df: DataFrame, key: str, digest: Column) -> DataFrame:
     """Rows of equal digest form a unit, named by its smallest key."""
-    return df.select(key, digest.alias("_d")).withColumn("unit", F.min(key).over(W.partitionBy("_d"))).drop("_d")
+    rows = df.select(key, digest.alias("_d"))
+    units = rows.groupBy(F.col("_d").alias("_u")).agg(F.min(key).alias("unit"))
+    return rows.join(units, F.col("_d").eqNullSafe(F.col("_u"))).select(key, "unit")
+
+
+#: Rows (unit, value) that one restart holds: about 100 MB.
+MOST_ROWS = 1_000_000
 
 
 def stratified_greedy(vectors: DataFrame, k: int, restarts: int, rare: float = 2.0) -> DataFrame:
     """Folds of units that balance counts of many values, the best of several seeded restarts.
 
-    ``vectors`` has unit, value, n: a slim table of a few hundred units. Each restart is one task: units,
+    ``vectors`` has unit, value, n: a slim table of at most MOST_ROWS rows, more raise. Each restart is one task: units,
     large ones first, go to the fold whose squared relative deviation from the target grows least, with a
     bonus where a fold still lacks a rare value. The restart with the least largest deviation wins.
     """
+    if vectors.limit(MOST_ROWS + 1).count() > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows of (unit, value)")
     packed = vectors.groupBy().agg(F.collect_list(F.struct("unit", "value", "n")).alias("rows"))
     runs = vectors.sparkSession.range(restarts).withColumnRenamed("id", "seed").repartition(restarts, "seed").join(F.broadcast(packed))
 
@@ -74,6 +83,6 @@ def stratified_greedy(vectors: DataFrame, k: int, restarts: int, rare: float = 2
 
 def rare_rebalanced(units: DataFrame, k: int, weight: str, key: str) -> DataFrame:
     """Longest-processing-time dealing in snake order: heavy units first, forth and back over the folds."""
-    rank = F.row_number().over(W.orderBy(F.col(weight).desc(), F.col(key))) - 1
+    rank = F.col("_rk") - 1
     lap, at = F.floor(rank / F.lit(k)), F.pmod(rank, F.lit(k))
-    return units.withColumn("fold", F.when(lap % 2 == 0, at).otherwise(F.lit(k - 1) - at))
+    return places(units, -F.col(weight), [F.col(key)], "_rk").withColumn("fold", F.when(lap % 2 == 0, at).otherwise(F.lit(k - 1) - at)).drop("_rk")

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import quadrant, seeded
+from tidemark.operators.ranks import hashed_places
 
 QUADRANTS = ("top/left", "top/right", "bottom/left", "bottom/right")
 
@@ -60,21 +61,10 @@ def families(frames: DataFrame, frame: str, gap: float = 0.03) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def balanced_no(rows: DataFrame, absent: DataFrame, key: str, share: float, seed: str) -> DataFrame:
-    """``absent`` rows (answers no), drawn by seed, up to ``share`` times as many as the rows that say yes.
-
-    Ranks are taken in 64 seeded buckets, each with its part of the cap, so that no task orders all rows.
-    """
-    n_yes = rows.where("answer = 'yes'").agg((F.count("*") * F.lit(share)).alias("_cap"))
-    buckets = absent.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(64)))
-    ranked = buckets.withColumn("_rk", F.row_number().over(W.partitionBy("_b").orderBy(seeded(seed, F.col(key)))))
-    return ranked.join(F.broadcast(n_yes)).where(F.col("_rk") <= F.ceil(F.col("_cap") / 64)).drop("_b", "_rk", "_cap")
-
-
 def quota_sample(rows: DataFrame, frame: str, family: str, quotas: Column, per_frame: int, seed: str) -> DataFrame:
     """At most the quota of each family and ``per_frame`` rows of each frame, drawn by seed."""
     key = F.concat_ws("|", frame, family, "subject")
-    drawn = rows.withColumn("_rk", F.row_number().over(W.partitionBy(family).orderBy(seeded(seed, key)))).where(F.col("_rk") <= quotas)
+    drawn = hashed_places(rows, [family], seeded(seed, key), "_rk").where(F.col("_rk") <= quotas)
     again = F.row_number().over(W.partitionBy(frame).orderBy(seeded(seed + "f", key)))
     return drawn.withColumn("_rk", again).where(F.col("_rk") <= per_frame).drop("_rk")
 

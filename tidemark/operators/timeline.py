@@ -63,10 +63,18 @@ def nth_class(df: DataFrame, keys: Keys, t: str, cls: str, n: int) -> DataFrame:
 
 
 def thinned(df: DataFrame, keys: Keys, t: str, gap: float) -> DataFrame:
-    """Greedy thinning: a row stays if it lies ``gap`` or more behind the last row that stayed."""
-    times = df.groupBy(*keys).agg(F.array_sort(F.collect_list(t)).alias("_ts"))
-    empty = F.filter("_ts", lambda x: F.lit(False))
-    kept = F.aggregate("_ts", empty, lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) >= gap), F.concat(a, F.array(x))).otherwise(a))
+    """Greedy thinning: a row stays if it lies ``gap`` or more behind the last row that stayed.
+
+    A row that lies so far behind its direct predecessor stays whatever came before, so each stretch between
+    two such rows is thinned on its own.
+    """
+    w = W.partitionBy(*keys).orderBy(t)
+    fresh = F.coalesce(F.col(t) - F.lag(t).over(w) >= gap, F.lit(True)).cast("int")
+    rows = df.select(*keys, t).withColumn("_fresh", fresh).withColumn("_part", F.sum("_fresh").over(w))
+    times = rows.groupBy(*keys, "_part").agg(F.array_sort(F.collect_list(t)).alias("_ts"))
+    first = F.get("_ts", F.lit(0))
+    start = F.struct(first.alias("last"), F.array(first).alias("out"))
+    kept = F.aggregate("_ts", start, lambda a, x: F.when(x - a["last"] >= gap, F.struct(x.alias("last"), F.concat(a["out"], F.array(x)).alias("out"))).otherwise(a), lambda a: a["out"])
     return times.select(*keys, F.explode(kept).alias(t))
 
 
@@ -86,8 +94,14 @@ def both_present(df: DataFrame, keys: Keys, cls: str, name: str = "n") -> DataFr
 
 
 def peaks(df: DataFrame, keys: Keys, t: str, value: str, n: int, radius: int) -> DataFrame:
-    """Up to ``n`` rows of the largest value in each key, none within ``radius`` of a larger one chosen before."""
-    arr = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("neg"), F.col(t).alias("t")))).alias("_p"))
+    """Up to ``n`` rows of the largest value in each key, none within ``radius`` of a larger one chosen before.
+
+    Times are whole numbers, each once in a key. A chosen row rules out at most 2 * radius others, so the
+    first n * (2 * radius + 1) rows of a key decide, and no more of it is gathered.
+    """
+    w = W.partitionBy(*keys).orderBy(F.col(value).desc(), F.col(t))
+    top = df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= n * (2 * radius + 1))
+    arr = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("neg"), F.col(t).alias("t")))).alias("_p"))
     none = F.filter("_p", lambda x: F.lit(False))
     free = lambda a, x: ~F.exists(a, lambda y: F.abs(y["t"] - x["t"]) <= radius)
     kept = F.aggregate("_p", none, lambda a, x: F.when((F.size(a) < n) & free(a, x), F.concat(a, F.array(x))).otherwise(a))

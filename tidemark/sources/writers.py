@@ -26,8 +26,15 @@ def checked_parquet(df: DataFrame, path: str, unique: list[str], rules: dict[str
     if bad:
         store.delete(fs, True)
         raise ValueError(f"rows against the rules: {bad}")
-    store.delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
-    store.rename(fs, spark._jvm.org.apache.hadoop.fs.Path(path))
+    # the published folder is moved aside and goes only after the new one has its name
+    name, aside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.old-{uuid.uuid4().hex}"))
+    had = store.exists(name) and store.rename(name, aside)
+    if not store.rename(fs, name):
+        if had:
+            store.rename(aside, name)
+        raise OSError(f"{own} could not be moved to {path}")
+    if had:
+        store.delete(aside, True)
 
 
 def by_partition(df: DataFrame, path: str, keys: list[str]) -> None:

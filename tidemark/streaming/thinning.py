@@ -16,16 +16,20 @@ def hourly_counts(stream: DataFrame, ts: str, cls: str, late: str = "2 hours") -
     return stream.withWatermark(ts, late).groupBy(F.window(ts, "1 hour").alias("w"), cls).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), cls, "n")
 
 
-def thinned_stream(stream: DataFrame, key: str, t: str, gap: float) -> DataFrame:
+def thinned_stream(stream: DataFrame, key: str, t: str, gap: float, forget_ms: int | None = None) -> DataFrame:
     """Rows that lie ``gap`` or more behind the last one that was kept for their key.
 
     The state is one number per key. Rows of a micro-batch are taken in the order of ``t``; a row that
-    comes later than one already kept is left out.
+    comes later than one already kept is left out. A key that has had no row for ``forget_ms`` milliseconds
+    loses its state and begins anew, so that state does not grow with all keys ever seen.
     """
 
     def step(k, batches, state):
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         times = sorted(x for pdf in batches for x in pdf[t].tolist())
         kept = []
@@ -35,10 +39,12 @@ def thinned_stream(stream: DataFrame, key: str, t: str, gap: float) -> DataFrame
                 last = x
         if last is not None:
             state.update((float(last),))
+            if forget_ms:
+                state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame({key: [k[0]] * len(kept), t: kept})
 
     kinds = dict(stream.dtypes)
-    return stream.select(key, t).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {t} {kinds[t]}", "last double", "append", "NoTimeout")
+    return stream.select(key, t).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {t} {kinds[t]}", "last double", "append", "ProcessingTimeTimeout" if forget_ms else "NoTimeout")
 
 
 def write_answers(stream: DataFrame, path: str, checkpoint: str, once: bool = False):

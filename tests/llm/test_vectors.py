@@ -74,6 +74,27 @@ def test_a_large_tight_cluster_keeps_its_links(spark):
     assert sum(got.values()) >= 0.99 * want.sum()
 
 
+def test_links_across_shards(spark):
+    """Rows that share no shard are linked by walking united lists."""
+    from tidemark.llm.common import Scratch
+
+    rng = np.random.default_rng(6)
+    made = [[float(v) for v in rng.normal(size=8)] for _ in range(4)]
+    made[3] = [a + 0.01 for a in made[0]]
+    made[1] = [a - 0.01 for a in made[0]]
+    nodes = spark.createDataFrame([(0, made[0], [1], [10], 1), (1, made[1], [0, 3, 2], [10, 20], 1), (3, made[3], [1], [20], 1), (2, made[2], [1], [20], 1)], "key long, vector array<double>, near array<long>, grps array<long>, weight long")
+    links = spark.createDataFrame([(0, 1, 0, [1]), (1, 1, 0, []), (3, 1, 1, [1]), (2, 0, 2, [])], "key long, links long, root long, ways array<long>")
+    assert [tuple(r) for r in vectors.across(links, nodes, 0.93, Scratch(spark)).collect()] == [(0, 3)]
+
+
+def test_one_vec_id_with_two_vectors(spark):
+    rng = np.random.default_rng(7)
+    a, b = ([float(v) for v in rng.normal(size=8)] for _ in range(2))
+    rows_ = [(5, a, 0), (5, b, 0), (5, b, 0), (3, [2 * v for v in b], 0), (9, [v + 0.001 for v in a], 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark.createDataFrame(rows_, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(3, 2, 3, True), (5, 1, 5, True), (5, 2, 3, False), (5, 2, 3, False), (9, 1, 5, False)]
+
+
 def test_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 

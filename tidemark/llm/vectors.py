@@ -15,10 +15,15 @@
    medoids and from its own place; then the range is expanded: neighbours of every row found above the
    threshold less ``SLACK`` are looked at until none is new. Similarities are double-precision cosines, so
    each link that is given is verified. A pair that meets in several shards counts in their first alone.
-5. Tasks give counts and local components, never pairs; components are joined over all shards.
-6. Audit: ``AUDIT`` rows drawn by hash are compared with all rows, block by block. Should recall, summed or
-   as the mean over rows, fall below ``least_recall``, the search runs again with more overlap; beyond half
-   of ``PIVOTS`` no group is split. If recall is still too low then, an error is raised.
+5. Across shards: a row found near that lies in a shard the query does not lie in opens the way there, as its
+   united list names neighbours of that shard. Rows reached so, without a common shard, are verified too, and
+   those that link are walked on from, until nothing new is found.
+6. Tasks give counts and local components, and only the few links across shards as pairs; components are
+   joined over all shards.
+7. Audit: ``AUDIT`` rows drawn by hash are compared with all rows, block by block. Should recall, summed, or
+   as the mean over rows or the least label's, fall below ``least_recall``, the search runs again with more
+   overlap; beyond half of ``PIVOTS`` no group is split. If recall is still too low then, an error is raised.
+   The figure is logged.
 
 Nulls and the like: unusable rows have no links and are their own component, a null vec_id too; repeated
 vec_ids are vectors of their own; copies link with each other; an empty table gives an empty result; other
@@ -27,6 +32,7 @@ columns are left out.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, join_small, staged
+from tidemark.llm.common import Scratch, fresh_path, join_small
 from tidemark.llm.components import components
 
 PIVOTS, CHUNK_ROWS, LEVELS = 64, 8192, 4
 CANDIDATES, DEGREE, ALPHA, BEAM, SLACK = 48, 16, 1.2, 24, 0.02
 AUDIT = 256
 
+log = logging.getLogger(__name__)
+
 
 def matrix(rows) -> np.ndarray:
     """Vectors of one length as unit rows in double precision."""
@@ -109,7 +117,7 @@ def _split(rows: DataFrame, pivots: DataFrame, overlap: int, level: int, least:
     return chunked.groupBy("grp", "chunk").cogroup(pivots.groupBy("of", "part")).applyInPandas(assign, "key long, grp long, vector array<double>")
 
 
-def shards(rows: DataFrame, overlap: int, shard_rows: int, least: float) -> DataFrame:
+def shards(rows: DataFrame, overlap: int, shard_rows: int, least: float, staged: Scratch) -> DataFrame:
     """(key, grp, vector): every row in one or more groups; groups beyond ``shard_rows`` are left only
     where splitting does not help."""
     done, open_, level = None, rows, 0
@@ -262,9 +270,10 @@ def _lowest(keys: np.ndarray, q: np.ndarray, y: np.ndarray) -> np.ndarray:
             return root
 
 
-def _links(rows: DataFrame, least: float, overlap: int, shard_rows: int) -> DataFrame:
-    """key, links (weight of other rows linked), and local roots: one row per row and tile pair."""
-    placed = staged(shards(rows.select("key", F.shiftrightunsigned(F.xxhash64("label", F.size("vector")), 1).alias("grp"), "vector"), overlap, shard_rows, least), "vectors-placed")
+def _links(rows: DataFrame, least: float, overlap: int, shard_rows: int, staged: Scratch) -> tuple[DataFrame, DataFrame]:
+    """key, links (weight of other rows linked), local root, and rows near by that lead to other shards: one row
+    per row and tile pair; and the nodes: key, vector, united list, groups, weight."""
+    placed = staged(shards(rows.select("key", F.shiftrightunsigned(F.xxhash64("label", F.size("vector")), 1).alias("grp"), "vector"), overlap, shard_rows, least, staged), "vectors-placed")
     sizes = placed.groupBy("grp").agg(F.count("*").alias("size"))
     tiled = join_small(placed, staged(sizes, "vectors-groups"), ["grp"])
     n_tiles = F.ceil(F.col("size") / F.lit(shard_rows))
@@ -281,7 +290,8 @@ def _links(rows: DataFrame, least: float, overlap: int, shard_rows: int) -> Data
     # united lists, with the row's groups; both are bounded by the overlap
     lists = lists.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     groups = placed.groupBy("key").agg(F.sort_array(F.collect_set("grp")).alias("grps"))
-    nodes = tiled.join(lists, "key").join(groups, "key").join(rows.select("key", "weight"), "key")
+    united = staged(lists.join(groups, "key").join(rows.select("key", "vector", "weight"), "key"), "vectors-nodes")
+    nodes = tiled.join(united.drop("vector"), "key")
     pairs = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)))
     pairs = pairs.select("grp", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "key", "vector", "near", "grps", "weight")
 
@@ -293,6 +303,7 @@ def _links(rows: DataFrame, least: float, overlap: int, shard_rows: int) -> Data
         x = matrix(own["vector"])
         at = {k: i for i, k in enumerate(keys.tolist())}
         near = [{at[k] for k in z.tolist() if k in at} for z in own["near"]]
+        listed = np.array([(i, k) for i, z in enumerate(near) for k in z], dtype=np.int64).reshape(-1, 2)
         for i, z in enumerate([set(z) for z in near]):  # edges go both ways
             for k in z:
                 near[k].add(i)
@@ -313,14 +324,52 @@ def _links(rows: DataFrame, least: float, overlap: int, shard_rows: int) -> Data
             both = (gb[:, :, None] == g[c][:, None, :]).any(axis=2)
             first = np.where(both, gb, np.iinfo(np.int64).max).min(axis=1) == key[0]
             np.add.at(links, b[first], weight[c[first]])
-        return pd.DataFrame({"key": keys, "links": links, "root": _lowest(keys, q, y)})
+        ways: list[list[int]] = [[] for _ in range(len(own))]
+        for a in range(0, len(listed), 200_000):
+            b, c = listed[a : a + 200_000].T
+            beyond = ((g[c][:, :, None] != g[b][:, None, :]).all(axis=2) & (g[c] >= 0)).any(axis=1)
+            b, c = b[beyond], c[beyond]
+            close = np.einsum("ij,ij->i", x[b], x[c]) >= least - SLACK
+            for i, k in zip(b[close].tolist(), keys[c[close]].tolist()):
+                ways[i].append(k)
+        return pd.DataFrame({"key": keys, "links": links, "root": _lowest(keys, q, y), "ways": ways})
+
+    return pairs.groupBy("grp", "i", "j").applyInPandas(look, "key long, links long, root long, ways array<long>"), united
+
+
+def across(links: DataFrame, nodes: DataFrame, least: float, staged: Scratch) -> DataFrame:
+    """(a, b), a < b: links of rows that share no shard, found by walking united lists from rows near by.
+
+    A row has at most as many ways as its united list has entries, and each leads to as many rows.
+    """
 
-    return pairs.groupBy("grp", "i", "j").applyInPandas(look, "key long, links long, root long")
+    def verified(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            pdf = part.to_pandas()
+            hit = [bool((matrix([x]) @ matrix([y]).T)[0, 0] >= least) for x, y in zip(pdf["va"], pdf["vb"])]
+            yield pa.RecordBatch.from_pandas(pdf.loc[hit, ["a", "b"]], preserve_index=False)
+
+    front = links.select(F.col("key").alias("x"), F.explode("ways").alias("y")).distinct()
+    lists = nodes.select(F.col("key").alias("y"), F.explode("near").alias("z"))
+    tried = found = None
+    while True:
+        step = front.join(lists, "y").where("x <> z").select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b")).distinct()
+        if tried is not None:
+            step = step.join(tried, ["a", "b"], "left_anti")
+        for k in "ab":
+            step = step.join(nodes.select(F.col("key").alias(k), F.col("vector").alias(f"v{k}"), F.col("grps").alias(f"g{k}")), k)
+        step = staged(step.where((F.size("va") == F.size("vb")) & ~F.arrays_overlap("ga", "gb")).select("a", "b", "va", "vb"), "vectors-step")
+        new = staged(step.mapInArrow(verified, "a long, b long"), "vectors-across")
+        tried = step.select("a", "b") if tried is None else tried.unionByName(step.select("a", "b"))
+        found = new if found is None else found.unionByName(new)
+        if not new.limit(1).count():
+            return found
+        front = new.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(new.select(F.col("b").alias("x"), F.col("a").alias("y")))
 
 
 def audit(rows: DataFrame, links: DataFrame, least: float) -> float:
     """Recall of the links of at most AUDIT rows drawn by hash, which are compared with all rows, in blocks:
-    the summed one or the mean over rows, whichever is less."""
+    the summed one, the mean over rows or the least label's, whichever is less."""
     drawn = rows.select("key", "label", "vector").orderBy(F.xxhash64(F.lit(7), "key")).limit(AUDIT).collect()
     if not drawn:
         return 1.0
@@ -349,29 +398,57 @@ def audit(rows: DataFrame, links: DataFrame, least: float) -> float:
     found = dict(links.join(ids, "key", "left_semi").groupBy("key").agg(F.sum("links")).collect())
     if not true:
         return 1.0
-    each = [min(found.get(k, 0), n) for k, n in true.items()]
-    return min(sum(each) / sum(true.values()), float(np.mean([f / n for f, n in zip(each, true.values())])))
+    each = {k: (min(found.get(k, 0), n), n) for k, n in true.items()}
+    labels: dict[str, list[int]] = {}
+    for r in drawn:
+        if r["key"] in each:
+            sums = labels.setdefault(r["label"], [0, 0])
+            sums[0] += each[r["key"]][0]
+            sums[1] += each[r["key"]][1]
+    of = lambda pairs: sum(f for f, _ in pairs) / sum(n for _, n in pairs)
+    return min(of(each.values()), float(np.mean([f / n for f, n in each.values()])), *(f / n for f, n in labels.values()))
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93, overlap: int = 3, shard_rows: int = 1024, least_recall: float = 0.99) -> DataFrame:
     """Returns vec_id, n_links, component_id, kept, class_id (the smallest vec_id of equal vectors)."""
     shaped = _shaped(vectors)
+    staged = Scratch(vectors.sparkSession)
     fine, equal = shaped.where("fine"), ["label", "vector"]
     # the key of a class is its smallest vec_id
     rows = staged(fine.groupBy(*equal).agg(F.min("vec_id").alias("key"), F.count("*").alias("weight")), "vectors-classes")
+    # a vec_id of several vectors is a key of the first alone
+    if rows.groupBy("key").count().where("count > 1").limit(1).count():
+        first = rows.groupBy("key").agg(F.min(F.struct(*equal)).alias("_first"))
+        high = F.shiftrightunsigned(F.xxhash64("key", *equal), 2).bitwiseOR(F.lit(1 << 62))
+        rows = rows.join(first, "key").withColumn("low", F.col("key")).withColumn("key", F.when(F.col("_first") == F.struct(*equal), F.col("key")).otherwise(high)).drop("_first")
+        rows = staged(rows, "vectors-keys")
+    else:
+        rows = rows.withColumn("low", F.col("key"))
     while True:
-        links = staged(_links(rows, least, overlap, shard_rows), "vectors-links")
+        links, nodes = _links(rows.drop("low"), least, overlap, shard_rows, staged)
+        links = staged(links, "vectors-links")
+        far = staged(across(links, nodes, least, staged), "vectors-far")
+        both = far.select(F.col("a").alias("key"), F.col("b").alias("root")).unionByName(far.select(F.col("b").alias("key"), F.col("a").alias("root")))
+        more = both.join(nodes.select(F.col("key").alias("root"), "weight"), "root").select("key", F.col("weight").alias("links"), "root")
+        links = staged(links.drop("ways").unionByName(more), "vectors-all")
         recall = audit(rows, links, least)
+        log.info("recall of links %.4f with %d shards to a row", recall, overlap)
         if recall >= least_recall:
             break
         if 2 * overlap > PIVOTS:
             raise RuntimeError(f"recall of links is {recall:.4f} without splitting, below {least_recall}")
         overlap *= 2
     sums = links.groupBy("key").agg(F.sum("links").alias("links"))
-    roots = components(links.where("root <> key"), Scratch(vectors.sparkSession), "key", "root").withColumnRenamed("node", "key")
-    classes = rows.join(sums, "key", "left").join(roots, "key", "left")
-    classes = classes.select(*equal, "key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "key").alias("component"))
+    roots = components(links.where("root <> key"), staged, "key", "root").withColumnRenamed("node", "key")
+    classes = rows.join(sums, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    lows = classes.groupBy("root").agg(F.min("low").alias("component"))
+    classes = classes.join(lows, "root")
+    classes = classes.select(*equal, F.col("low").alias("key"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component")
     ids = fine.join(staged(classes, "vectors-found"), equal).select("vec_id", "n_links", "component", "key")
     rest = shaped.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component"), F.col("vec_id").alias("key"))
     out = ids.unionByName(rest)
-    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"), F.col("key").alias("class_id"))
+    out = out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"), F.col("key").alias("class_id"))
+    path = fresh_path(vectors.sparkSession, "vectors-out")
+    out.write.parquet(path)
+    staged.clear()
+    return vectors.sparkSession.read.schema(out.schema).parquet(path)

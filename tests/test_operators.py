@@ -166,3 +166,70 @@ def test_prefixes_nest(spark):
     order = D.seeded_rank(rows, ["g"], "k", "s")
     small = {r.k for r in order.where("order < 20").collect()}
     assert small < {r.k for r in order.where("order < 60").collect()}
+
+
+def test_rare_swaps_against_a_plain_version(spark):
+    import random
+
+    from tidemark.operators import lookups
+
+    rng = random.Random(4)
+    made = [(i, rng.randrange(4), i % 2, rng.randrange(1, 90) if i % 6 == 0 else 0, f"{rng.random():.9f}") for i in range(90)]
+    got = {r.unit: r.new_fold for r in lookups.rare_swaps(spark.createDataFrame(made, "unit long, fold long, kind long, n long, draw string"), 4).collect()}
+    fold, load = {u: f for u, f, *_ in made}, [0] * 4
+    kind, plain = {m[0]: m[2] for m in made}, [m[0] for m in sorted(made, key=lambda m: m[4]) if not m[3]]
+    target = {}
+    for u, _, _, n, _ in sorted((m for m in made if m[3]), key=lambda m: (-m[3], m[0])):
+        target[u] = min(range(4), key=lambda f: (load[f], f))
+        load[target[u]] += n
+    for u, f in target.items():
+        if fold[u] != f:
+            d = [x for x in plain if fold[x] == f and kind[x] == kind[u]][0]
+            fold[u], fold[d] = f, fold[u]
+    assert got == fold
+    sizes = lambda of: sorted(list(of.values()).count(f) for f in range(4))
+    assert sizes(got) == sizes({u: f for u, f, *_ in made})
+
+
+def test_masked_times_move_to_the_nearest_free_point(spark, sf):
+    from tidemark.plans import sampling as P
+
+    rows = {r.o_orderkey: r for r in P._requests(spark, sf).where("n > 1").collect()}
+    for r in P.smp_unmasked(spark, sf).collect():
+        q = rows[r.o_orderkey]
+        lo, hi, n, grid = q.lo, q.hi, q.n, q.grid
+        masked = lambda t: lo + 9.5 <= t <= lo + 25.5 or lo + 39.5 <= t <= lo + 44.5  # noqa: E731, B023
+        points = [(lo + hi) / 2] if hi <= lo else [lo + (hi - lo) * i / (n - 1) for i in range(n)]
+        last = (hi - lo) // grid
+        have = sorted({round(lo + min(max(round((x - lo) / grid), 0), last) * grid, 3) for x in points})
+        assert r.before == len(have)
+        free = [lo + k * grid for k in range(last + 1) if not masked(lo + k * grid)]
+        for t in list(have):
+            if masked(t):
+                left = sorted((abs(c - t), c) for c in free if c not in have)
+                have.remove(t)
+                have += [left[0][1]] if left else []
+        assert r.t == ",".join(str(round(x)) for x in sorted(have))
+
+
+def test_stratified_folds_by_their_own_score(spark):
+    """The score is the largest relative deviation of the folds given, and far below that of dealing by turns."""
+    import random
+
+    from tidemark.operators import splits
+
+    rng = random.Random(2)
+    made = [(u, v, rng.randrange(1, 20)) for u in range(60) for v in rng.sample("abcdefg", 3)]
+    got = splits.stratified_greedy(spark.createDataFrame(made, "unit long, value string, n long"), 4, 6).collect()
+    fold = {r.unit: r.fold for r in got}
+    assert sorted(fold) == list(range(60))
+
+    def deviation(of):
+        out = 0.0
+        for v in "abcdefg":
+            have = [sum(n for u, x, n in made if x == v and of[u] == f) for f in range(4)]
+            out = max(out, max(abs(h - sum(have) / 4) for h in have) / (sum(have) / 4))
+        return out
+
+    assert abs(got[0].score - deviation(fold)) < 1e-9
+    assert deviation(fold) < 0.5 * deviation({u: u % 4 for u in range(60)})

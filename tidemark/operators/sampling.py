@@ -161,6 +161,38 @@ def spread(secs: Column, weights: Column, lo: Column, hi: Column, n: Column, sha
     return F.when(total > 0, _let(on, filled))
 
 
+def on_full_grid(coarse: Column, step: int) -> Column:
+    """Weights known at every ``step``-th place brought to all places: linear in between, level at the end."""
+    last = F.size(coarse) - 1
+    places = F.sequence(F.lit(0), (last + 1) * step - 1)
+
+    def at(i: Column) -> Column:
+        k = F.floor(i / F.lit(step)).cast("int")
+        a, b = F.get(coarse, k), F.get(coarse, F.least(k + 1, last))
+        return a + (b - a) * (i - k * step) / F.lit(float(step))
+
+    return F.transform(places, at)
+
+
+def dilated(weights: Column, radius: int) -> Column:
+    """The largest weight within ``radius`` places."""
+    return F.transform(weights, lambda w, i: F.array_max(F.slice(weights, F.greatest(i - radius, F.lit(0)) + 1, F.least(i, F.lit(radius)) + radius + 1)))
+
+
+def focused(weights: Column, focus: Column) -> Column:
+    """Weights of the places that have focus; all of them where none has both."""
+    both = F.zip_with(weights, focus, lambda w, f: w * f)
+    return F.when(F.exists(both, lambda x: x > 0), both).otherwise(weights)
+
+
+def asked_window(question: Column, lo: Column, hi: Column, anchors: Column) -> tuple[Column, Column]:
+    """The part of [lo, hi] that a question asks about: between two named times, or from one on."""
+    a, b = F.array_min(anchors).cast("double"), F.array_max(anchors).cast("double")
+    two = F.rlike(question, F.lit(r"(?i)\bbetween\b")) & (F.size(anchors) == 2) & (b > a)
+    one = F.rlike(question, F.lit(r"(?i)\bafter\b")) & (F.size(anchors) == 1)
+    return F.when(two, F.greatest(a, lo)).when(one, F.least(a, hi)).otherwise(lo.cast("double")), F.when(two, F.least(b, hi)).otherwise(hi.cast("double"))
+
+
 def padded(runs: Column, share: float = 0.075) -> Column:
     """Runs (a, b) widened on both sides by a share of their length."""
     return F.transform(runs, lambda r: F.struct((r["a"] - (r["b"] - r["a"]) * share).alias("a"), (r["b"] + (r["b"] - r["a"]) * share).alias("b")))

@@ -104,6 +104,13 @@ def sp_rare_swaps(s, d):
     return L.rare_swaps(u, 5)
 
 
+def flt_route_group(s, d):
+    """Events whose class a table of routes puts into one of the wanted groups."""
+    routes = s.createDataFrame([("view", "PASSIVE"), ("click", "PASSIVE"), ("purchase", "ACTIVE"), ("signup", "ENTRY")], "cls string, route string")  # the router's table
+    wanted = F.broadcast(routes.where(F.col("route").isin("ACTIVE", "ENTRY")))
+    return events(s, d).join(wanted, "cls", "left_semi").select("event_id", "cls")
+
+
 def tl_track_bounds(s, d):
     t = L.track_bounds(events(s, d), ["user_id", "cls"], "hr")
     return t.select("user_id", "cls", "t_min", "t_max", F.array_join(F.col("times").cast("array<string>"), ",").alias("times"))
@@ -152,6 +159,7 @@ QUERIES = {
         "p as (select family, tn / cast(al as double) < 0.04 as rare, max(share) - min(share) as r, min(n) as least from s group by family, value, tn, al) select round(sum(case family when 'lang' then 2.0::double else 1.0::double end * case when rare then 3.0::double else 1.0::double end * (r + case when rare and least = 0 then 0.5::double else 0.0::double end)), 9) as score, count(*) as n_values from p",
     ),
     "sp_rare_swaps": (sp_rare_swaps, None),
+    "flt_route_group": (flt_route_group, "select event_id, event_type as cls from events where event_type in ('purchase', 'signup')"),
     "tl_track_bounds": (tl_track_bounds, "with " + EV + " select user_id, cls, min(hr) as t_min, max(hr) as t_max, array_to_string(list_sort(list(distinct hr)), ',') as times from ev group by 1, 2"),
     "rel_size_numbering": (rel_size_numbering, "select p_partkey, row_number() over (partition by p_size, p_brand order by p_retailprice desc, p_partkey) as number from part where p_size <= 10"),
 }

@@ -97,6 +97,40 @@ def smp_sharpest(s, d):
     return a.select("user_id", _ints(S.sharpest_in_bins(times, F.col("x"), F.array(F.lit(20.0)))).alias("t"))
 
 
+def _day(s, d):
+    """Views of each user by hour of the day, as 24 numbers."""
+    c = events(s, d).where("cls = 'view'").groupBy("user_id", F.pmod("hr", F.lit(24)).cast("int").alias("h")).agg(F.count("*").alias("n"))
+    a = c.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("h", F.col("n").cast("double")))).alias("m"))
+    return a.select("user_id", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.coalesce(F.try_element_at("m", h), F.lit(0.0))).alias("n"))
+
+
+def smp_detector_weighted(s, d):
+    """Every second hour is looked at; hours with two views or more draw points, their neighbours too, and a
+    quarter of the points is uniform."""
+    mask = F.transform(F.filter("n", lambda x, i: i % 2 == 0), lambda x: F.when(x >= 2, 1.0).otherwise(0.0))
+    rows = _day(s, d).withColumn("w", S.on_full_grid(mask, 2)).withColumn("w", S.dilated(F.col("w"), 1))
+    secs = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: h.cast("double"))
+    return rows.select("user_id", _ints(S.spread(secs, F.col("w"), F.lit(0), F.lit(23), F.lit(8), 0.25, F.lit(1))).alias("t"))
+
+
+def smp_phase_focus(s, d):
+    """Views of the quarter of the day that a named hour lies in; of the whole day if that has none."""
+    focus = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.when(F.floor(h / 6) == F.floor(F.pmod("user_id", F.lit(24)) / 6), 1.0).otherwise(0.0))
+    rows = _day(s, d).withColumn("w", S.focused(F.col("n"), focus))
+    secs = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: h.cast("double"))
+    return rows.select("user_id", _ints(S.spread(secs, F.col("w"), F.lit(0), F.lit(23), F.lit(6), 0.0, F.lit(1))).alias("t"))
+
+
+def smp_asked_window(s, d):
+    """Uniform points of the window that a question names, its times among them."""
+    r = _requests(s, d).where("n > 1")
+    first, second = F.col("lo") + 5, F.col("lo") + 5 + F.pmod("anchor", F.lit(30))
+    q = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("What is seen between "), M.hhmmss(first), F.lit(" and "), M.hhmmss(second), F.lit("?"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("What is done after "), M.hhmmss(first), F.lit("?"))).otherwise(F.lit("What is seen?"))
+    r = r.withColumn("q", q).withColumn("a", M.anchors(F.col("q")))
+    lo, hi = S.asked_window(F.col("q"), F.col("lo"), F.col("hi"), F.col("a"))
+    return r.select("o_orderkey", _ints(S.uniform(lo, hi, F.col("n"), F.lit(1))).alias("t"))
+
+
 def smp_refine(s, d):
     c = events(s, d).groupBy("user_id", (F.floor(F.col("hr") / 12) * 12).alias("t")).agg(F.count("*").alias("n"))
     return S.refined(c, ["user_id"], "t", F.col("n") >= 3, 12, 3)
@@ -193,7 +227,8 @@ def _segments(a, b, n):
     return f"(select flatten([{_lin('s.a', 's.b', share)} for s in g]) from (select {seg} as g from (select {cuts} as c)))"
 
 
-def _rules_sql():
+def _rules_sql(asked=None):
+    """Up to the table tk of points; ``asked`` takes the place of the rules' wishes."""
     first_a, last_b = "runs[1].a", "runs[-1].b"
     ordinal = "try_cast(nullif(regexp_extract(q, '([0-9]+)(?:st|nd|rd|th)', 1), '') as bigint)"
     wide = "[{'a': r.a - (r.b - r.a) * 0.075::double, 'b': r.b + (r.b - r.a) * 0.075::double} for r in runs]"
@@ -239,13 +274,28 @@ def _rules_sql():
         "sc as (select qs.*, coalesce(runs, []) as runs, coalesce(any_runs, []) as any_runs, coalesce(both_runs, []) as both_runs, coalesce(counts, []) as counts, coalesce(rises, []) as rises, coalesce(moves, []) as moves, coalesce(pk, []) as peaks, coalesce(firsts, []) as firsts, "
         "[cast(string_split(x, ':')[1] as double) * 3600 + cast(string_split(x, ':')[2] as double) * 60 + cast(string_split(x, ':')[3] as double) for x in regexp_extract_all(q, '[0-9]{1,2}:[0-9]{2}:[0-9]{2}')] as anchors, "
         f"{name} as rule from qs left join runs using (user_id) left join any_runs using (user_id) left join both_runs using (user_id) left join pk3 using (user_id) left join fi using (user_id)), wi as (select *, {wide} as wide from sc), "
-        "ws as (select user_id, hi, rule, case rule " + " ".join(f"when '{k}' then {v}" for k, v in wish.items()) + " end as w from wi), "
+        "ws as (select user_id, hi, rule, " + (asked or "case rule " + " ".join(f"when '{k}' then {v}" for k, v in wish.items()) + " end") + " as w from wi), "
         "gt as (select *, case when len(w) > 0 then list_sort(list_distinct([round(round_even(least(greatest(x, 0.0::double), hi) / 5.0::double, 0) * 5.0::double, 3) for x in w])) end as got from ws), "
         f"rs as (select *, list_filter({_dense('0.0::double', 'hi')}, lambda x: not list_contains(got, x)) as rest from gt), ft as (select *, least(32 - len(got), len(rest)) as k from rs), "
         f"tk as (select user_id, hi, rule, case when len(got) > 32 then {_even('got', 32)} when len(got) < 32 then list_sort(list_distinct(list_concat(got, {_even('rest', 'k')}))) else got end as p from ft) "
     )
 
 
+_DAY = "with " + EV + ", dy as (select user_id, [coalesce(m[h], 0.0::double) for h in range(24)] as n from (select user_id, map(list(h), list(cast(n as double))) as m from (select user_id, hr % 24 as h, count(*) as n from ev where cls = 'view' group by 1, 2) group by 1))"
+
+
+def _spread_sql(n, uniform):
+    """Points of the weights w of 24 places, ``uniform`` of the n at equal steps."""
+    m = n - uniform
+    return (
+        f"a as (select user_id, [list_sum(w[1:i + 1]) / list_sum(w) for i in range(24)] as cdf from w where list_sum(w) > 0), g as (select user_id, list_sort(list_distinct(list_concat({_lin('0.0::double', '23.0::double', str(uniform))}, [cast(least(len(list_filter(cdf, lambda x: x < (i + 0.5::double) / {m})), 23) as double) for i in range({m})]))) as got from a), "
+        f"r as (select *, list_filter([cast(i as double) for i in range(24)], lambda x: not list_contains(got, x)) as rest from g), k as (select *, least({n} - len(got), len(rest)) as k from r), "
+        f"p as (select user_id, case when len(got) < {n} then list_sort(list_distinct(list_concat(got, {_even('rest', 'k')}))) else got end as p from k) select dy.user_id, array_to_string([cast(x as bigint) for x in p], ',') as t from dy left join p using (user_id)"
+    )
+
+
+_AT = "case when regexp_matches(q, '(?i)\\bfirst\\b') then runs[1].a when regexp_matches(q, '(?i)\\blast\\b') then runs[-1].b end"
+_EDGE = f"case when {_AT} is not null then list_concat({_even(_dense(f'({_AT} - 90)', f'({_AT} + 90)'), 28)}, {_lin('0.0::double', 'hi', '4')}) end"
 QUERIES = {
     "smp_uniform_grid": (smp_uniform_grid, f"with {RQ}, {_PTS} select o_orderkey, array_to_string({_SNAP.format(p='p')}, ',') as t from pt"),
     "smp_uniform_anchor": (
@@ -277,11 +327,35 @@ QUERIES = {
         smp_padded_runs,
         "with " + EV + ", h as (select distinct user_id, hr from ev where cls = 'view'), f as (select *, hr - row_number() over (partition by user_id order by hr) as g from h), r as (select user_id, min(hr) as a, max(hr) + 1 as b, count(*) as n from f group by user_id, g) select user_id, a as \"start\", round(a - (b - a) * 0.075::double, 6) as a, round(b + (b - a) * 0.075::double, 6) as b from r where n > 1",
     ),
-    "smp_inverse_cdf": (smp_inverse_cdf, None),
-    "smp_sharpest": (smp_sharpest, None),
+    "smp_inverse_cdf": (
+        smp_inverse_cdf,
+        "with " + EV + ", c as (select user_id, hr % 24 as h, count(*) as n from ev group by 1, 2), w as (select user_id, h, sum(n) over (partition by user_id order by h) as cum, sum(n) over (partition by user_id) as total from c), a as (select user_id, list(h order by h) as secs, list(cast(cum as double) / cast(total as double) order by h) as cdf from w group by 1), "
+        "g as (select *, list_sort(list_distinct([secs[least(len(list_filter(cdf, lambda x: x < (i + 0.5::double) / 6)), len(secs) - 1) + 1] for i in range(6)])) as got from a), r as (select *, list_filter(secs, lambda x: not list_contains(got, x)) as rest from g), k as (select *, least(6 - len(got), len(rest)) as k from r) "
+        f"select user_id, array_to_string(case when len(got) < 6 then list_sort(list_distinct(list_concat(got, {_even('rest', 'k')}))) else got end, ',') as t from k",
+    ),
+    "smp_sharpest": (
+        smp_sharpest,
+        "with " + EV + ", e as (select user_id, hr % 64 as t, max(value) as s from ev where value is not null group by 1, 2), u as (select distinct user_id, unnest(range(8)) as i from e), b as (select u.user_id, u.i, arg_min(e.t, {'s': -s, 't': e.t}) as best from u left join e on e.user_id = u.user_id and e.t // 8 = u.i group by 1, 2) "
+        "select user_id, string_agg(case when i = 2 then 20 else coalesce(best, i * 8 + 4) end, ',' order by i) as t from b group by 1",
+    ),
+    "smp_detector_weighted": (
+        smp_detector_weighted,
+        f"{_DAY}, m as (select user_id, [case when n[i * 2 + 1] >= 2 then 1.0::double else 0.0::double end for i in range(12)] as m from dy), gr as (select user_id, [m[i // 2 + 1] + (m[least(i // 2 + 1, 11) + 1] - m[i // 2 + 1]) * (i % 2) / 2.0::double for i in range(24)] as g from m), "
+        "w as (select user_id, [list_max(g[greatest(i, 1):least(i + 2, 24)]) for i in range(24)] as w from gr), " + _spread_sql(8, 2),
+    ),
+    "smp_phase_focus": (
+        smp_phase_focus,
+        f"{_DAY}, f as (select user_id, n, [case when i // 6 = (user_id % 24) // 6 then n[i + 1] else 0.0::double end for i in range(24)] as b from dy), w as (select user_id, case when list_max(b) > 0 then b else n end as w from f), " + _spread_sql(6, 0),
+    ),
+    "smp_asked_window": (
+        smp_asked_window,
+        f"with {RQ}, a as (select *, lo + 5 as p, lo + 5 + anchor % 30 as z from rq where n > 1), b as (select o_orderkey, n, cast(case when o_orderkey % 3 = 0 and z > p then greatest(p, lo) when o_orderkey % 3 = 1 then least(p, hi) else lo end as double) as lo, cast(case when o_orderkey % 3 = 0 and z > p then least(z, hi) else hi end as double) as hi, 1 as grid from a), "
+        "c as (select *, case when n <= 1 or hi <= lo then [(lo + hi) / 2.0::double] else [lo + (hi - lo) * i / (n - 1) for i in range(n)] end as p from b) "
+        "select o_orderkey, array_to_string(list_sort(list_distinct([cast(round_even(lo + least(greatest(round_even(x - lo, 0), 0), floor(hi - lo + 1e-9)), 0) as bigint) for x in p])), ',') as t from c",
+    ),
     "smp_refine": (smp_refine, "with " + EV + ", c as (select user_id, (hr // 12) * 12 as t, count(*) as n from ev group by 1, 2) select distinct user_id, unnest(generate_series(t - 12, t + 12, 3)) as t from c where n >= 3"),
     "smp_config_draw": (smp_config_draw, "select cast('0x' || substr(md5('cfg:' || doc_id), 1, 7) as bigint) % 5 as cfg, count(*) as n from documents group by 1"),
     "smp_rules": (smp_rules, _rules_sql() + "select user_id, cast(hi as bigint) as hi, rule, cast(len(p) as integer) as n, array_to_string([cast(round_even(x, 0) as bigint) for x in p], ',') as t from tk"),
-    "smp_edge_alloc": (smp_edge_alloc, None),
+    "smp_edge_alloc": (smp_edge_alloc, _rules_sql(_EDGE) + "select user_id, array_to_string([cast(round_even(x, 0) as bigint) for x in p], ',') as t from tk"),
     "smp_rule_dispatch": (smp_rule_dispatch, None),
 }

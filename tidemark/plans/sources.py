@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.plans import timeline
 from tidemark.plans.base import table
 from tidemark.sources import readers, writers
 
@@ -219,7 +220,7 @@ def str_thinned(s, d):
     from tidemark.streaming import thinning
 
     src, out, mark = _path(s, "thin-in"), _path(s, "thin-out"), _path(s, "thin-mark")
-    events(s, d).select("user_id", "sec", "ts").write.parquet(src) if "ts" in events(s, d).columns else events(s, d).select("user_id", "sec").write.parquet(src)
+    events(s, d).select("user_id", "sec").write.parquet(src)
     stream = thinning.event_stream(s, src, s.read.parquet(src).schema)
     kept = thinning.thinned_stream(stream, "user_id", "sec", 7200)
     thinning.write_answers(kept, out, mark, once=True).awaitTermination()
@@ -260,5 +261,5 @@ QUERIES = {
     ),
     "snk_answers": (snk_answers, 'select cast(o_orderkey as varchar) as "qID", o_orderstatus as content, o_totalprice as latency from orders where o_totalprice > 2'),
     "str_answers": (str_answers, "select event_id, user_id from events"),
-    "str_thinned": (str_thinned, None),
+    "str_thinned": (str_thinned, timeline.QUERIES["tl_greedy_thin"][1]),
 }

@@ -104,3 +104,16 @@ QUERIES = {
         "with " + EV + ", n as (select user_id, hr, case when count(*) > 1 then min(cls) else '' end as note from ev where cls <> 'view' group by 1, 2) select case when ev.user_id % 5 = 0 then 'no_arm' when ev.user_id % 3 = 0 then 'control' when note is null then 'missing' when note = '' then 'empty' else 'attached' end as status, count(*) as n from ev left join n using (user_id, hr) group by 1",
     ),
 }
+
+#: Formats of the families' answers.
+_FORMS = {"number": ("inst_count", "class_diversity", "class_count"), "binary": ("same_class", "co_occur"), "multiple_choice": ("class_to_quad", "quad_populated", "quad_not_populated"), "open_ended": ("positions_all",)}
+_EVERY = " union all ".join(
+    f"select '{k[4:]}' as family, '{next((f for f, own in _FORMS.items() if k[4:] in own), 'fo_class')}' as form, * from ({sql})"
+    for k, (_, sql) in QUERIES.items() if sql and k[4:] in ("inst_count", "class_diversity", "class_count", "list_all", "single_object", "same_class", "co_occur", "quad_to_class", "class_to_quad", "closest_center", "positions_all", "quad_populated", "quad_not_populated")
+)
+QUERIES["syn_frame_families"] = (syn_frame_families, f"with every as ({_EVERY}) select family, form, count(*) as n, count(distinct answer) as answers from every group by 1, 2")
+QUERIES["syn_quota_sample"] = (
+    syn_quota_sample,
+    f"with every as ({_EVERY}), k as (select frame, family, subject, frame || '|' || family || '|' || subject as k from every), r as (select *, row_number() over (partition by family order by md5('q:' || k)) as a from k), "
+    "d as (select *, row_number() over (partition by frame order by md5('qf:' || k)) as b from r where a <= case family when 'class_count' then 50 when 'list_all' then 20 else 30 end) select frame, family, subject from d where b <= 3",
+)

@@ -203,6 +203,17 @@ def iv_same_phase(s, d):
 
 _ERODE = "with " + DENSE + ", w as (select user_id, hr, sum(mask) over (partition by user_id order by hr rows between {a} preceding and {b} following) as c from masked), k as (select user_id, hr from w where c >= {k})"
 
+def _peaks_sql():
+    """The largest hour, then twice the largest one farther than 12 from those before."""
+    free = "list_filter(c, lambda x: len(list_filter(pk, lambda p: abs(p.t - x.t) <= 12)) = 0)"
+    best = f"list_reduce({free}, lambda x, y: case when y.n > x.n or (y.n = x.n and y.t < x.t) then y else x end)"
+    steps = [f"p{i} as (select user_id, c, case when len({free}) > 0 then list_concat(pk, [{best}]) else pk end as pk from p{i - 1})" for i in (1, 2, 3)]
+    return (
+        "with " + EV + ", h as (select user_id, hr, count(*) as n from ev group by 1, 2), p0 as (select user_id, list({'t': hr, 'n': n}) as c, cast([] as struct(t bigint, n bigint)[]) as pk from h group by 1), " + ", ".join(steps)
+        + " select user_id, cast(i as integer) as rk, pk[i].t as hr, pk[i].n as n from (select user_id, pk, unnest(range(1, len(pk) + 1)) as i from p3)"
+    )
+
+
 QUERIES = {
     "tl_run_length": (tl_run_length, RUNS + " select * from r"),
     "w06_runs": (w06_runs, RUNS + ' select user_id, "start", "end", n from (select *, row_number() over (partition by user_id order by n desc, "start") as k from r) where k = 1'),
@@ -240,7 +251,7 @@ QUERIES = {
         tl_greedy_thin,
         "with recursive " + EV + ", k as (select user_id, min(sec) as sec from ev group by 1 union all select k.user_id, (select min(e.sec) from ev e where e.user_id = k.user_id and e.sec >= k.sec + 7200) as sec from k where k.sec is not null) select user_id, sec from k where sec is not null",
     ),
-    "tl_peaks": (tl_peaks, None),
+    "tl_peaks": (tl_peaks, _peaks_sql()),
     "tl_phase_offsets": (tl_phase_offsets, "with " + EV + ", r as (select user_id, event_id, sec, row_number() over (partition by user_id order by event_id) - 1 as rn from ev) select user_id, event_id, sec, rn % 4 as \"offset\" from r"),
     "tl_even_subsample": (
         tl_even_subsample,

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, join_small, staged
+from tidemark.llm.common import SPACE, Scratch, join_small, staged
 
 SYMBOLS = "#*$%&|<>"
 #: Rules: name -> score of the base figures, high for bad documents.
@@ -52,7 +52,7 @@ def repeat_words(words: Column, size: int = 8) -> Column:
     hashed = F.transform(words, lambda w: F.xxhash64(w))
 
     def counted(h: Column) -> Column:
-        wins = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - size, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(size)]))
+        wins = F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, F.lit(size))))
 
         def covered(w: Column) -> Column:
             order = lambda x: F.array_sort(F.transform(x, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
@@ -118,12 +118,12 @@ def scores(figs: DataFrame) -> DataFrame:
 
 
 def thresholds(
-    figs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, good_weight: float = 10.0, cutoffs: int = 24, seed: int = 5
+    figs: DataFrame, labels: DataFrame, scratch: Scratch, risk: float = 0.05, delta: float = 0.05, good_weight: float = 10.0, cutoffs: int = 24, seed: int = 5
 ) -> DataFrame:
     """Chosen cutoffs: lang, rule, cutoff, n_good, n_rejected, bound_p. Rows at or above a cutoff go."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") > 0).alias("good"))
     known = scores(figs.where(~base_failed()).dropDuplicates(["doc_id"])).join(marks, "doc_id").where("score is not null")
-    known = staged(known.withColumn("holdout", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2)) == 1), "quality-known")
+    known = scratch(known.withColumn("holdout", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2)) == 1), "quality-known")
     steps = [1 - 0.5 ** (1 + i * 0.5) for i in range(cutoffs)]
     grid = known.where("not holdout").groupBy("lang", "rule").agg(F.sort_array(F.array_distinct(F.percentile("score", F.array(*map(F.lit, steps))))).alias("cuts"))
     tried = join_small(known, grid, ["lang", "rule"]).select("lang", "rule", "good", "holdout", "score", F.explode("cuts").alias("cutoff"))
@@ -138,7 +138,7 @@ def thresholds(
     family = W.partitionBy("lang", "rule")
     tried = tried.withColumn("gain", F.col("bad_share") - F.lit(good_weight) * F.col("good_share"))
     best = F.max(F.struct("gain", "cutoff")).over(family)
-    tried = staged(tried.withColumn("best", best).where("best.gain > 0 and cutoff >= best.cutoff"), "quality-tried")
+    tried = scratch(tried.withColumn("best", best).where("best.gain > 0 and cutoff >= best.cutoff"), "quality-tried")
     sizes = tried.groupBy("lang").agg(F.count_distinct("rule").alias("n_rules"))
     tests = tried.select("lang", "rule").distinct().count() or 1
     tried = join_small(tried, sizes, ["lang"])
@@ -164,7 +164,10 @@ def judge(figs: DataFrame, chosen: DataFrame) -> DataFrame:
 def fitted(docs: DataFrame, labels: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """The staged figures of all documents, and the thresholds that hold on them."""
     figs = staged(figures(docs), "quality-figures")
-    return figs, staged(thresholds(figs, labels, **options), "quality-chosen")
+    scratch = Scratch(docs.sparkSession)
+    chosen = staged(thresholds(figs, labels, scratch, **options), "quality-chosen")
+    scratch.clear()
+    return figs, chosen
 
 
 def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -175,9 +178,13 @@ def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that no rule rejects, with all their columns.
 
-    The figures of each row are made a second time beside the row itself, so that rows are judged by
-    their own text without a key, and no text is shuffled or written in between.
+    Rows are written once beside their figures, so that each is judged by its own text without a key and no
+    text is folded twice; the thresholds read the figures alone.
     """
-    _, chosen = fitted(docs, labels, **options)
+    spark = docs.sparkSession
+    kept = Scratch(spark)
     rows = docs.select(F.struct("*").alias("__row"), "doc_id", "lang", "text")
-    return judge(figures(rows, ("__row",)), chosen).where("kept").select("__row.*")
+    figs = staged(figures(rows, ("__row",)), "quality-rows")
+    chosen = staged(thresholds(figs.drop("__row"), labels, kept, **options), "quality-chosen")
+    kept.clear()
+    return judge(figs, chosen).where("kept").select("__row.*")

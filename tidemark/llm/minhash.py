@@ -293,7 +293,16 @@ def near_duplicates(
     joined = joined.join(heads, "root").select(F.col("d1").alias("j1"), F.col("d2").alias("j2"), "head")
     classes = nodes.select("d1", "d2", F.col("doc").alias("class_id")).join(joined, F.expr("d1 = j1 and d2 = j2"), "left")
     classes = classes.select("d1", "d2", "class_id", F.coalesce("head.doc", "class_id").alias("root"), F.coalesce(F.col("head.d1") == F.col("d1"), F.lit(True)).alias("lead"))
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
+    # a class of a thousandth of all rows is one of a thousand at most: those go to every task
+    rows = signed.select("doc_id", "n_shingles", "d1", "d2")
+    hot = sized.groupBy("d1", "d2").count().where(F.col("count") * 1000 >= max(signed.count(), 1)).select("d1", "d2")
+    hot = staged(hot.join(classes, ["d1", "d2"]), "minhash-hot")
+    some = bool(hot.limit(1).count())
+    same = ["d1", "d2"]
+    cold = rows.join(F.broadcast(hot.select(*same)), same, "left_anti") if some else rows
+    out = cold.join(classes, same, "left")
+    if some:
+        out = out.unionByName(rows.join(F.broadcast(hot), same))
     out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), "d1", "d2", F.coalesce("lead", F.lit(True)).alias("lead"))
     path = fresh_path(spark, "minhash-found")
     out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).write.parquet(path)

@@ -31,3 +31,25 @@ def test_stages(spark, sf, tmp_path):
     for r in kept[4]:
         pieces[r.doc_id] += r.length
     assert set(pieces) == set(copies)
+
+
+def _run(spark, folder, docs, labels):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    return P.run(spark, str(folder))
+
+
+def test_edge_rows(spark, edge, sf, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, and columns of clashing names pass through."""
+    out = _run(spark, tmp_path, edge, spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    ids = {r.doc_id for r in edge.select("doc_id").collect()}
+    assert out and {r.doc_id for r in out} <= ids
+    pieces = Counter()
+    for r in out:
+        pieces[r.sequence_id] += r.length
+    assert all(n == 1024 for w, n in pieces.items() if w != max(pieces))
+
+
+def test_empty_tables(spark, empty, sf, tmp_path):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    assert _run(spark, tmp_path, empty, labels.where("false")).count() == 0

@@ -31,9 +31,34 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Paths made by ``fresh_path`` that ``sweep`` may still remove, oldest first.
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes the paths; nothing may read them afterwards."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def sweep(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Deletes what ``fresh_path`` made after the first ``since`` paths (``len(made())`` at some time), but for ``keep``."""
+    old = [p for p in _MADE[since:] if p not in keep]
+    _MADE[since:] = [p for p in _MADE[since:] if p in keep]
+    remove(spark, old)
+
+
+def made() -> list[str]:
+    return list(_MADE)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -57,10 +82,9 @@ class Scratch:
 
     def clear(self) -> None:
         """Nothing may read the tables afterwards."""
-        conf = self.spark._jsc.hadoopConfiguration()
-        for path in self.paths:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+        remove(self.spark, self.paths)
+        gone = set(self.paths)
+        _MADE[:] = [p for p in _MADE if p not in gone]
         self.paths = []
 
 

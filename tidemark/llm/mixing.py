@@ -66,7 +66,7 @@ def mix(
     shard_words: int = 1 << 16,
     seed: int = 17,
 ) -> DataFrame:
-    """Returns doc_id, size, source_size, target, taken, and shard (its shard in its source)."""
+    """Returns doc_id, source, size, source_size, target, taken, and shard (its shard in its source)."""
     sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sources, weights, total_share, max_repeat)
@@ -122,20 +122,36 @@ def mix(
         return F.greatest(F.least(F.col("end"), b) - F.greatest(start, a), F.lit(0))
 
     run = overlap(first, F.least(last, around)) + overlap(F.lit(0), last - around)
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.coalesce(run, F.lit(0))).cast("long").alias("taken"), "shard")
+    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.coalesce(run, F.lit(0))).cast("long").alias("taken"), "shard")
 
 
 def mixed(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     """The mix itself, whole documents: each as often as the words it gives, rounded by a hash of its id
     so that the expected words are those taken. Its rows have the columns of ``docs``.
 
-    A doc_id that repeats is counted by all its rows alike: they are repeated as the first of them is.
+    Rows that share a doc_id are told apart by their source and size; those that agree in all three share
+    their words alike, each rounded by a hash of its own text.
     """
-    taken = mix(docs, seed=seed, **options).where("taken > 0")
-    draw = (F.pmod(F.xxhash64(F.lit(seed + 3), "doc_id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    whole = F.floor(F.col("taken") / F.col("size"))
-    copies = (whole + (draw < F.col("taken") / F.col("size") - whole).cast("int")).cast("int")
-    counts = taken.select("doc_id", copies.alias("__copies")).groupBy("doc_id").agg(F.max("__copies").alias("__copies")).where("__copies > 0")
-    key = docs["doc_id"].eqNullSafe(F.col("__id"))
-    rows = docs.join(counts.withColumnRenamed("doc_id", "__id"), key, "inner")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    taken = mix(docs, seed=seed, **options)
+    by = ["doc_id", "source", "size"]
+    counts = staged(taken.groupBy(*by).agg(F.sum("taken").alias("__taken"), F.count("*").alias("__rows")).where("__taken > 0"), "mix-counts")
+    again = staged(taken.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__id")), "mix-again")
+    several = again.limit(1).count() > 0
+
+    def repeated(rows: DataFrame, key: Column) -> DataFrame:
+        draw = (F.pmod(key, F.lit(1 << 30)) + 0.5) / float(1 << 30)
+        share = F.col("__taken") / F.col("__rows") / F.col("__size")
+        copies = (F.floor(share) + (draw < share - F.floor(share)).cast("int")).cast("int")
+        rows = rows.withColumn("__copies", copies).where("__copies > 0")
+        return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+
+    slim = counts.withColumnRenamed("doc_id", "__id").withColumnRenamed("size", "__size").withColumnRenamed("source", "__source")
+    own = docs["doc_id"].eqNullSafe(F.col("__id"))
+    if not several:
+        return repeated(docs.join(slim.drop("__source"), own), F.xxhash64(F.lit(seed + 3), docs["doc_id"]))
+    twice = again["__id"]
+    single = docs.join(slim.join(again.select(twice.alias("__x")), F.col("__id").eqNullSafe(F.col("__x")), "left_anti").drop("__source"), own)
+    rows = docs.join(again.withColumnRenamed("__id", "__x"), docs["doc_id"].eqNullSafe(F.col("__x")), "left_semi").withColumn("__words", word_count(docs["text"]))
+    same = own & docs["source"].eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
+    first = repeated(single, F.xxhash64(F.lit(seed + 3), docs["doc_id"]))
+    return first.unionByName(repeated(rows.join(slim, same), F.xxhash64(F.lit(seed + 3), docs["doc_id"], docs["text"])))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import minhash, mixing, packing, quality, secrets
-from tidemark.llm.common import fresh_path
+from tidemark.llm.common import fresh_path, made, remove, sweep
 from tidemark.llm.queries import _vocabulary
 
 
@@ -51,9 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's result replaces its predecessor's; what a stage staged for itself goes once it is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for i, (_, stage) in enumerate(STAGES):
-        path = fresh_path(spark, f"pipeline-{i}")
+        path, before = fresh_path(spark, f"pipeline-{i}"), len(made())
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        sweep(spark, before)
+        remove(spark, last)
+        docs, last = spark.read.parquet(path), [path]
     return docs

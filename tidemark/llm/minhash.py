@@ -250,7 +250,7 @@ def rest_pairs(now: DataFrame, members: DataFrame, sets: DataFrame, percent: int
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, percent: int = 80, permutations: int = 128, band_rows: int = 6, star_bands: tuple[int, ...] = (10, 1, 1), seed: int = 11
+    docs: DataFrame, shingle: int = 5, percent: int = 80, permutations: int = 128, band_rows: int = 6, star_bands: tuple[int, ...] = (10, 1), seed: int = 11
 ) -> DataFrame:
     """Returns doc_id, n_shingles, component_id, kept, class_id (the smallest id with the same set), and d1, d2
     (digest of the set) and lead (the set stands for its component).

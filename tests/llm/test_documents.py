@@ -387,6 +387,20 @@ def test_packing(edge, rows, library):
         assert at == 1024 or w == max(windows)
 
 
+def test_many_documents_are_cut_as_one_by_one():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(3000, 90_000, 6)
+    upto = np.cumsum(sizes)
+    total = int(upto[-1])
+    rows = []
+    for lo, hi in zip(upto - sizes, upto):
+        ends = np.unique(np.append(rng.integers(0, hi - lo, 40), [0, hi - lo]))
+        rows += [(int(a), int(b - a), int(lo), int(hi)) for a, b in zip(ends, ends[1:])]
+    got = [x.tolist() for x in packing.cut_many(*map(np.array, zip(*rows)), total, 64)]
+    want = [(i, *piece) for i, row in enumerate(rows) for piece in zip(*(x.tolist() for x in packing.cut(*row, total, 64)))]
+    assert list(zip(*got)) == want
+
+
 def test_windows_keep_the_mixture(edge):
     pieces = packing.pack(edge, BPE).groupBy("sequence_id", "source").agg({"length": "sum"}).collect()
     total, by = Counter(), defaultdict(Counter)

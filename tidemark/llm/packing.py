@@ -100,6 +100,21 @@ def cut(start: int, n: int, below: int, upto: int, total: int, window: int) -> t
     return a[at], (b - a)[at], w[at], (low[1:] - low[:-1])[at] + (a - given[:-1])[at]
 
 
+def cut_many(start: np.ndarray, n: np.ndarray, below: np.ndarray, upto: np.ndarray, total: int, window: int) -> tuple[np.ndarray, ...]:
+    """``cut`` of many documents at once, for totals whose square fits 62 bits: the document's number before
+    the four. Pieces come in the order of the documents and of their tokens."""
+    share = total / ((upto - below) * float(window))
+    first = np.maximum((start * share).astype(np.int64) - 2, 0)
+    k = np.minimum(((start + n) * share).astype(np.int64) + 2, -(-total // window)) - first + 1
+    doc = np.repeat(np.arange(len(n)), k)
+    w = np.arange(len(doc)) - np.repeat(np.cumsum(k) - k, k) + first[doc]
+    low, high = (np.minimum(w * window * q[doc] // total, q[doc]) for q in (below, upto))
+    given = high - low
+    a, b = np.maximum(given[:-1], start[doc[:-1]]), np.minimum(given[1:], (start + n)[doc[:-1]])
+    at = np.flatnonzero((doc[:-1] == doc[1:]) & (b > a))
+    return doc[at], a[at], (b - a)[at], w[at], (low[1:] - low[:-1])[at] + (a - given[:-1])[at]
+
+
 def tree_paths(sizes: list[int]) -> list[list[int]]:
     """For each size its way up a Huffman tree: the left child's size (negative if it comes from the right
     child) and the node's size, node after node."""
@@ -256,8 +271,29 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024, w
         out = [(a + x - at, m, w, o) for a, k, at in own for x, m, w, o in place(plan, grp, at, k, window)]
         return tuple(map(list, zip(*out)))
 
+    names_out = [x.split()[0] for x in PIECES.split(", ")]
+
+    def at_once(part: pa.RecordBatch) -> pa.RecordBatch:
+        """Pieces of a batch whose documents are all in queues of their own, by size."""
+        start, n, below, upto_ = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n", "below", "upto"))
+        doc, at, length, w, offset = cut_many(start, n, below, upto_, part.column(part.schema.get_field_index("total"))[0].as_py(), window)
+        of = pa.array(doc)
+        # the pieces of a document follow each other, so their ids are the documents' ids, cut anew
+        ids = b"".join(part.column(part.schema.get_field_index("ids")).to_pylist())
+        ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32) * 4
+        cut_ids = pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids)])
+        take = lambda c: part.column(part.schema.get_field_index(c)).take(of)
+        return pa.RecordBatch.from_arrays([take("doc_id"), pa.array(at - start[doc]), pa.array(length), cut_ids, take("n"), pa.array(w), pa.array(offset), take("source")], names=names_out)
+
     def pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
+            if not plan and part.num_rows and part.column(part.schema.get_field_index("pool")).null_count == part.num_rows and part.column(part.schema.get_field_index("total"))[0].as_py() < 2**31:
+                # slices of some million ids, so that no buffer grows with the longest texts of a batch
+                size = np.cumsum(part.column(part.schema.get_field_index("n")).to_numpy(zero_copy_only=False)) >> 22
+                at = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), part.num_rows]
+                for a, b in zip(at, at[1:]):
+                    yield at_once(part.slice(a, b - a))
+                continue
             cols = part.to_pydict()
             for a in range(0, part.num_rows, 256):
                 out: list[list] = [[] for _ in range(8)]
@@ -273,7 +309,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024, w
                     out[6] += offset
                     out[7] += [source] * k
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=names_out)
 
     return placed.mapInArrow(pieces, PIECES)
 

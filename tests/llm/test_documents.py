@@ -50,16 +50,6 @@ def test_mixing(edge, rows):
     assert got and sorted(map(str, got)) == sorted(map(str, mixing.mix(edge).collect()))
 
 
-def test_rows_of_one_id_are_mixed_by_their_own_words(spark):
-    rows_ = [(i, "w " * 40, "a") for i in range(400)] + [(7, "w " * 10, "a"), (7, "w " * 900, "b"), (None, "w " * 30, "b"), (None, "w " * 30, "b"), (None, None, "b")]
-    docs = spark.createDataFrame(rows_, "doc_id long, text string, source string")
-    taken = {(r.doc_id, r.size): r.taken for r in mixing.mix(docs).collect()}
-    got = Counter((r.doc_id, len(words(r.text))) for r in mixing.mixed(docs).collect())
-    assert all(abs(got[k] - taken[k] / k[1]) <= 1 for k in ((7, 40), (7, 10), (7, 900)))
-    assert got[None, 0] == 0
-    assert sum(n * k[1] for k, n in got.items()) == pytest.approx(sum(taken.values()), rel=0.1)
-
-
 def test_targets_by_hand(spark):
     s = spark.createDataFrame([("a", 10), ("b", 100), (None, 50), ("", 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(s, (3.0, 1.0, 2.0), 1.5, 2.0).collect()}

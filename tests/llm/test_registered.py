@@ -15,6 +15,7 @@ COLUMNS = {
     "op8_token_counts": "doc_id n_bytes n_tokens over_limit",
     "op9_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op10_minhash": "doc_id n_shingles component_id kept",
+    "op13_html_text": "page_id url text n_chars",
 }
 
 
@@ -24,6 +25,8 @@ def folders(spark, edge, empty, sf, tmp_path_factory):
     labels, vectors = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "embeddings"))
     for name, docs, some in (("edge", edge, True), ("empty", empty, False)):
         docs.write.parquet(f"{root}/{name}/documents.parquet")
+        for t in ("pages", "benchmark"):
+            spark.read.parquet(f"{sf}/{t}.parquet").where("true" if some else "false").write.parquet(f"{root}/{name}/{t}.parquet")
         labels.where("true" if some else "false").write.parquet(f"{root}/{name}/labels.parquet")
         vectors.where("true" if some else "false").write.parquet(f"{root}/{name}/embeddings.parquet")
     return root
@@ -35,5 +38,5 @@ def test_query(spark, folders, edge, name):
     out = query(spark, f"{folders}/edge")
     assert set(COLUMNS[name].split()) <= set(out.columns)
     rows = out.count()
-    assert rows == edge.count() if name not in ("op2_vector_dedup", "op6_packing") else rows > 0
+    assert rows == edge.count() if name not in ("op2_vector_dedup", "op6_packing", "op13_html_text") else rows > 0
     assert query(spark, f"{folders}/empty").count() == 0

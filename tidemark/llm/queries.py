@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import minhash, mixing, packing, pii, quality, reshard, secrets, token_counts, token_files, vectors
+from tidemark.llm import html_text, minhash, mixing, packing, pii, quality, reshard, secrets, token_counts, token_files, vectors
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_text.extract(pages)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_vector_dedup, op3_pii, op4_token_files, op5_resharding, op6_packing, op7_secrets, op8_token_counts, op9_quality_rules, op10_minhash, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_vector_dedup, op3_pii, op4_token_files, op5_resharding, op6_packing, op7_secrets, op8_token_counts, op9_quality_rules, op10_minhash, op13_html_text, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,5 +1,6 @@
 """The registered queries themselves, over edge rows and over empty tables."""
 
+import oracle
 import pytest
 
 from tidemark.llm import queries
@@ -15,6 +16,7 @@ COLUMNS = {
     "op8_token_counts": "doc_id n_bytes n_tokens over_limit",
     "op9_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op10_minhash": "doc_id n_shingles component_id kept",
+    "op11_lexical_search": "item_id rank doc_id score",
     "op13_html_text": "page_id url text n_chars",
 }
 
@@ -38,5 +40,17 @@ def test_query(spark, folders, edge, name):
     out = query(spark, f"{folders}/edge")
     assert set(COLUMNS[name].split()) <= set(out.columns)
     rows = out.count()
-    assert rows == edge.count() if name not in ("op2_vector_dedup", "op6_packing", "op13_html_text") else rows > 0
+    assert rows == edge.count() if name not in ("op2_vector_dedup", "op6_packing", "op11_lexical_search", "op12_collocations", "op13_html_text") else rows > 0
     assert query(spark, f"{folders}/empty").count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_twin(spark, folders, sf, name):
+    """The given tables, the edge rows beside them, and empty tables, as DuckDB has them."""
+    query, sql = queries.queries()[name], queries.oracle_sql()[name]
+    assert oracle.differences(spark, oracle.connect(sf), sf, query, sql) == ""
+    for kind in ("edge", "empty"):
+        con = oracle.connect(sf)
+        for t in ("documents", "benchmark"):
+            con.execute(f"create or replace view {t} as select * from read_parquet('{folders}/{kind}/{t}.parquet/*.parquet')")
+        assert oracle.differences(spark, con, f"{folders}/{kind}", query, sql) == ""

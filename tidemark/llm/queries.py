@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import html_text, minhash, mixing, packing, pii, quality, reshard, secrets, token_counts, token_files, vectors
+from tidemark.llm import html_text, lexical, minhash, mixing, packing, pii, quality, reshard, secrets, token_counts, token_files, vectors
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,24 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11_SQL = f"""
+with d as (select doc_id, row_number() over () as u, {_TERMS} as ts from documents),
+s as (select count(*) as docs, cast(sum(len(ts)) as bigint) as terms from d where len(ts) > 0),
+i as (select q, item_id, unnest(list_distinct(ts)) as term from (select row_number() over () as q, item_id, {_TERMS} as ts from benchmark)),
+o as (select u, doc_id, n, term, count(*) as tf from (select u, doc_id, len(ts) as n, unnest(ts) as term from d) where term in (select term from i) group by all),
+w as (select term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as w from o, s group by term, docs),
+x as (select q, item_id, u, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) as bigint) as score
+  from o join w using (term) join i using (term), s group by q, item_id, u, doc_id)
+select item_id, cast(row_number() over (partition by q order by score desc, doc_id asc nulls last) as integer) as rank, doc_id, score
+from x where score > 0 qualify rank <= 10"""
+
+
 def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return html_text.extract(pages)
@@ -74,8 +92,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_vector_dedup, op3_pii, op4_token_files, op5_resharding, op6_packing, op7_secrets, op8_token_counts, op9_quality_rules, op10_minhash, op13_html_text, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_vector_dedup, op3_pii, op4_token_files, op5_resharding, op6_packing, op7_secrets, op8_token_counts, op9_quality_rules, op10_minhash, op11_lexical_search, op13_html_text, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_lexical_search": OP11_SQL}

@@ -17,6 +17,7 @@ COLUMNS = {
     "op9_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op10_minhash": "doc_id n_shingles component_id kept",
     "op11_lexical_search": "item_id rank doc_id score",
+    "op12_collocations": "lang rank phrase a l r n score",
     "op13_html_text": "page_id url text n_chars",
 }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import html_text, lexical, minhash, mixing, packing, pii, quality, reshard, secrets, token_counts, token_files, vectors
+from tidemark.llm import collocations, html_text, lexical, minhash, mixing, packing, pii, quality, reshard, secrets, token_counts, token_files, vectors
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,27 @@ select item_id, cast(row_number() over (partition by q order by score desc, doc_
 from x where score > 0 qualify rank <= 10"""
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir), least=10, share=50, top=2_000)
+
+
+OP12_SQL = """
+with t as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+p as (select lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) as piece from t),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as ws from p),
+k as (select unnest([1, 2, 3]) as k),
+g as (select lang, k, ws, unnest(range(1, len(ws) - k + 2)) as i from w, k where len(ws) >= k),
+f as (select lang, k, array_to_string(ws[i:i + k - 1], ' ') as phrase, count(*) as f from g group by all),
+n as (select lang, cast(sum(f) as bigint) as n from f where k = 1 group by lang),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as ws from f where k > 1 and f >= 10),
+inner_ as (select lang, array_to_string(ws[i:i + 1], ' ') as phrase, max(a) as longer from (select lang, ws, a, unnest([1, 2]) as i from c where k = 3) group by all),
+x as (select lang, phrase, a, ws, unnest(range(1, len(ws))) as cut from c left join inner_ using (lang, phrase) where k = 3 or longer is null or 100 * longer < 50 * a),
+y as (select x.*, l.f as l, r.f as r from x join f l on l.lang = x.lang and l.phrase = array_to_string(ws[1:cut], ' ') join f r on r.lang = x.lang and r.phrase = array_to_string(ws[cut + 1:], ' ')),
+z as (select lang, phrase, a, l, r, cast((cast(1000000 as hugeint) * a * a) // (cast(l as hugeint) * r) as bigint) as score, cut from y),
+best as (select * from z qualify row_number() over (partition by lang, phrase order by score, cut) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from best join n using (lang) qualify rank <= 2000"""
+
+
 def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return html_text.extract(pages)
@@ -92,8 +113,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_vector_dedup, op3_pii, op4_token_files, op5_resharding, op6_packing, op7_secrets, op8_token_counts, op9_quality_rules, op10_minhash, op11_lexical_search, op13_html_text, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_vector_dedup, op3_pii, op4_token_files, op5_resharding, op6_packing, op7_secrets, op8_token_counts, op9_quality_rules, op10_minhash, op11_lexical_search, op12_collocations, op13_html_text, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_lexical_search": OP11_SQL}
+    return {"op11_lexical_search": OP11_SQL, "op12_collocations": OP12_SQL}

@@ -739,6 +739,28 @@ def test_pairs_grow_with_the_group(spark, monkeypatch):
     assert made[800] < 2.6 * made[400]
 
 
+@pytest.mark.parametrize("own", [35, 24, 20])
+def test_families_below_and_above_the_limit_meet_linearly(spark, own, monkeypatch):
+    """Documents that share all but ``own`` of 200 shingles: similarities of 0.70, 0.79 and 0.82, no copies."""
+    met, whole = {}, minhash.met_at
+
+    def counted(heads):
+        out = whole(heads)
+        met[size] = met.get(size, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "met_at", counted)
+    base = [f"b{i}" for i in range(200 - own)]
+    for size in (100, 200, 400):
+        # single words are the shingles; a few words of two documents each keep rare shingles in play
+        texts = [(i, " ".join([*base, *(f"u{i}x{k}" for k in range(own - 1)), f"p{i // 2}"])) for i in range(size)]
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, shingle=1).collect()}
+        assert got == ({i: 0 for i in range(size)} if own == 20 else {i: i for i in range(size)})
+    assert met.get(400, 0) <= 2.5 * met.get(200, 0) <= 8 * met.get(100, 0)
+    assert met.get(400, 0) <= 4 * 400
+
+
 # --- all
 
 

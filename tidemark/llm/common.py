@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,14 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-#: Paths made by ``fresh_path`` that ``sweep`` may still remove, oldest first.
-_MADE: list[str] = []
+class _Made(threading.local):
+    """Paths made by ``fresh_path`` that ``sweep`` may still remove, oldest first; each thread has its own."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_MADE = _Made()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    _MADE.paths.append(path)
     return path
 
 
@@ -51,14 +58,14 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
 
 
 def sweep(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
-    """Deletes what ``fresh_path`` made after the first ``since`` paths (``len(made())`` at some time), but for ``keep``."""
-    old = [p for p in _MADE[since:] if p not in keep]
-    _MADE[since:] = [p for p in _MADE[since:] if p in keep]
+    """Deletes what this thread's ``fresh_path`` made after the first ``since`` paths (``len(made())`` at some time), but for ``keep``."""
+    old = [p for p in _MADE.paths[since:] if p not in keep]
+    _MADE.paths[since:] = [p for p in _MADE.paths[since:] if p in keep]
     remove(spark, old)
 
 
 def made() -> list[str]:
-    return list(_MADE)
+    return list(_MADE.paths)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -84,7 +91,7 @@ class Scratch:
         """Nothing may read the tables afterwards."""
         remove(self.spark, self.paths)
         gone = set(self.paths)
-        _MADE[:] = [p for p in _MADE if p not in gone]
+        _MADE.paths[:] = [p for p in _MADE.paths if p not in gone]
         self.paths = []
 
 

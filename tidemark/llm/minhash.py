@@ -19,7 +19,8 @@
    the order is by the number of documents that hold a shingle, rarest first. So members outside their
    bucket's largest component are joined with all others on such rare shingles, at places that leave enough
    shingles behind for sets of the two sizes, and pairs of one bucket and two components are confirmed on full
-   sets. This loses no candidate, and shingles that a whole group shares come last in the order.
+   sets. The places are bounded before the join, by classes of sizes. This loses no candidate, and shingles that
+   a whole group shares come last in the order.
 6. Components of the confirmed links and of the classes.
 
 Nulls and the like: a null or blank text has n_shingles 0 and is its own component; a null doc_id is
@@ -29,6 +30,7 @@ texts; ties go to the smaller id; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +50,8 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049B
 SMALL = 9
 #: Pairs that a member of a bucket sends to hubs in one round.
 STARS = 4
+#: Classes of sizes for the rest: each spans a factor of so much.
+SIZE_RATIO = 1.1
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -227,20 +231,46 @@ def mixed_members(now: DataFrame) -> DataFrame:
     return part.join(mixed.select("bucket", "major"), "bucket").groupBy("node").agg(F.max(F.col("root") != F.col("major")).alias("minor"))
 
 
-def rest_pairs(now: DataFrame, members: DataFrame, sets: DataFrame, percent: int, permutations: int) -> DataFrame:
-    """Pairs (a, b) of two components that share a bucket and a rare shingle; one of them is a minor."""
-    own = now.join(members, "node")
+def rest_heads(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Where nodes may meet: token, class, other (class of the partner's size), at, node, root, n, minor.
+
+    A node's shingles are put in order, the rarest first. Sets of sizes n and m link only with ``need`` common ones, so
+    the first of these lies at a place that leaves ``need`` behind it. As m is not known yet, sizes are put in
+    classes, and m is taken to be the least size in the partner's class that holds the very shingle: what is too far
+    behind for that never leaves its node. Documents of a family that shares all but their own, rarer shingles,
+    just below the threshold, thus meet nowhere.
+    """
     tokens = sets.join(own.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("token"))
     held = tokens.groupBy("token").agg(F.count("*").alias("df"))
     ranked = tokens.join(held, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     first = F.size("t") - F.ceil(F.size("t") * F.lit(percent) / 100).cast("int") + 1
     heads = ranked.select("node", F.posexplode(F.slice("t", F.lit(1), first)).alias("at", "t")).where("t.df > 1")
     heads = heads.join(own.select("node", "root", "n", "minor"), "node")
-    x, y = (heads.select(F.col("t.token").alias("token"), F.col("at").alias(f"i{k}"), F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("minor").alias(f"m{k}")) for k in "xy")
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / F.lit(math.log(SIZE_RATIO))).cast("int")
+    low, high = F.ceil(F.col("n") * F.lit(percent) / 100), F.floor(F.col("n") * F.lit(100) / F.lit(percent))
+    heads = heads.select(F.col("t.token").alias("token"), size_class(F.col("n")).alias("class"), "at", "node", "root", "n", "minor")
+    least = heads.groupBy("token", F.col("class").alias("other")).agg(F.min("n").alias("least"))
+    heads = heads.withColumn("other", F.explode(F.sequence(size_class(low), size_class(high)))).join(least, ["token", "other"])
+    return heads.where(F.col("at") <= F.col("n") - _need(F.col("n"), F.greatest("least", low), percent)).drop("least")
+
+
+def _need(n, m, percent: int):
+    return F.ceil((n + m) * F.lit(percent) / F.lit(100 + percent))
+
+
+def met_at(heads: DataFrame) -> DataFrame:
+    """All meetings of a minor x with a node y at a shingle, of sizes in each other's class."""
+    x, y = (heads.select("token", F.col("class").alias(a), F.col("other").alias(b), F.col("at").alias(f"i{k}"), F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("minor").alias(f"m{k}")) for k, a, b in (("x", "cx", "cy"), ("y", "cy", "cx")))
+    return x.where("mx").join(y, ["token", "cx", "cy"])
+
+
+def rest_pairs(now: DataFrame, members: DataFrame, sets: DataFrame, percent: int, permutations: int) -> DataFrame:
+    """Pairs (a, b) of two components that share a bucket and a rare shingle; one of them is a minor."""
+    own = now.join(members, "node")
     # a pair of minors meets once, from the larger node
-    pairs = x.where("mx").join(y, "token").where("rx <> ry and (not my or x > y)").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    pairs = met_at(rest_heads(own, sets, percent)).where("rx <> ry and (not my or x > y)").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
     # sets of these sizes need so many common shingles; the first of them has as many more behind it
-    need = F.ceil((F.col("nx") + F.col("ny")) * F.lit(percent) / F.lit(100 + percent))
+    need = _need(F.col("nx"), F.col("ny"), percent)
     pairs = pairs.where((F.col("ix") <= F.col("nx") - need) & (F.col("iy") <= F.col("ny") - need))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     for k in "ab":

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.chains import greedy
+
 Keys = list[str]
 
 
@@ -63,19 +65,8 @@ def nth_class(df: DataFrame, keys: Keys, t: str, cls: str, n: int) -> DataFrame:
 
 
 def thinned(df: DataFrame, keys: Keys, t: str, gap: float) -> DataFrame:
-    """Greedy thinning: a row stays if it lies ``gap`` or more behind the last row that stayed.
-
-    A row that lies so far behind its direct predecessor stays whatever came before, so each stretch between
-    two such rows is thinned on its own.
-    """
-    w = W.partitionBy(*keys).orderBy(t)
-    fresh = F.coalesce(F.col(t) - F.lag(t).over(w) >= gap, F.lit(True)).cast("int")
-    rows = df.select(*keys, t).withColumn("_fresh", fresh).withColumn("_part", F.sum("_fresh").over(w))
-    times = rows.groupBy(*keys, "_part").agg(F.array_sort(F.collect_list(t)).alias("_ts"))
-    first = F.get("_ts", F.lit(0))
-    start = F.struct(first.alias("last"), F.array(first).alias("out"))
-    kept = F.aggregate("_ts", start, lambda a, x: F.when(x - a["last"] >= gap, F.struct(x.alias("last"), F.concat(a["out"], F.array(x)).alias("out"))).otherwise(a), lambda a: a["out"])
-    return times.select(*keys, F.explode(kept).alias(t))
+    """Greedy thinning: a row stays if it lies ``gap`` or more behind the last row that stayed; keys and t, each once."""
+    return greedy(df, keys, t, gap)
 
 
 def forward_windows(df: DataFrame, keys: Keys, t: str, span: int, least_rows: int, least_span: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import seeded
+from tidemark.operators.chains import dense_groups, greedy
 
 
 def _draw(seed: str, key: Column) -> Column:
@@ -77,16 +78,20 @@ def also_appears(counts: DataFrame, shown: DataFrame, keys: list[str], seed: str
     return asked.join(there, [*keys, "cls", "t1"], "left").select(*keys, "cls", "t0", "t1", F.coalesce("answer", F.lit("no")).alias("answer"))
 
 
-def dense_windows(marks: DataFrame, key: str, t: str, gap: int, longest: int) -> DataFrame:
-    """Adds ``grp``: frames follow each other within ``gap``, and no group spans more than ``longest``.
+def sparse_check(rows: DataFrame, keys: list[str], t: str, apart: float, longest: float, step: float, least_rows: int, least_span: float, least_kept: int) -> DataFrame:
+    """Rows of dense windows, each with grp (its window's first time) and sparse (its time is among those left when
+    the window is thinned to ``step``).
 
-    Groups of close frames are split at multiples of ``longest`` from their own start.
+    Windows are split greedily by ``apart`` and ``longest`` and count if they have enough times, are long enough and
+    keep enough when thinned.
     """
-    w = W.partitionBy(key).orderBy(t)
-    cut = F.when(F.lag(t).over(w).isNull() | (F.col(t) - F.lag(t).over(w) > gap), 1).otherwise(0)
-    runs = marks.withColumn("_cut", cut).withColumn("_run", F.sum("_cut").over(w))
-    start = F.min(t).over(W.partitionBy(key, "_run"))
-    return runs.withColumn("grp", F.concat_ws("-", "_run", F.floor((F.col(t) - start) / (longest + 1)))).drop("_cut", "_run")
+    own = dense_groups(rows, keys, t, apart, longest)
+    sized = own.groupBy(*keys, "grp").agg(F.count("*").alias("m"), F.max(t).alias("b")).where((F.col("m") >= least_rows) & (F.col("b") - F.col("grp") >= least_span)).select(*keys, "grp")
+    own = own.join(sized, [*keys, "grp"])
+    left = greedy(own, [*keys, "grp"], t, step)
+    enough = left.groupBy(*keys, "grp").agg(F.count("*").alias("k")).where(F.col("k") >= least_kept).select(*keys, "grp")
+    marks = own.join(enough, [*keys, "grp"]).join(left.withColumn("sparse", F.lit(True)), [*keys, "grp", t], "left")
+    return rows.join(marks.select(*keys, t, "grp", F.coalesce("sparse", F.lit(False)).alias("sparse")), [*keys, t])
 
 
 def capped_negatives(rows: DataFrame, positive: Column, share: float, order: Column) -> DataFrame:

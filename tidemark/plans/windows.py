@@ -107,21 +107,20 @@ def val_covered(s, d):
 
 
 def val_sparse_bias(s, d):
-    """Families answered from all frames of a dense group and from every third of them: how often they agree."""
-    rows = _rows(s, d).select("user_id", "t", "cls", "quad")
-    marks = Y.dense_windows(rows.select("user_id", "t").distinct(), "user_id", "t", 6, 48)
-    from pyspark.sql import Window as W
-
-    at = F.row_number().over(W.partitionBy("user_id", "grp").orderBy("t"))
-    size = F.count("*").over(W.partitionBy("user_id", "grp"))
-    marks = marks.withColumn("sparse", at % 3 == 1).withColumn("m", size).where("m >= 5").drop("m")
-    own = rows.join(marks, ["user_id", "t"])
-    answers = lambda keep: [F.array_join(F.sort_array(F.collect_set(F.when(keep, F.col(c)))), ", ") for c in ("cls", "quad")]
+    """Families answered from all frames of a dense window and from the thinned ones: how often they agree, and how
+    far the times of those that do not lie apart."""
+    own = Y.sparse_check(_rows(s, d).select("user_id", "t", "cls", "quad"), ["user_id"], "t", 6, 48, 9, 5, 12, 3)
+    names = lambda keep, c: F.array_join(F.sort_array(F.collect_set(F.when(keep, F.col(c)))), ", ")
+    edge = lambda f, keep: f(F.when(keep, F.col("t")))
     first = lambda keep: F.min(F.when(keep, F.struct("t", "cls")))["cls"]
-    last = lambda keep: F.max(F.when(keep, F.col("t")))
-    kinds = [("classes_in_video", *[answers(k)[0] for k in (F.lit(True), F.col("sparse"))]), ("quad_populated", *[answers(k)[1] for k in (F.lit(True), F.col("sparse"))]), ("nth_unique", first(F.lit(True)), first(F.col("sparse"))), ("last_visible", last(F.lit(True)), last(F.col("sparse")))]
-    per = own.groupBy("user_id", "grp").agg(*[(a == b).alias(k) for k, a, b in kinds])
-    return per.select(F.explode(F.array(*[F.struct(F.lit(k).alias("family"), F.col(k).alias("same")) for k, *_ in kinds])).alias("x")).groupBy("x.family").agg(F.count("*").alias("n"), F.count_if("x.same").alias("agree"))
+    none = lambda keep: F.lit(None).cast("long")
+    kinds = {
+        "classes_in_video": (lambda keep: names(keep, "cls"), none), "quad_populated": (lambda keep: names(keep, "quad"), none), "nth_unique": (first, none),
+        "first_visible": (lambda keep: edge(F.min, keep), lambda keep: edge(F.min, keep)), "last_visible": (lambda keep: edge(F.max, keep), lambda keep: edge(F.max, keep)),
+    }
+    full, thin = F.lit(True), F.col("sparse")
+    per = own.groupBy("user_id", "grp").agg(*[F.struct(F.lit(k).alias("family"), answer(full).eqNullSafe(answer(thin)).alias("same"), (time(thin) - time(full)).alias("off")).alias(k) for k, (answer, time) in kinds.items()])
+    return per.select(F.explode(F.array(*kinds)).alias("x")).groupBy("x.family").agg(F.count("*").alias("n"), F.count_if("x.same").alias("agree"), F.sum(F.when(~F.col("x.same"), F.abs("x.off"))).alias("off"))
 
 
 def spl_negatives(s, d):
@@ -192,12 +191,16 @@ QUERIES = {
     "val_covered": (val_covered, f"with {RW} select user_id, win, count(*) as n, min(t) as a, max(t) as b from fr group by 1, 2 having count(*) >= 3 and min(t) - win * {SPAN} <= {TOLERANCE} and win * {SPAN} + {SPAN} - max(t) <= {TOLERANCE}"),
     "val_sparse_bias": (
         val_sparse_bias,
-        "with " + RW + ", a as (select distinct user_id, t from rw), b as (select *, case when lag(t) over w is null or t - lag(t) over w > 6 then 1 else 0 end as c from a window w as (partition by user_id order by t)), r as (select *, sum(c) over (partition by user_id order by t) as run from b), "
-        "g as (select user_id, t, run, (t - min(t) over (partition by user_id, run)) // 49 as part from r), k as (select *, row_number() over (partition by user_id, run, part order by t) % 3 = 1 as sparse, count(*) over (partition by user_id, run, part) as m from g), "
-        "o as (select k.user_id, run, part, k.t, sparse, cls, quad from k join rw using (user_id, t) where m >= 5), "
-        "p as (select user_id, run, part, string_agg(distinct cls, ', ' order by cls) = string_agg(distinct cls, ', ' order by cls) filter (where sparse) as s1, string_agg(distinct quad, ', ' order by quad) = string_agg(distinct quad, ', ' order by quad) filter (where sparse) as s2, "
-        "arg_min(cls, (t, cls)) = arg_min(cls, (t, cls)) filter (where sparse) as s3, max(t) = max(t) filter (where sparse) as s4 from o group by 1, 2, 3) "
-        + " union all ".join(f"select '{n}' as family, count(*) as n, count(*) filter (where s{i}) as agree from p" for i, n in enumerate(("classes_in_video", "quad_populated", "nth_unique", "last_visible"), 1)),
+        "with recursive " + RW + ", a as (select distinct user_id, t from rw), b as (select *, case when lag(t) over w is null or t - lag(t) over w > 6 then t end as s from a window w as (partition by user_id order by t)), r as (select user_id, t, max(s) over (partition by user_id order by t) as run from b), "
+        "st as (select user_id, run, min(t) as t from r group by 1, 2 union all select st.user_id, st.run, (select min(r.t) from r where r.user_id = st.user_id and r.run = st.run and r.t > st.t + 48) as t from st where st.t is not null), "
+        "g as (select r.user_id, r.t, max(st.t) as grp from r join st on st.user_id = r.user_id and st.run = r.run and st.t <= r.t group by 1, 2), "
+        "w as (select user_id, grp from g group by 1, 2 having count(*) >= 5 and max(t) - grp >= 12), v as (select g.* from g join w using (user_id, grp)), "
+        "th as (select user_id, grp, min(t) as t from v group by 1, 2 union all select th.user_id, th.grp, (select min(v.t) from v where v.user_id = th.user_id and v.grp = th.grp and v.t >= th.t + 9) as t from th where th.t is not null), "
+        "en as (select user_id, grp from th where t is not null group by 1, 2 having count(*) >= 3), "
+        "o as (select v.user_id, grp, v.t, th.t is not null as sparse, cls, quad from v join en using (user_id, grp) left join th using (user_id, grp, t) join rw on rw.user_id = v.user_id and rw.t = v.t), "
+        "p as (select user_id, grp, string_agg(distinct cls, ', ' order by cls) = string_agg(distinct cls, ', ' order by cls) filter (where sparse) as s1, string_agg(distinct quad, ', ' order by quad) = string_agg(distinct quad, ', ' order by quad) filter (where sparse) as s2, "
+        "arg_min(cls, (t, cls)) = arg_min(cls, (t, cls)) filter (where sparse) as s3, min(t) = min(t) filter (where sparse) as s4, max(t) = max(t) filter (where sparse) as s5, min(t) filter (where sparse) - min(t) as d4, max(t) filter (where sparse) - max(t) as d5 from o group by 1, 2) "
+        + " union all ".join(f"select '{n}' as family, count(*) as n, count(*) filter (where s{i}) as agree, {f'cast(sum(abs(d{i})) filter (where not s{i}) as bigint)' if i > 3 else 'cast(null as bigint)'} as off from p" for i, n in enumerate(("classes_in_video", "quad_populated", "nth_unique", "first_visible", "last_visible"), 1)),
     ),
     "spl_negatives": (
         spl_negatives,

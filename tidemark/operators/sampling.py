@@ -151,7 +151,8 @@ def spread(secs: Column, weights: Column, lo: Column, hi: Column, n: Column, sha
     m = n - n_uni
     uni = F.when(n_uni >= 1, M.linspace(lo.cast("double"), hi.cast("double"), n_uni)).otherwise(_empty())
     places = F.when(m >= 1, F.transform(F.sequence(F.lit(0), F.greatest(m.cast("int") - 1, F.lit(0))), lambda i: (i + 0.5) / m)).otherwise(_empty())
-    drawn = _let(cdf, lambda c: F.transform(places, lambda q: F.get(secs, F.least(F.size(F.filter(c, lambda x: x / total < q)), F.size(secs) - 1)).cast("double")))
+    # names for what is used again and again: the shares are made once
+    drawn = _let(cdf, lambda c: _let(F.transform(c, lambda x: x / F.try_element_at(c, F.lit(-1))), lambda c: F.transform(places, lambda q: F.get(secs, F.least(F.size(F.filter(c, lambda x: x < q)), F.size(secs) - 1)).cast("double"))))
     on = _set(F.transform(F.concat(uni, drawn), lambda t: F.bround((t - lo) / grid) * grid + lo))
 
     def filled(got: Column) -> Column:
@@ -401,14 +402,9 @@ RULES = [
 ]
 
 
-def by_rule(s: Scene, rules=RULES) -> tuple[Column, Column]:
-    """(name of the first rule whose pattern matches, its points or null).
-
-    A rule gives the times it wishes for; they are brought to the budget once, whichever rule it was.
-    """
-    name = X.first_match(s.question, [(rule, pattern) for rule, pattern, _ in rules], None)
-    wished = F.coalesce(*[F.when(name == rule, sampler(s).cast(NONE)) for rule, _, sampler in rules])
-    return name, s.take(wished)
+def rule_name(question: Column, rules=RULES) -> Column:
+    """The first rule whose pattern matches."""
+    return X.first_match(question, [(rule, pattern) for rule, pattern, _ in rules], None)
 
 
 def edge_points(s: Scene, window: float = 90.0, share: float = 0.125) -> Column:
@@ -420,14 +416,35 @@ def edge_points(s: Scene, window: float = 90.0, share: float = 0.125) -> Column:
     return F.when(at.isNotNull(), s.take(F.concat(evenly(dense(at - window, at + window, s.grid), s.n - F.bround(s.n * F.lit(share))), uni)))
 
 
-def dispatched(s: Scene, weights_secs: Column, weights: Column, share: float = 0.25) -> Column:
-    """The whole choice: rule, then points after or between named times, then an edge, then the detector's
-    weight, then uniform points with the anchors."""
+def bridged(s: Scene, spread_sd: float = 30.0, share: float = 0.3) -> Column:
+    """Around two named times and, with a share of the points, from one to the other; null if too few places are left."""
     a, b = _named_range(s)
-    after = F.when(F.rlike(s.question, F.lit(r"(?i)\bafter\b")) & (F.size(s.anchors) == 1), uniform(F.least(a, s.hi), s.hi, s.n, s.grid, s.anchors))
-    within = F.when(F.rlike(s.question, F.lit(r"(?i)\bbetween\b")) & (F.size(s.anchors) == 2) & (b > a), uniform(F.greatest(a, s.lo), F.least(b, s.hi), s.n, s.grid, s.anchors))
-    weighted = F.when(F.size(s.runs) > 0, spread(weights_secs, weights, s.lo, s.hi, s.n, share, s.grid))
-    return F.coalesce(by_rule(s)[1], after, within, edge_points(s), weighted, uniform(s.lo, s.hi, s.n, s.grid, s.anchors))
+    mid = F.bround(s.n * F.lit(share))
+    ends = s.n - mid
+    near = lambda t, k: M.linspace(t - spread_sd, t + spread_sd, k)
+    inner = F.slice(M.linspace(a, b, mid + 2), F.lit(2), F.greatest(mid, F.lit(0)).cast("int"))
+    points = F.concat(near(a, F.floor(ends / 2)), near(b, ends - F.floor(ends / 2)), F.when(b > a, inner).otherwise(_empty()))
+    lo, hi = s.lo.cast("double"), s.hi.cast("double")
+    on = snapped(F.transform(points, lambda x: F.least(F.greatest(x, lo), hi)), lo, hi, s.grid)
+    return _let(on, lambda p: F.when(F.size(p) >= F.greatest(F.lit(4), F.floor(s.n / 4)), p))
+
+
+def seen_weights(s: Scene, secs: Column, runs: Column, dilate: float) -> Column:
+    """1 for the seconds within ``dilate`` of a run, else 0."""
+    return F.transform(secs, lambda t: F.when(in_any(t, runs, dilate), 1.0).otherwise(0.0))
+
+
+def towards(s: Scene, runs: Column, share: float, dilate: float = 30.0, focus: Column | None = None) -> Column:
+    """Points drawn towards the runs, ``share`` of them uniform; null without runs. ``focus``: array of weights of
+    the grid's points, which are looked at alone where runs and focus meet."""
+    secs = grid_points(s.lo, s.hi, s.grid)
+
+    def drawn(own: Column) -> Column:
+        w = seen_weights(s, own, runs, dilate)
+        w = w if focus is None else _let(w, lambda x: focused(x, focus))
+        return _let(w, lambda x: spread(own, x, s.lo, s.hi, s.n, share, s.grid))
+
+    return F.when((F.size(runs) > 0) & (s.hi > s.lo), _let(secs, drawn))
 
 
 def drawn_config(key: Column, n: int, seed: str = "cfg") -> Column:

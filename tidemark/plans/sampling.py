@@ -3,9 +3,13 @@ step of 5 seconds, so a month is an hour of video, and views are the class that
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import times as M
+from tidemark.operators import ladder as L
+from tidemark.operators import routing as R
 from tidemark.operators import sampling as S
 from tidemark.operators import timeline as T
 from tidemark.plans.base import EV, events, table
@@ -147,6 +151,7 @@ QUESTIONS = (
     "What is seen after the Clip was first inserted?", "Are both Clip and Sponge visible at the same time?", "What is the maximum number of Clips in total?", "What is the maximum number of Clips?",
     "How many Clips are seen between {a} and {b}?", "What is seen between {a} and {b}?", "List all object classes.", "List all the times a Clip was applied.", "Which late class is the 3rd unique one?", "Which is the 2nd unique class?",
     "How many Clips were inserted?", "How many Clips are present at {a}?", "When was the first Clip seen?", "What was done after {a}?", "Which tool is used?",
+    "What changed at {a} and at {b}?", "When were Clip and Sponge touched?", "When after {a} is the Clip touched?", "What is done from {a} on?", "When was the last Clip seen?",
 )
 
 
@@ -183,17 +188,73 @@ def _scene() -> S.Scene:
 
 def smp_rules(s, d):
     """The rule that fires for each user's question, and its points."""
-    name, points = S.by_rule(_scene())
-    return _scenes(s, d).select("user_id", "hi", name.alias("rule"), points.alias("p")).select("user_id", "hi", "rule", F.size("p").alias("n"), _ints(F.col("p")).alias("t"))
+    rows = _scenes(s, d).withColumn("rule", S.rule_name(F.col("q")))
+    keys = ["user_id", "hi", "rule"]
+    found = R.routed(rows, [*keys], R.rule_routes(_scene())).select("user_id", _scene().take(F.col("points")).alias("p"))
+    return rows.select(*keys).join(found, "user_id", "left").select(*keys, F.size("p").alias("n"), _ints(F.col("p")).alias("t"))
 
 
 def smp_edge_alloc(s, d):
     return _scenes(s, d).select("user_id", _ints(S.edge_points(_scene())).alias("t"))
 
 
+#: Thresholds of the share of views in an hour (four are all), each with the rows that must reach it.
+RUNGS = [(0.5, 2), (0.25, 2), (0.25, 1)]
+
+
+def _scores(s, d):
+    """Every hour of a user's time as 5 seconds, with a score."""
+    e = events(s, d).withColumn("t", (F.col("hr") - F.min("hr").over(_U())) * 5)
+    span = e.groupBy("user_id").agg(F.max("t").alias("hi")).select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), "hi", F.lit(5).cast("long"))).alias("t"))
+    n = e.where("cls = 'view'").groupBy("user_id", "t").agg(F.count("*").alias("n"))
+    return span.join(n, ["user_id", "t"], "left").select("user_id", "t", F.least(F.coalesce("n", F.lit(0)) / 4.0, F.lit(1.0)).alias("score"))
+
+
+def _run_array(runs, name):
+    return runs.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")))).alias(name))
+
+
+def _laddered(s, d):
+    """Scenes with the runs of the first rung and those of the weakest mask."""
+    out = _scenes(s, d)
+    for name, rungs in (("edge_runs", RUNGS), ("fine_runs", RUNGS[-1:])):
+        out = out.join(_run_array(L.ladder_runs(_scores(s, d), ["user_id"], "t", "score", rungs, 5), name), "user_id", "left")
+        out = out.withColumn(name, F.coalesce(name, F.filter("runs", lambda x: F.lit(False))))
+    return out
+
+
+def smp_ladder_runs(s, d):
+    return L.ladder_runs(_scores(s, d), ["user_id"], "t", "score", RUNGS, 5)
+
+
+def _edge_kind():
+    return F.when(F.col("user_id") % 2 == 0, "first").otherwise("last")
+
+
+def smp_edge_ladder(s, d):
+    """About the first or last edge of the first rung that has one, looked for again in the weakest mask."""
+    points = L.edge_budget(_scene(), F.col("edge_runs"), _edge_kind(), 90.0, 0.25, fine=F.col("fine_runs"), narrow=45.0)
+    return _laddered(s, d).select("user_id", _ints(points).alias("t"))
+
+
+def smp_edge_several(s, d):
+    """The budget shared by up to three edges."""
+    return _laddered(s, d).select("user_id", _ints(L.edge_budget(_scene(), F.col("edge_runs"), _edge_kind(), 60.0, 0.125, several=3)).alias("t"))
+
+
 def smp_rule_dispatch(s, d):
-    rows = _scenes(s, d).withColumn("secs", F.transform("counts", lambda x: x["t"].cast("double"))).withColumn("w", F.transform("counts", lambda x: x["n"].cast("double")))
-    return rows.select("user_id", "hi", _ints(S.dispatched(_scene(), F.col("secs"), F.col("w"))).alias("t"))
+    """The whole choice for each user's question: rule, named window, two times, edge, classes, weak focus, phase, uniform."""
+    rows = _laddered(s, d).withColumn("anchors", M.anchors(F.col("q"))).withColumn("hi", F.col("hi").cast("double"))
+    after = F.rlike("q", F.lit(r"(?i)\bwhen\b")) & F.rlike("q", F.lit(r"(?i)\bafter\b")) & (F.size("anchors") == 1) & (F.get("anchors", F.lit(0)) > 0) & (F.get("anchors", F.lit(0)) < F.col("hi"))
+    rows = rows.withColumn("lo", F.when(after, F.bround(F.get("anchors", F.lit(0)) / 5.0) * 5.0).otherwise(F.lit(0.0)))
+    wide = _scene()
+    own = replace(wide, lo=F.col("lo"))
+    part = lambda t: F.floor(t / (F.col("hi") / 4 + 1e-9))
+    focus = F.transform(S.grid_points(F.col("lo"), F.col("hi"), F.lit(5.0)), lambda t: F.when(part(t) == part(F.get("anchors", F.lit(0)).cast("double")), 1.0).otherwise(0.0))
+    classes = sum(F.rlike("q", F.lit(x)).cast("int") for x in ("Clip", "Sponge"))
+    routes = R.dispatch_routes(own, wide, classes, F.col("edge_runs"), F.col("fine_runs"), focus)
+    found = R.dispatched(rows, ["user_id"], routes, wide)
+    return found.select("user_id", F.col("hi").cast("long").alias("hi"), "route", _ints(F.col("points")).alias("t"))
 
 
 # --- the rules' twin: scenes as lists, the times each rule wishes for, then one take; lo is 0, n 32, the grid 5
@@ -227,8 +288,8 @@ def _segments(a, b, n):
     return f"(select flatten([{_lin('s.a', 's.b', share)} for s in g]) from (select {seg} as g from (select {cuts} as c)))"
 
 
-def _rules_sql(asked=None):
-    """Up to the table tk of points; ``asked`` takes the place of the rules' wishes."""
+def _rules_sql(asked=None, more=""):
+    """Up to the table tk of points; ``asked`` takes the place of the rules' wishes; ``more`` stands before them."""
     first_a, last_b = "runs[1].a", "runs[-1].b"
     ordinal = "try_cast(nullif(regexp_extract(q, '([0-9]+)(?:st|nd|rd|th)', 1), '') as bigint)"
     wide = "[{'a': r.a - (r.b - r.a) * 0.075::double, 'b': r.b + (r.b - r.a) * 0.075::double} for r in runs]"
@@ -273,7 +334,7 @@ def _rules_sql(asked=None):
         f"qs as (select user_id, hi, replace(replace({asks}[user_id % {len(QUESTIONS)} + 1], '{{a}}', {clock('hi * 0.25::double')}), '{{b}}', {clock('hi * 0.75::double')}) as q from sp), "
         "sc as (select qs.*, coalesce(runs, []) as runs, coalesce(any_runs, []) as any_runs, coalesce(both_runs, []) as both_runs, coalesce(counts, []) as counts, coalesce(rises, []) as rises, coalesce(moves, []) as moves, coalesce(pk, []) as peaks, coalesce(firsts, []) as firsts, "
         "[cast(string_split(x, ':')[1] as double) * 3600 + cast(string_split(x, ':')[2] as double) * 60 + cast(string_split(x, ':')[3] as double) for x in regexp_extract_all(q, '[0-9]{1,2}:[0-9]{2}:[0-9]{2}')] as anchors, "
-        f"{name} as rule from qs left join runs using (user_id) left join any_runs using (user_id) left join both_runs using (user_id) left join pk3 using (user_id) left join fi using (user_id)), wi as (select *, {wide} as wide from sc), "
+        f"{name} as rule from qs left join runs using (user_id) left join any_runs using (user_id) left join both_runs using (user_id) left join pk3 using (user_id) left join fi using (user_id)), wi as (select *, {wide} as wide from sc), " + more +
         "ws as (select user_id, hi, rule, " + (asked or "case rule " + " ".join(f"when '{k}' then {v}" for k, v in wish.items()) + " end") + " as w from wi), "
         "gt as (select *, case when len(w) > 0 then list_sort(list_distinct([round(round_even(least(greatest(x, 0.0::double), hi) / 5.0::double, 0) * 5.0::double, 3) for x in w])) end as got from ws), "
         f"rs as (select *, list_filter({_dense('0.0::double', 'hi')}, lambda x: not list_contains(got, x)) as rest from gt), ft as (select *, least(32 - len(got), len(rest)) as k from rs), "
@@ -294,6 +355,106 @@ def _spread_sql(n, uniform):
     )
 
 
+# the ladder's twin: scores of every hour, the smallest of k about each, runs of the first rung that has any
+def _seen(i, threshold, k):
+    w = f"partition by user_id order by t rows between {k // 2} preceding and {(k - 1) // 2} following"
+    return f"select user_id, {i} as rung, t from (select user_id, t, min(score) over ({w}) as low, count(*) over ({w}) as n from so) where n = {k} and low >= {threshold}"
+
+
+def _ladder_sql(name, rungs):
+    return (
+        f"{name}_s as (" + " union all ".join(_seen(i, *r) for i, r in enumerate(rungs)) + f"), {name}_g as (select *, t // 5 - row_number() over (partition by user_id, rung order by t) as g from {name}_s), "
+        f"{name}_r as (select user_id, rung, min(t) as a, max(t) as b from {name}_g group by user_id, rung, g), {name} as (select * from {name}_r r where rung = (select min(rung) from {name}_r z where z.user_id = r.user_id)), "
+    )
+
+
+_SCORES = "so as (select user_id, t, least(coalesce(n, 0) / 4.0::double, 1.0::double) as score from (select user_id, unnest(range(0, cast(hi as bigint) + 1, 5)) as t from sp) left join (select user_id, cast(t as bigint) as t, n from cn) using (user_id, t)), "
+_LADDER = _SCORES + _ladder_sql("la", RUNGS) + _ladder_sql("lf", RUNGS[-1:])
+_LADDER_LISTS = _LADDER + "ll as (select user_id, list({'a': cast(a as double), 'b': cast(b as double)} order by a) as er from la group by 1), lz as (select user_id, list({'a': cast(a as double), 'b': cast(b as double)} order by a) as fr from lf group by 1), "
+
+
+def _near(e, win, n):
+    return _lin(f"greatest(lo, {e} - {win})", f"least(hi, {e} + {win})", n)
+
+
+def _edge_wish(kind, uni):
+    """One edge, looked for again in fr; e0 is the edge, z the weaker runs near it."""
+    rest = 32 - uni
+    e0 = f"(case when {kind} = 'last' then er[-1].b else er[1].a end)"
+    z = f"list_filter(fr, lambda r: r.b >= {e0} - 90 and r.a <= {e0} + 90)"
+    again = f"(case when {kind} = 'last' then least(({z})[-1].b, {e0} + 90) else greatest(({z})[1].a, {e0} - 90) end)"
+    return f"case when len(er) > 0 and {kind} in ('first', 'last') then list_concat({_lin('lo', 'hi', str(uni))}, case when len({z}) > 0 then {_near(again, 45, str(rest))} else {_near(e0, 90, str(rest))} end) end"
+
+
+def _several_wish(kind):
+    es = f"(case when {kind} = 'last' then list_reverse([r.b for r in er]) else [r.a for r in er] end)[1:3]"
+    per = f"greatest(2, 28 // len({es}))"
+    return f"case when len(er) > 0 then list_concat({_lin('lo', 'hi', '4')}, case when len(er) > 1 then flatten([{_near('e', 60, per)} for e in {es}]) else {_near(f'({es})[1]', 60, '28')} end) end"
+
+
+_PARITY = "(case when user_id % 2 = 0 then 'first' else 'last' end)"
+_WITH_RUNS = _LADDER_LISTS + "wj as (select wi.*, 0.0::double as lo, coalesce(er, []) as er, coalesce(fr, []) as fr from wi left join ll using (user_id) left join lz using (user_id)), "
+
+
+def _edges_sql(wish):
+    return _rules_sql(wish, _WITH_RUNS).replace(" as w from wi), gt", " as w from wj), gt") + "select user_id, array_to_string([cast(round_even(x, 0) as bigint) for x in p], ',') as t from tk"
+
+
+def _taken(w, lo):
+    """The wish of one route brought to 32 places from ``lo`` to hi, as a list or null."""
+    got = f"list_sort(list_distinct([round(round_even((least(greatest(x, {lo}), hi) - {lo}) / 5.0::double, 0) * 5.0::double + {lo}, 3) for x in w]))"
+    return (
+        f"(select case when len(got) > 32 then {_even('got', 32)} when len(got) < 32 then list_sort(list_distinct(list_concat(got, {_even('rest', 'least(32 - len(got), len(rest))')}))) else got end "
+        f"from (select got, list_filter({_dense(lo, 'hi')}, lambda x: not list_contains(got, x)) as rest from (select {got} as got from (select {w} as w) where len(w) > 0)))"
+    )
+
+
+def _drawn(runs, uniform, focus=None):
+    """Points towards runs: every grid place within 30 s of one, by the inverse of the cumulative weight."""
+    m = 32 - uniform
+    seen = f"[case when len(list_filter({runs}, lambda r: x >= r.a - 30 and x <= r.b + 30)) > 0 then 1.0::double else 0.0::double end for x in secs]"
+    both = seen if focus is None else f"(select case when list_max(z) > 0 then z else y end from (select [y[i] * {focus} for i in range(1, len(y) + 1)] as z, y from (select {seen} as y)))"
+    return (
+        f"(select case when len(got) < 32 then list_sort(list_distinct(list_concat(got, {_even('rest', 'least(32 - len(got), len(rest))')}))) else got end from (select got, list_filter(secs, lambda x: not list_contains(got, x)) as rest from "
+        f"(select secs, list_sort(list_distinct([round(round_even((x - lo) / 5.0::double, 0) * 5.0::double + lo, 3) for x in list_concat({_lin('lo', 'hi', str(uniform))}, [secs[least(len(list_filter(cdf, lambda c: c < (i + 0.5::double) / {m})), len(secs) - 1) + 1] for i in range({m})])])) as got from "
+        f"(select secs, [list_sum(y[1:i]) / list_sum(y) for i in range(1, len(y) + 1)] as cdf from (select secs, {both} as y) where list_sum(y) > 0)))) "
+    )
+
+
+def _dispatch_sql():
+    a, b = "list_min(anchors)", "list_max(anchors)"
+    snap = lambda pts: f"list_sort(list_distinct([round(least(greatest(round_even(x / 5.0::double, 0), 0), floor(hi / 5.0::double + 1e-9)) * 5.0::double, 3) for x in {pts}]))"
+    bridge = snap(f"[least(greatest(x, 0.0::double), hi) for x in list_concat({_lin(f'{a} - 30', f'{a} + 30', '11')}, {_lin(f'{b} - 30', f'{b} + 30', '11')}, case when {b} > {a} then ({_lin(a, b, '12')})[2:11] else [] end)]")
+    time, kind = "regexp_matches(q, '(?i)\\bwhen\\b')", "(case when regexp_matches(q, '(?i)\\bfirst\\b') then 'first' when regexp_matches(q, '(?i)\\blast\\b') then 'last' else 'other' end)"
+    between = "regexp_matches(q, '(?i)\\bbetween\\b')"
+    part = lambda t: f"floor({t} / (hi / 4 + 1e-9))"
+    same_part = f"(case when {part('secs[i]')} = {part('anchors[1]')} then 1.0::double else 0.0::double end)"
+    uniform = _lin("lo", "hi", "32")
+    put = f"(select case when len(anchors) = 0 then u when len(anchors) = 1 then {{one}} end from (select {uniform} as u))"
+    one = "[case when i = list_position([abs(x - least(greatest(anchors[1], lo), hi)) for x in u], list_min([abs(x - least(greatest(anchors[1], lo), hi)) for x in u])) then least(greatest(anchors[1], lo), hi) else u[i] end for i in range(1, len(u) + 1)]"
+    onto = lambda pts: f"list_sort(list_distinct([round(lo + least(greatest(round_even((x - lo) / 5.0::double, 0), 0), floor((hi - lo) / 5.0::double + 1e-9)) * 5.0::double, 3) for x in {pts}]))"
+    routes = [
+        ("between", f"case when len(anchors) >= 2 and {between} and least({b}, hi) > greatest({a}, 0) then {snap(_lin(f'greatest({a}, 0)', f'least({b}, hi)', '32'))} end"),
+        ("bridge", f"case when len(anchors) >= 2 and not {between} and len({bridge}) >= 8 then {bridge} end"),
+        ("edge", f"case when {time} and {kind} in ('first', 'last') then {_taken(_edge_wish(kind, 8), 'lo')} end"),
+        ("classes", f"case when {time} and contains(q, 'Clip') and contains(q, 'Sponge') and len(any_runs) > 0 and hi > lo then {_drawn('any_runs', 8)} end"),
+        ("weak", f"case when not {time} and len(anchors) = 0 and len(runs) > 0 and hi > lo then {_drawn('runs', 16)} end"),
+        ("phase", f"case when len(anchors) > 0 and len(runs) > 0 and hi > lo then {_drawn('runs', 8, same_part)} end"),
+        ("seen", f"case when {time} and len(runs) > 0 and hi > lo then {_drawn('runs', 8)} end"),
+        ("uniform", onto(f"(case when hi <= lo then [(lo + hi) / 2] else {put.format(one=one)} end)")),
+    ]
+    head = _rules_sql(None, _LADDER_LISTS)
+    lo = f"case when {time} and regexp_matches(q, '(?i)\\bafter\\b') and len(anchors) = 1 and anchors[1] > 0 and anchors[1] < hi then round_even(anchors[1] / 5.0::double, 0) * 5.0::double else 0.0::double end"
+    cols = ", ".join(f"{sql} as r_{name}" for name, sql in routes)
+    # correlated lists are laid out as columns first
+    return (
+        head + f", dx as (select wi.*, {lo} as lo, coalesce(er, []) as er, coalesce(fr, []) as fr, tk.p as r_rule from wi join tk using (user_id) left join ll using (user_id) left join lz using (user_id)), "
+        f"dy as (select *, [round(lo + k * 5.0::double, 3) for k in range(cast(floor((hi - lo) / 5.0::double + 1e-9) as bigint) + 1)] as secs from dx), dz as (select user_id, hi, rule, r_rule, {cols} from dy) "
+        "select user_id, cast(hi as bigint) as hi, case when r_rule is not null then rule " + " ".join(f"when r_{n} is not null then '{n}'" for n, _ in routes) + " end as route, "
+        "array_to_string([cast(round_even(x, 0) as bigint) for x in coalesce(r_rule, " + ", ".join(f"r_{n}" for n, _ in routes) + ")], ',') as t from dz"
+    )
+
+
 _AT = "case when regexp_matches(q, '(?i)\\bfirst\\b') then runs[1].a when regexp_matches(q, '(?i)\\blast\\b') then runs[-1].b end"
 _EDGE = f"case when {_AT} is not null then list_concat({_even(_dense(f'({_AT} - 90)', f'({_AT} + 90)'), 28)}, {_lin('0.0::double', 'hi', '4')}) end"
 QUERIES = {
@@ -357,5 +518,8 @@ QUERIES = {
     "smp_config_draw": (smp_config_draw, "select cast('0x' || substr(md5('cfg:' || doc_id), 1, 7) as bigint) % 5 as cfg, count(*) as n from documents group by 1"),
     "smp_rules": (smp_rules, _rules_sql() + "select user_id, cast(hi as bigint) as hi, rule, cast(len(p) as integer) as n, array_to_string([cast(round_even(x, 0) as bigint) for x in p], ',') as t from tk"),
     "smp_edge_alloc": (smp_edge_alloc, _rules_sql(_EDGE) + "select user_id, array_to_string([cast(round_even(x, 0) as bigint) for x in p], ',') as t from tk"),
-    "smp_rule_dispatch": (smp_rule_dispatch, None),
+    "smp_ladder_runs": (smp_ladder_runs, _rules_sql(None, _LADDER) + "select user_id, rung, a, b from la"),
+    "smp_edge_ladder": (smp_edge_ladder, _edges_sql(_edge_wish(_PARITY, 8))),
+    "smp_edge_several": (smp_edge_several, _edges_sql(_several_wish(_PARITY))),
+    "smp_rule_dispatch": (smp_rule_dispatch, _dispatch_sql()),
 }

@@ -25,11 +25,14 @@ class Steps:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written and read back, so that what builds on it survives a lost executor and is made once."""
+    def __call__(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """``df`` written and read back, so that what builds on it survives a lost executor and is made once.
+
+        ``by``: columns whose values get folders of their own, which a filter on them then reads alone.
+        """
         path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         self.paths.append(path)
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self, keep: int = 0) -> None:

@@ -12,8 +12,9 @@
    circle, from a seeded start. So most documents are taken whole, and those at the ends in part.
 
 Nulls, ties and the like: a null text has size 0 and is taken 0 times; a null source is a source of
-its own, after all others; repeated rows are rows like any other; rows that agree in id and size are
-interchangeable; an empty table gives an empty result. The operator reads ``doc_id``, ``text`` and
+its own, after all others; repeated rows are rows like any other; rows that agree in id, source and size
+are interchangeable, and are numbered, so that a row of many copies spreads over all shards of its source;
+an empty table gives an empty result. The operator reads ``doc_id``, ``text`` and
 ``source`` and carries no other column.
 """
 
@@ -27,6 +28,8 @@ from tidemark.llm.common import WORD, join_small, seats, staged
 
 #: Children of one apportionment.
 FANOUT = 512
+#: Equal rows that one task lays out at once.
+LOTS = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -66,8 +69,14 @@ def mix(
     shard_words: int = 1 << 16,
     seed: int = 17,
 ) -> DataFrame:
-    """Returns doc_id, size, source_size, target, taken, and shard (its shard in its source)."""
+    """Returns doc_id, size, source_size, target, taken, shard (its shard in its source), source, and number (of
+    its equals in id, source and size)."""
     sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    # equals as one row with their count, then numbered; the numbers of many equals are laid out by many tasks
+    equals = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    lots = equals.where(F.col("n") > LOTS).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LOTS)))).repartition("lot")
+    lots = equals.where(F.col("n") <= LOTS).withColumn("lot", F.lit(0).cast("long")).unionByName(lots)
+    sized = lots.select("doc_id", "source", "size", F.explode(F.sequence(F.col("lot") * LOTS + 1, F.least("n", (F.col("lot") + 1) * LOTS))).alias("number"))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sources, weights, total_share, max_repeat)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long")
@@ -85,8 +94,8 @@ def mix(
     plan = staged(join_small(plan, quotas, ["source"]), "mix-sources")
 
     # documents to shards: a hash of the id, so a source of any size has even shards
-    key = F.xxhash64(F.lit(seed), "doc_id", "size")
-    dealt = join_small(sized, plan.drop("rest"), ["source"]).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.col("n_shards")))
+    key = F.xxhash64(F.lit(seed), "doc_id", "size", "number")
+    dealt = join_small(sized, plan.drop("rest"), ["source"]).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size", "number"), F.col("n_shards")))
     shards = staged(dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")), "mix-shards")
     shards = join_small(shards, plan.select("source", "blocks", "n_shards"), ["source"])
     most = plan.agg(F.max("n_shards")).first()[0] or 1
@@ -109,7 +118,7 @@ def mix(
 
     # a run of blocks in a circle: [first, first + blocks) of the shard's n_blocks
     place = W.partitionBy("source", "shard")
-    placed = dealt.withColumn("end", F.sum("size").over(place.orderBy(key, "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))).withColumn("shard_size", F.sum("size").over(place))
+    placed = dealt.withColumn("end", F.sum("size").over(place.orderBy(key, "doc_id", "size", "number").rowsBetween(W.unboundedPreceding, 0))).withColumn("shard_size", F.sum("size").over(place))
     right = chosen.select(F.col("source").alias("s"), F.col("shard").alias("sh"), F.col("node_blocks").alias("shard_blocks"))
     placed = placed.join(right, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("sh")), "left")
     n_blocks = F.greatest(F.ceil(F.col("shard_size") / F.lit(block_words)), F.lit(1)).cast("long")
@@ -122,20 +131,45 @@ def mix(
         return F.greatest(F.least(F.col("end"), b) - F.greatest(start, a), F.lit(0))
 
     run = overlap(first, F.least(last, around)) + overlap(F.lit(0), last - around)
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.coalesce(run, F.lit(0))).cast("long").alias("taken"), "shard")
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.coalesce(run, F.lit(0))).cast("long").alias("taken"), "shard", "source", "number")
 
 
 def mixed(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
-    """The mix itself, whole documents: each as often as the words it gives, rounded by a hash of its id
+    """The mix itself, whole documents: each as often as the words it gives, rounded by a hash of the row
     so that the expected words are those taken. Its rows have the columns of ``docs``.
 
-    A doc_id that repeats is counted by all its rows alike: they are repeated as the first of them is.
+    A row whose doc_id names no other gets its copies by that. Of rows that repeat an id, or have none, those that
+    agree in source and size share the copies of their group in the order of their digests: equal rows get equally
+    many, and what is over goes to one of them.
     """
-    taken = mix(docs, seed=seed, **options).where("taken > 0")
-    draw = (F.pmod(F.xxhash64(F.lit(seed + 3), "doc_id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    spark = docs.sparkSession
+    taken = mix(docs, seed=seed, **options)
+    draw = (F.pmod(F.xxhash64(F.lit(seed + 3), "doc_id", "source", "size", "number"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     whole = F.floor(F.col("taken") / F.col("size"))
-    copies = (whole + (draw < F.col("taken") / F.col("size") - whole).cast("int")).cast("int")
-    counts = taken.select("doc_id", copies.alias("__copies")).groupBy("doc_id").agg(F.max("__copies").alias("__copies")).where("__copies > 0")
-    key = docs["doc_id"].eqNullSafe(F.col("__id"))
-    rows = docs.join(counts.withColumnRenamed("doc_id", "__id"), key, "inner")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    copies = F.when(F.col("taken") > 0, whole + (draw < F.col("taken") / F.col("size") - whole).cast("int")).otherwise(0).cast("long")
+    groups = staged(taken.select("doc_id", "source", "size", copies.alias("copies")).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "mix-copies")
+    ids = groups.groupBy("doc_id").agg(F.sum("rows").alias("rows"), F.sum("copies").alias("__copies"))
+    alone = ids.where("doc_id is not null and rows = 1 and __copies > 0").select(F.col("doc_id").alias("__id"), F.col("__copies").cast("int").alias("__copies"))
+    rows = docs.join(alone, docs["doc_id"] == F.col("__id"))
+    out = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    again = staged(ids.where("doc_id is null or rows > 1").select(F.col("doc_id").alias("__id")), "mix-again")
+    if not again.limit(1).count():
+        return out
+    own = docs.join(again, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    columns = [f"`{c}`" for c in docs.columns]
+    digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    kinds = own.select(F.struct(*columns).alias("row"), digest.alias("digest"), F.col("doc_id").alias("id"), F.col("source").alias("src"), word_count(F.col("text")).alias("words"))
+    kinds = staged(kinds.groupBy("digest", "id", "src", "words").agg(F.first("row").alias("row"), F.count("*").alias("n")), "mix-kinds")
+    before = F.coalesce(F.sum("n").over(W.partitionBy("id", "src", "words").orderBy("digest").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = kinds.select("digest", "id", "src", "words", "n", before.alias("before"))
+    same = placed["id"].eqNullSafe(groups["doc_id"]) & placed["src"].eqNullSafe(groups["source"]) & (placed["words"] == groups["size"])
+    placed = placed.join(groups, same)
+    base, over = F.floor(F.col("copies") / F.col("rows")), F.col("copies") % F.col("rows")
+    total = F.col("n") * base + F.greatest(F.least(over - F.col("before"), F.col("n")), F.lit(0))
+    counts = placed.select("digest", "id", "src", "words", total.alias("total")).where("total > 0")
+    # a row of very many copies is laid out by many tasks
+    lots = counts.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / LOTS)))).repartition("digest", "lot")
+    given = F.least(F.lit(LOTS), F.col("total") - F.col("lot") * LOTS).cast("int")
+    lots = lots.select(F.col("digest").alias("d"), given.alias("__copies"))
+    more = kinds.join(lots, F.col("digest") == F.col("d")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return out.unionByName(more.select("row.*"))

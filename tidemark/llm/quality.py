@@ -122,7 +122,10 @@ def thresholds(
 ) -> DataFrame:
     """Chosen cutoffs: lang, rule, cutoff, n_good, n_rejected, bound_p. Rows at or above a cutoff go."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") > 0).alias("good"))
-    known = scores(figs.where(~base_failed()).dropDuplicates(["doc_id"])).join(marks, "doc_id").where("score is not null")
+    # of rows that repeat a labelled id, the one of the least figures, however they lie
+    rows = figs.where(~base_failed()).join(marks.select("doc_id"), "doc_id", "left_semi")
+    least = rows.groupBy("doc_id").agg(F.min(F.struct(*[c for c in rows.columns if c != "doc_id"])).alias("f")).select("doc_id", "f.*")
+    known = scores(least).join(marks, "doc_id").where("score is not null")
     known = staged(known.withColumn("holdout", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2)) == 1), "quality-known")
     steps = [1 - 0.5 ** (1 + i * 0.5) for i in range(cutoffs)]
     grid = known.where("not holdout").groupBy("lang", "rule").agg(F.sort_array(F.array_distinct(F.percentile("score", F.array(*map(F.lit, steps))))).alias("cuts"))

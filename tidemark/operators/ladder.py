@@ -42,10 +42,14 @@ def seen_at(df: DataFrame, keys: Keys, t: str, score: str, rungs: list[tuple[flo
     return low.select(*keys, t, F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("rung")).select(*keys, "rung", t)
 
 
-def ladder_runs(df: DataFrame, keys: Keys, t: str, score: str, rungs: list[tuple[float, int]], step: int) -> DataFrame:
-    """Runs of each key at the first rung that has any: keys, rung, a (first time), b (last time)."""
+def rung_runs(df: DataFrame, keys: Keys, t: str, score: str, rungs: list[tuple[float, int]], step: int) -> DataFrame:
+    """Runs of each key at every rung: keys, rung, a (first time), b (last time)."""
     seen = run_starts(seen_at(df, keys, t, score, rungs, step), [*keys, "rung"], t, step)
-    runs = seen.groupBy(*keys, "rung", F.col("run").alias("a")).agg(F.max(t).alias("b"))
+    return seen.groupBy(*keys, "rung", F.col("run").alias("a")).agg(F.max(t).alias("b"))
+
+
+def first_rung(runs: DataFrame, keys: Keys) -> DataFrame:
+    """The runs of the first rung of each key that has any."""
     first = runs.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("rung").alias("_rung"))
     same = [runs[k].eqNullSafe(first[f"_{k}"]) for k in keys]
     return runs.join(first, [*same, runs["rung"] == first["_rung"]]).select(*keys, "rung", "a", "b")

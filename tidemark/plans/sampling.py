@@ -210,21 +210,22 @@ def _scores(s, d):
     return span.join(n, ["user_id", "t"], "left").select("user_id", "t", F.least(F.coalesce("n", F.lit(0)) / 4.0, F.lit(1.0)).alias("score"))
 
 
-def _run_array(runs, name):
-    return runs.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")))).alias(name))
-
-
 def _laddered(s, d):
-    """Scenes with the runs of the first rung and those of the weakest mask."""
-    out = _scenes(s, d)
-    for name, rungs in (("edge_runs", RUNGS), ("fine_runs", RUNGS[-1:])):
-        out = out.join(_run_array(L.ladder_runs(_scores(s, d), ["user_id"], "t", "score", rungs, 5), name), "user_id", "left")
+    """Scenes with the runs of the first rung that has any, and those of the weakest mask, the last rung."""
+    runs = L.rung_runs(_scores(s, d), ["user_id"], "t", "score", RUNGS, 5)
+    pair = F.struct(F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
+    of = lambda rung: F.coalesce(F.array_sort(F.collect_list(F.when(F.col("rung") == rung, pair))), F.array().cast("array<struct<a:double,b:double>>"))
+    lists = runs.groupBy("user_id").agg(*[of(i).alias(f"_r{i}") for i in range(len(RUNGS))])
+    first = F.coalesce(*[F.when(F.size(f"_r{i}") > 0, F.col(f"_r{i}")) for i in range(len(RUNGS))], F.col("_r0"))
+    lists = lists.select("user_id", first.alias("edge_runs"), F.col(f"_r{len(RUNGS) - 1}").alias("fine_runs"))
+    out = _scenes(s, d).join(lists, "user_id", "left")
+    for name in ("edge_runs", "fine_runs"):
         out = out.withColumn(name, F.coalesce(name, F.filter("runs", lambda x: F.lit(False))))
     return out
 
 
 def smp_ladder_runs(s, d):
-    return L.ladder_runs(_scores(s, d), ["user_id"], "t", "score", RUNGS, 5)
+    return L.first_rung(L.rung_runs(_scores(s, d), ["user_id"], "t", "score", RUNGS, 5), ["user_id"])
 
 
 def _edge_kind():
@@ -448,7 +449,7 @@ def _dispatch_sql():
     cols = ", ".join(f"{sql} as r_{name}" for name, sql in routes)
     # correlated lists are laid out as columns first
     return (
-        head + f", dx as (select wi.*, {lo} as lo, coalesce(er, []) as er, coalesce(fr, []) as fr, tk.p as r_rule from wi join tk using (user_id) left join ll using (user_id) left join lz using (user_id)), "
+        head + f", dx as (select wi.*, {lo} as lo, coalesce(er, []) as er, coalesce(fr, []) as fr, tk.r_rule from wi join (select user_id, p as r_rule from tk) tk using (user_id) left join ll using (user_id) left join lz using (user_id)), "
         f"dy as (select *, [round(lo + k * 5.0::double, 3) for k in range(cast(floor((hi - lo) / 5.0::double + 1e-9) as bigint) + 1)] as secs from dx), dz as (select user_id, hi, rule, r_rule, {cols} from dy) "
         "select user_id, cast(hi as bigint) as hi, case when r_rule is not null then rule " + " ".join(f"when r_{n} is not null then '{n}'" for n, _ in routes) + " end as route, "
         "array_to_string([cast(round_even(x, 0) as bigint) for x in coalesce(r_rule, " + ", ".join(f"r_{n}" for n, _ in routes) + ")], ',') as t from dz"

@@ -156,20 +156,27 @@ QUESTIONS = (
 
 
 def _scenes(s, d):
-    """One row per user: runs, counts and first times as arrays; the question is drawn by the user's id."""
-    e = events(s, d).withColumn("t", (F.col("hr") - F.min("hr").over(_U())) * 5)
-    span = e.groupBy("user_id").agg(F.max("t").alias("hi"))
-    runs = lambda rows, name: T.runs(rows.select("user_id", "t").distinct(), ["user_id"], "t", 5).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("double").alias("a"), (F.col("end") - 5).cast("double").alias("b")))).alias(name))
-    own = runs(e.where("cls = 'view'"), "runs")
-    any_ = runs(e, "any_runs")
-    both = runs(e.where("cls = 'view'").select("user_id", "t").distinct().join(e.where("cls = 'click'").select("user_id", "t").distinct(), ["user_id", "t"]), "both_runs")
-    counts = e.where("cls = 'view'").groupBy("user_id", "t").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "n"))).alias("counts"))
-    firsts = e.groupBy("user_id", "cls").agg(F.min("t").alias("t")).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "cls"))).alias("firsts"))
-    out = span
-    for x in (own, any_, both, counts, firsts):
-        out = out.join(x, "user_id", "left")
-    for c in ("runs", "any_runs", "both_runs", "counts", "firsts"):
-        out = out.withColumn(c, F.coalesce(c, F.filter(F.array(F.get(c, F.lit(0))), lambda x: F.lit(False))))
+    """One row per user: runs, counts and first times as arrays; the question is drawn by the user's id.
+
+    Hours are summed once; an hour opens a run of a kind if the one before lacks it, and ends it if the next does.
+    """
+    e = events(s, d)
+    hours = e.groupBy("user_id", "hr").agg(F.count_if(F.col("cls") == "view").alias("n"), F.count_if(F.col("cls") == "click").alias("clicks"), F.collect_set("cls").alias("classes"))
+    w = _U().orderBy("hr")
+    hours = hours.withColumn("t", (F.col("hr") - F.min("hr").over(_U())) * 5)
+    masks = {"runs": F.col("n") > 0, "any_runs": F.lit(True), "both_runs": (F.col("n") > 0) & (F.col("clicks") > 0)}
+    aggs = [F.max("t").alias("hi"), F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("t", "n")))).alias("counts"), F.array_sort(F.collect_list(F.struct("t", "classes"))).alias("seen")]
+    for name, mask in masks.items():
+        hours = hours.withColumn(f"_{name}", mask)
+    for name in masks:
+        beside = lambda step: F.coalesce((step("hr").over(w) - F.col("hr") == (1 if step is F.lead else -1)) & step(f"_{name}").over(w), F.lit(False))  # noqa: B023, E731
+        hours = hours.withColumn(f"_{name}_a", F.when(F.col(f"_{name}") & ~beside(F.lag), F.col("t").cast("double"))).withColumn(f"_{name}_b", F.when(F.col(f"_{name}") & ~beside(F.lead), F.col("t").cast("double")))
+        aggs.append(F.zip_with(F.array_sort(F.collect_list(f"_{name}_a")), F.array_sort(F.collect_list(f"_{name}_b")), lambda x, y: F.struct(x.alias("a"), y.alias("b"))).alias(name))
+    out = hours.groupBy("user_id").agg(*aggs)
+    # the first time of each class, in the order of time and name
+    marks = F.flatten(F.transform("seen", lambda x: F.transform(F.array_sort(x["classes"]), lambda c: F.struct(x["t"].alias("t"), c.alias("cls")))))
+    new = F.filter("_marks", lambda m, i: ~F.exists(F.slice("_marks", F.lit(1), i), lambda z: z["cls"] == m["cls"]))
+    out = out.withColumn("_marks", marks).withColumn("firsts", new).drop("_marks", "seen")
     q = F.element_at(F.array(*map(F.lit, QUESTIONS)), (F.pmod("user_id", F.lit(len(QUESTIONS))) + 1).cast("int"))
     q = F.replace(F.replace(q, F.lit("{a}"), M.hhmmss(F.col("hi") * 0.25)), F.lit("{b}"), M.hhmmss(F.col("hi") * 0.75))
     return out.withColumn("q", q)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import quadrant, seeded
 from tidemark.operators.ranks import hashed_places
+from tidemark.staging import Steps
 
 QUADRANTS = ("top/left", "top/right", "bottom/left", "bottom/right")
 
@@ -62,11 +63,39 @@ def families(frames: DataFrame, frame: str, gap: float = 0.03) -> DataFrame:
 
 
 def quota_sample(rows: DataFrame, frame: str, family: str, quotas: Column, per_frame: int, seed: str) -> DataFrame:
-    """At most the quota of each family and ``per_frame`` rows of each frame, drawn by seed."""
+    """A seeded choice of at most the quota of each family and ``per_frame`` rows of each frame: no family stays
+    short while a row of it is left whose frame has room.
+
+    In each round the families offer as many of their rows as they still lack, in seeded order, and every frame accepts
+    what it has room for; rows of full frames go. Rounds end when no family that lacks rows has any to offer. A
+    round that accepts nothing cannot be: whatever is offered has a frame with room. ``quotas`` depends on the family;
+    rows are told apart by frame, family and subject.
+    """
+    steps = Steps(rows.sparkSession)
     key = F.concat_ws("|", frame, family, "subject")
-    drawn = hashed_places(rows, [family], seeded(seed, key), "_rk").where(F.col("_rk") <= quotas)
-    again = F.row_number().over(W.partitionBy(frame).orderBy(seeded(seed + "f", key)))
-    return drawn.withColumn("_rk", again).where(F.col("_rk") <= per_frame).drop("_rk")
+    left = steps(rows.withColumn("_key", key).withColumn("_quota", quotas.cast("long")), "quota-rows")
+    chosen, turn = None, 0
+    while True:
+        turn += 1
+        lack, room = F.col("_quota"), F.lit(per_frame)
+        if chosen is not None:
+            of_family = chosen.groupBy(F.col(family).alias("_family")).agg(F.count("*").alias("_has"))
+            of_frame = chosen.groupBy(F.col(frame).alias("_frame")).agg(F.count("*").alias("_held"))
+            gone = chosen.select(F.col("_key").alias("_gone"))
+            left = left.join(of_family, F.col(family).eqNullSafe(F.col("_family")), "left").join(of_frame, F.col(frame).eqNullSafe(F.col("_frame")), "left")
+            lack, room = lack - F.coalesce("_has", F.lit(0)), room - F.coalesce("_held", F.lit(0))
+            left = left.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+        left = steps(left.withColumn("_lack", lack).withColumn("_room", room).where("_lack > 0 and _room > 0").select(*rows.columns, "_key", "_quota", "_lack", "_room"), f"quota-left-{turn}")
+        if not left.limit(1).count():
+            break
+        offers = hashed_places(left, [family], seeded(seed, F.col("_key")), "_rk").where(F.col("_rk") <= F.col("_lack"))
+        order = F.row_number().over(W.partitionBy(frame).orderBy(seeded(seed + "f", F.col("_key"))))
+        accepted = steps(offers.withColumn("_rk", order).where(F.col("_rk") <= F.col("_room")).select(*rows.columns, "_key"), f"quota-chosen-{turn}")
+        chosen = accepted if chosen is None else chosen.unionByName(accepted)
+        left = left.drop("_lack", "_room")
+    out = steps((left.select(*rows.columns) if chosen is None else chosen.select(*rows.columns)), "quota")
+    steps.clear(keep=1)
+    return out
 
 
 def window_facts(events: DataFrame, keys: list[str], t: str, cls: str, span: int) -> DataFrame:

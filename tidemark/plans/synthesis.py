@@ -112,8 +112,20 @@ _EVERY = " union all ".join(
     for k, (_, sql) in QUERIES.items() if sql and k[4:] in ("inst_count", "class_diversity", "class_count", "list_all", "single_object", "same_class", "co_occur", "quad_to_class", "class_to_quad", "closest_center", "positions_all", "quad_populated", "quad_not_populated")
 )
 QUERIES["syn_frame_families"] = (syn_frame_families, f"with every as ({_EVERY}) select family, form, count(*) as n, count(distinct answer) as answers from every group by 1, 2")
-QUERIES["syn_quota_sample"] = (
-    syn_quota_sample,
-    f"with every as ({_EVERY}), k as (select frame, family, subject, frame || '|' || family || '|' || subject as k from every), r as (select *, row_number() over (partition by family order by md5('q:' || k)) as a from k), "
-    "d as (select *, row_number() over (partition by frame order by md5('qf:' || k)) as b from r where a <= case family when 'class_count' then 50 when 'list_all' then 20 else 30 end) select frame, family, subject from d where b <= 3",
-)
+_QUOTA = "(case family when 'class_count' then 50 when 'list_all' then 20 else 30 end)"
+
+
+def _rounds_sql(rounds=8):
+    """The rounds of offers, one after another; later rounds find nothing to do."""
+    out = f"with every as ({_EVERY}), k0 as materialized (select frame, family, subject, frame || '|' || family || '|' || subject as k from every), ch0 as (select * from k0 where false)"
+    for i in range(1, rounds + 1):
+        out += (
+            f", le{i} as materialized (select k0.*, {_QUOTA} - coalesce(h, 0) as lack, 3 - coalesce(g, 0) as room from k0 left join (select family, count(*) as h from ch{i - 1} group by 1) using (family) left join (select frame, count(*) as g from ch{i - 1} group by 1) using (frame) anti join ch{i - 1} using (k)), "
+            f"of{i} as (select *, row_number() over (partition by family order by md5('q:' || k)) as a from le{i} where lack > 0 and room > 0), "
+            f"ac{i} as materialized (select * from (select *, row_number() over (partition by frame order by md5('qf:' || k)) as b from of{i} where a <= lack) where b <= room), "
+            f"ch{i} as materialized (select * from ch{i - 1} union all select frame, family, subject, k from ac{i})"
+        )
+    return out + f" select frame, family, subject from ch{rounds}"
+
+
+QUERIES["syn_quota_sample"] = (syn_quota_sample, _rounds_sql())

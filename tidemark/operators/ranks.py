@@ -1,4 +1,4 @@
-"""Places in a global order without one task that sorts all rows: counts of ranges first, then places in each."""
+"""Places in a global order without one task that sorts all rows: ranges first, with the places in each, then their counts."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges of a global order.
-RANGES = 64
+from tidemark.staging import Steps
+
+#: Rows of one range of a global order, about.
+RANGE_ROWS = 1 << 20
 
 
 def hashed_places(df: DataFrame, groups: list[str], order: Column, name: str) -> DataFrame:
@@ -26,22 +28,56 @@ def hashed_places(df: DataFrame, groups: list[str], order: Column, name: str) ->
     return out.withColumn(name, F.col("_before") + F.col("_in")).select(*df.columns, name)
 
 
-def ranges_of(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """Adds the number of the value's range; equal values share one. Ranges come from approximate quantiles."""
-    cuts = df.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10_000).alias("_cuts"))  # one row
-    rows = df.crossJoin(F.broadcast(cuts))
-    return rows.withColumn(name, F.size(F.filter(F.coalesce("_cuts", F.array().cast(dict(cuts.dtypes)["_cuts"])), lambda c: c < value))).drop("_cuts")
+def _ordered(df: DataFrame, groups: list[str], order: list[Column], steps: Steps) -> DataFrame:
+    """``df`` in ranges of (groups, order), written with _part (the range) and _in (the place in it, from 0).
+
+    There are as many ranges as shuffle partitions, and more where rows are many. Ranges end anywhere in the order, so
+    rows of one value, or one group, take as many as they need if the order tells them apart.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
+    names = [f"_o{i}" for i in range(len(order))]
+    rows = df.select("*", *[c.alias(n) for n, c in zip(names, order)])
+    rows = rows.repartitionByRange(parts, *[F.col(g) for g in groups], *names).sortWithinPartitions(*groups, *names)
+    low = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return steps(rows.select(*df.columns, F.spark_partition_id().alias("_part"), low.alias("_in")), "ranges")
+
+
+def _bounds(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """One row per range and group: its rows, the first one's place in the range, the group's rows in ranges before and in all."""
+    per = rows.groupBy(*groups, "_part").agg(F.count("*").alias("_n"), F.min("_in").alias("_first"))
+    w = W.partitionBy(*groups)
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return per.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_part").alias("_range"), "_n", "_first", before.alias("_before"), F.sum("_n").over(w).alias("_all"))
 
 
-def before_ranges(df: DataFrame, ranged: str, n: Column) -> DataFrame:
-    """(range, sum of n in the ranges before): at most RANGES rows."""
-    sums = df.groupBy(ranged).agg(F.sum(n).alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(W.orderBy(ranged).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return F.broadcast(sums.select(ranged, before.alias("_before")))
+def _with_bounds(rows: DataFrame, bounds: DataFrame, groups: list[str]) -> DataFrame:
+    return rows.join(bounds, [*[F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)], F.col("_part") == F.col("_range")])
 
 
 def places(df: DataFrame, value: Column, tie: list[Column], name: str) -> DataFrame:
-    """Place of each row, from 1, in the order of a number and then of ``tie``."""
-    rows = ranges_of(df.withColumn("_value", value), F.col("_value"), "_range")
-    placed = rows.withColumn("_in", F.row_number().over(W.partitionBy("_range").orderBy("_value", *tie)))
-    return placed.join(before_ranges(rows, "_range", F.lit(1)), "_range").withColumn(name, F.col("_before") + F.col("_in")).select(*df.columns, name)
+    """Place of each row, from 1, in the order of a number and then of ``tie``, which tells rows apart."""
+    steps = Steps(df.sparkSession)
+    rows = _ordered(df, [], [value, *tie], steps)
+    return _with_bounds(rows, F.broadcast(_bounds(rows, [])), []).withColumn(name, F.col("_before") + F.col("_in") - F.col("_first") + 1).select(*df.columns, name)
+
+
+def quantiles(df: DataFrame, groups: list[str], value: str, shares: list[float], name: str) -> DataFrame:
+    """groups and ``name``: the exact quantiles of the group's values, linear between neighbours. Nulls are left out.
+
+    Values lie in ranges of their order; only the ranges that hold a wanted place are looked at again. Equal values may
+    be in several ranges: they are told apart by a number of the row.
+    """
+    steps = Steps(df.sparkSession)
+    own = df.select(*groups, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    # equal values are interchangeable: any spread will do, and the row that gets a place has the same value
+    rows = _ordered(own, groups, [F.col("_v"), F.xxhash64(F.monotonically_increasing_id())], steps)
+    bounds = steps(_bounds(rows, groups), "range-bounds")
+    spots = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("_all") - 1)).alias("at")) for i, q in enumerate(shares)])
+    wanted = bounds.withColumn("_s", F.explode(spots)).withColumn("_place", F.explode(F.array_distinct(F.array(F.floor("_s.at"), F.ceil("_s.at")))))
+    inside = wanted.where("_place >= _before and _place < _before + _n").select(*[c for c in bounds.columns], "_place", "_s")
+    at = F.col("_before") + F.col("_in") - F.col("_first")
+    hits = _with_bounds(rows, inside, groups).where(at == F.col("_place"))
+    ends = hits.groupBy(*groups, F.col("_s.i").alias("_i"), F.col("_s.at").alias("_at")).agg(F.min_by("_v", "_place").alias("_lo"), F.max_by("_v", "_place").alias("_hi"))
+    each = ends.withColumn("_q", F.col("_lo") + (F.col("_at") - F.floor("_at")) * (F.col("_hi") - F.col("_lo")))
+    return each.groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda x: x["_q"]).alias(name))

@@ -9,6 +9,7 @@ from tidemark.functions import stats
 from tidemark.functions.text import coin, seeded
 from tidemark.operators import aggregates as A
 from tidemark.operators import mixing as G
+from tidemark.operators.ranks import quantiles
 from tidemark.operators import relational as R
 from tidemark.operators import serving as V
 from tidemark.operators import splits as D
@@ -218,8 +219,9 @@ def agg_crosstab(s, d):
 
 
 def agg_quantiles(s, d):
-    q = F.percentile("l_extendedprice", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9, 0.99))))
-    t = table(s, d, "lineitem").groupBy("l_returnflag").agg(q.alias("q"), F.stddev_pop("l_quantity").alias("sd"))
+    rows = table(s, d, "lineitem")
+    q = quantiles(rows, ["l_returnflag"], "l_extendedprice", [0.25, 0.5, 0.75, 0.9, 0.99], "q")
+    t = q.join(rows.groupBy("l_returnflag").agg(F.stddev_pop("l_quantity").alias("sd")), "l_returnflag")
     return t.select("l_returnflag", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p25", "p50", "p75", "p90", "p99"))], F.round("sd", 6).alias("sd"))
 
 

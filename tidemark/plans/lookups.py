@@ -117,7 +117,7 @@ def tl_track_bounds(s, d):
 
 
 def rel_size_numbering(s, d):
-    n = L.numbered_by_size(table(s, d, "part").where("p_size <= 10"), ["p_size", "p_brand"], F.col("p_retailprice"), "p_partkey")
+    n = L.numbered_by_size(table(s, d, "part"), ["p_size", "p_brand"], F.col("p_retailprice"), "p_partkey")
     return n.select("p_partkey", F.col("number").cast("long").alias("number"))
 
 
@@ -161,5 +161,5 @@ QUERIES = {
     "sp_rare_swaps": (sp_rare_swaps, None),
     "flt_route_group": (flt_route_group, "select event_id, event_type as cls from events where event_type in ('purchase', 'signup')"),
     "tl_track_bounds": (tl_track_bounds, "with " + EV + " select user_id, cls, min(hr) as t_min, max(hr) as t_max, array_to_string(list_sort(list(distinct hr)), ',') as times from ev group by 1, 2"),
-    "rel_size_numbering": (rel_size_numbering, "select p_partkey, row_number() over (partition by p_size, p_brand order by p_retailprice desc, p_partkey) as number from part where p_size <= 10"),
+    "rel_size_numbering": (rel_size_numbering, "select p_partkey, row_number() over (partition by p_size, p_brand order by p_retailprice desc, p_partkey) as number from part"),
 }

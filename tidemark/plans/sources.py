@@ -152,11 +152,11 @@ def src_coco(s, d):
 
 
 def src_dumps(s, d):
-    """Two dumps whose ids overlap; their label maps must be equal."""
+    """Two dumps of odd and even parts whose ids overlap; their label maps must be equal."""
     paths = [_path(s, f"dump{i}") for i in range(2)]
-    rows = table(s, d, "part").select(F.pmod("p_partkey", F.lit(500)).alias("id"), F.col("p_size").alias("label"), "p_partkey")
-    rows.where("p_partkey <= 500").select("id", "label").write.json(paths[0])
-    rows.where("p_partkey between 501 and 1000").select("id", "label").write.json(paths[1])
+    rows = table(s, d, "part").select(F.floor(F.col("p_partkey") / 2).alias("id"), F.col("p_size").alias("label"), (F.col("p_partkey") % 2).alias("odd"))
+    for i, path in enumerate(paths):
+        rows.where(F.col("odd") == i).select("id", "label").write.json(path)
     return readers.dumps(s, paths, "id bigint, label int", labels={"d0": {1: "Clip", 2: "Mesh"}, "d1": {2: "Mesh", 1: "Clip"}}).select("source_index", "id", "label")
 
 
@@ -186,8 +186,11 @@ def src_first_candidate(s, d):
 def src_images_sharpness(s, d):
     """Small pictures made of the embeddings' values are written, scanned and scored; those known already are not."""
     root, known = _path(s, "images"), _path(s, "known")
-    e = table(s, d, "embeddings").where("embedding is not null and size(embedding) >= 64").select("vec_id", "embedding")
-    e.select("vec_id", F.concat_ws(" ", F.lit("P2 8 8 255"), F.array_join(F.transform(F.slice("embedding", 1, 64), lambda x: F.least(F.greatest(F.floor(x * 100 + 128), F.lit(0)), F.lit(255)).cast("string")), " ")).alias("value")).repartition(4).write.partitionBy("vec_id").text(root)
+    # eight values to a line, the last line filled with grey; a picture of less than three lines has no inner points
+    e = table(s, d, "embeddings").where("size(embedding) > 16").select("vec_id", "embedding", F.ceil(F.size("embedding") / 8).cast("int").alias("h"))
+    grey = F.transform("embedding", lambda x: F.least(F.greatest(F.floor(x * 100 + 128), F.lit(0)), F.lit(255)).cast("string"))
+    full = F.concat(grey, F.array_repeat(F.lit("128"), F.col("h") * 8 - F.size("embedding")))
+    e.select("vec_id", F.concat_ws(" ", F.lit("P2 8"), F.col("h").cast("string"), F.lit("255"), F.array_join(full, " ")).alias("value")).repartition(4).write.partitionBy("vec_id").text(root)
     s.createDataFrame([], "path string, sharp double").write.parquet(known)
     scored = readers.sharpness(s, root, s.read.parquet(known))
     return scored.select(F.regexp_extract("path", "vec_id=(-?[0-9]+)", 1).cast("long").alias("vec_id"), F.round("sharp", 6).alias("sharp"))
@@ -244,7 +247,7 @@ QUERIES = {
     "src_shards_in_order": (src_shards_in_order, "select count(*) as n, 0 as out_of_order from orders"),
     "src_last_shard": (src_last_shard, "select c_custkey as k, c_custkey * 10 + case when c_custkey % 3 = 0 then 2 when c_custkey % 2 = 0 then 1 else 0 end as v from customer"),
     "src_coco": (src_coco, "select 'v' || (o_custkey % 7) as video, ['Clip', 'Mesh', 'Needle'][o_orderkey % 3 + 1] as name, count(*) as n from orders group by 1, 2"),
-    "src_dumps": (src_dumps, "select cast(case when p_partkey <= 500 then 0 else 1 end as integer) as source_index, p_partkey % 500 as id, p_size as label from part where p_partkey <= 1000"),
+    "src_dumps": (src_dumps, "select cast(p_partkey % 2 as integer) as source_index, p_partkey // 2 as id, p_size as label from part"),
     "src_timeline": (src_timeline, "select event_type as cls, count(*) as n from events group by 1"),
     "src_with_fallback": (
         src_with_fallback,
@@ -256,7 +259,8 @@ QUERIES = {
     ),
     "src_images_sharpness": (
         src_images_sharpness,
-        "with g as (select vec_id, [least(greatest(floor(x::double * 100 + 128), 0), 255) for x in embedding[1:64]] as p from embeddings where len(embedding) >= 64), l as (select vec_id, [4 * p[k + 1] - p[k] - p[k + 2] - p[k - 7] - p[k + 9] for k in [(i // 6 + 1) * 8 + i % 6 + 1 for i in range(36)]] as z from g) "
+        "with g as (select vec_id, cast(ceil(len(embedding) / 8.0) as bigint) as h, list_concat([least(greatest(floor(x::double * 100 + 128), 0), 255) for x in embedding], [128.0::double for i in range(cast(ceil(len(embedding) / 8.0) as bigint) * 8 - len(embedding))]) as p from embeddings where len(embedding) > 16), "
+        "l as (select vec_id, [4 * p[k + 1] - p[k] - p[k + 2] - p[k - 7] - p[k + 9] for k in [(i // 6 + 1) * 8 + i % 6 + 1 for i in range(6 * (h - 2))]] as z from g) "
         "select vec_id, round(list_var_pop(z), 6) as sharp from l",
     ),
     "snk_answers": (snk_answers, 'select cast(o_orderkey as varchar) as "qID", o_orderstatus as content, o_totalprice as latency from orders where o_totalprice > 2'),

@@ -1,20 +1,44 @@
 from pyspark.sql import functions as F
 
-from tidemark.operators import timeline as T
 from tidemark.streaming import thinning as Z
 
 
-def test_stream_thinning_equals_batch(spark, tmp_path, sf):
-    days = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("double")
-    rows = spark.read.parquet(f"{sf}/events.parquet").select("user_id", (days * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60).alias("sec")).where("user_id % 5 = 0")
-    path = str(tmp_path / "in")
-    rows.coalesce(1).write.parquet(path)
-    stream = Z.event_stream(spark, path, rows.schema)
-    q = Z.thinned_stream(stream, "user_id", "sec", 7200.0).writeStream.format("memory").queryName("thin").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
+def fed(spark, tmp_path, batches, **options):
+    """Each batch is a file; files are read one per micro-batch, in order."""
+    src, name = str(tmp_path / "in"), f"fates{abs(hash(str(tmp_path)))}"
+    schema = "k long, t double"
+    q = None
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        if q is None:
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+            q = Z.thinned_stream(stream, "k", "t", **options).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+    q.stop()
+    return sorted((r.k, r.t, r.fate) for r in spark.table(name).collect())
+
+
+def test_out_of_order_and_late_rows_are_accounted_for(spark, tmp_path):
+    batches = [[(1, 0.0), (1, 30.0), (2, 5.0)], [(1, 12.0), (1, 41.0), (1, 33.0)], [(1, 3.0), (1, 100.0), (2, 6.0)], [(1, 50.0), (2, 300.0)]]
+    got = fed(spark, tmp_path, batches, gap=10, delay=20.0)
+    # key 1: settled to 10, then 21, then 80; 12 comes in time, 3 and 50 late; 100 and 300 wait
+    assert [x for x in got if x[0] == 1] == [(1, 0.0, "kept"), (1, 3.0, "late"), (1, 12.0, "kept"), (1, 30.0, "kept"), (1, 33.0, "thinned"), (1, 41.0, "kept"), (1, 50.0, "late")]
+    assert [x for x in got if x[0] == 2] == [(2, 5.0, "kept"), (2, 6.0, "thinned")]
+
+
+def test_idle_keys_are_settled_and_forgotten(spark, tmp_path):
+    import time
+
+    src = str(tmp_path / "in")
+    spark.createDataFrame([(1, 0.0), (1, 4.0), (1, 20.0)], "k long, t double").coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("k long, t double").parquet(src)
+    q = Z.thinned_stream(stream, "k", "t", gap=10, delay=50.0, forget_ms=500).writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    begun, got = time.time(), []
+    while time.time() - begun < 90 and len(got) < 3:  # the timer's batches come by themselves
+        time.sleep(1)
+        got = sorted((r.t, r.fate) for r in spark.table("idle").collect())
     q.stop()
-    got = {(r.user_id, r.sec) for r in spark.table("thin").collect()}
-    assert got == {(r.user_id, r.sec) for r in T.thinned(rows, ["user_id"], "sec", 7200.0).collect()}
+    assert got == [(0.0, "kept"), (4.0, "thinned"), (20.0, "kept")]
 
 
 def test_repeated_batches_replace_themselves(spark, tmp_path, sf):

@@ -218,16 +218,17 @@ def str_answers(s, d):
 
 
 def str_thinned(s, d):
-    """Greedy thinning of the timeline as a stream that has all files at once."""
+    """Greedy thinning of the timeline as a stream that has all files at once and then ends, and its state with it."""
     from tidemark.plans.base import events
     from tidemark.streaming import thinning
 
     src, out, mark = _path(s, "thin-in"), _path(s, "thin-out"), _path(s, "thin-mark")
     events(s, d).select("user_id", "sec").write.parquet(src)
     stream = thinning.event_stream(s, src, s.read.parquet(src).schema)
-    kept = thinning.thinned_stream(stream, "user_id", "sec", 7200)
-    thinning.write_answers(kept, out, mark, once=True).awaitTermination()
-    return s.read.schema("user_id bigint, sec bigint").parquet(out).select("user_id", "sec")
+    fates = thinning.thinned_stream(stream, "user_id", "sec", 7200)
+    thinning.write_answers(fates, out, mark, once=True).awaitTermination()
+    rows = s.read.schema("user_id bigint, sec double, fate string").parquet(out)
+    return rows.where("fate = 'kept'").select("user_id", F.col("sec").cast("long").alias("sec"))
 
 
 QUERIES = {

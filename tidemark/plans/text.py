@@ -135,7 +135,7 @@ def txt_word_replace(s, d):
 
 def txt_distinct_list(s, d):
     rows = table(s, d, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z]+", ",").alias("t"))
-    return rows.select("doc_id", X.distinct_list(F.col("t")).alias("v"))
+    return rows.select("doc_id", F.coalesce(X.distinct_list(F.col("t")), F.lit("")).alias("v"))
 
 
 def txt_canonical_list(s, d):

@@ -63,12 +63,12 @@ def dispatch_routes(s: S.Scene, wide: S.Scene, classes: Column, edge_runs: Colum
     """
     q, two = s.question, F.size(s.anchors) >= 2
     a, b = F.array_min(s.anchors).cast("double"), F.array_max(s.anchors).cast("double")
-    time, kind = F.rlike(q, F.lit(r"(?i)\bwhen\b")), X.edge_kind(q)
+    time, kind = X.found(q, r"(?i)\bwhen\b"), X.edge_kind(q)
     lo, hi = F.greatest(a, wide.lo), F.least(b, wide.hi)
     return [
         *rule_routes(wide),
-        Route("between", two & F.rlike(q, F.lit(r"(?i)\bbetween\b")) & (hi > lo), lambda: S.snapped(S.M.linspace(lo, hi, s.n), wide.lo, wide.hi, s.grid)),
-        Route("bridge", two & ~F.rlike(q, F.lit(r"(?i)\bbetween\b")), lambda: S.bridged(wide)),
+        Route("between", two & X.found(q, r"(?i)\bbetween\b") & (hi > lo), lambda: S.snapped(S.M.linspace(lo, hi, s.n), wide.lo, wide.hi, s.grid)),
+        Route("bridge", two & ~X.found(q, r"(?i)\bbetween\b"), lambda: S.bridged(wide)),
         Route("edge", time & kind.isin("first", "last"), lambda: L.edge_budget(s, edge_runs, kind, 90.0, 0.25, fine=fine_runs, narrow=45.0)),
         Route("classes", time & (classes >= 2), lambda: S.towards(s, s.any_runs, 0.25)),
         Route("weak", ~time & (F.size(s.anchors) == 0), lambda: S.towards(s, s.runs, 0.5)),

@@ -189,8 +189,8 @@ def focused(weights: Column, focus: Column) -> Column:
 def asked_window(question: Column, lo: Column, hi: Column, anchors: Column) -> tuple[Column, Column]:
     """The part of [lo, hi] that a question asks about: between two named times, or from one on."""
     a, b = F.array_min(anchors).cast("double"), F.array_max(anchors).cast("double")
-    two = F.rlike(question, F.lit(r"(?i)\bbetween\b")) & (F.size(anchors) == 2) & (b > a)
-    one = F.rlike(question, F.lit(r"(?i)\bafter\b")) & (F.size(anchors) == 1)
+    two = X.found(question, r"(?i)\bbetween\b") & (F.size(anchors) == 2) & (b > a)
+    one = X.found(question, r"(?i)\bafter\b") & (F.size(anchors) == 1)
     return F.when(two, F.greatest(a, lo)).when(one, F.least(a, hi)).otherwise(lo.cast("double")), F.when(two, F.least(b, hi)).otherwise(hi.cast("double"))
 
 

@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as X
 from tidemark.functions import times as M
 from tidemark.operators import ladder as L
 from tidemark.operators import routing as R
@@ -253,7 +254,7 @@ def smp_edge_several(s, d):
 def smp_rule_dispatch(s, d):
     """The whole choice for each user's question: rule, named window, two times, edge, classes, weak focus, phase, uniform."""
     rows = _laddered(s, d).withColumn("anchors", M.anchors(F.col("q"))).withColumn("hi", F.col("hi").cast("double"))
-    after = F.rlike("q", F.lit(r"(?i)\bwhen\b")) & F.rlike("q", F.lit(r"(?i)\bafter\b")) & (F.size("anchors") == 1) & (F.get("anchors", F.lit(0)) > 0) & (F.get("anchors", F.lit(0)) < F.col("hi"))
+    after = X.found(F.col("q"), r"(?i)\bwhen\b") & X.found(F.col("q"), r"(?i)\bafter\b") & (F.size("anchors") == 1) & (F.get("anchors", F.lit(0)) > 0) & (F.get("anchors", F.lit(0)) < F.col("hi"))
     rows = rows.withColumn("lo", F.when(after, F.bround(F.get("anchors", F.lit(0)) / 5.0) * 5.0).otherwise(F.lit(0.0)))
     wide = _scene()
     own = replace(wide, lo=F.col("lo"))

@@ -1,8 +1,8 @@
 """Edges of a smoothed detection over a ladder of thresholds.
 
-A rung is a threshold and a number of rows k: a row is seen if all of the k rows about it reach the threshold. The
-smallest score of every k rows is found once for each k, by prefixes and suffixes of blocks of k, so that no task
-holds a whole key; all rungs then only compare. The first rung with any run gives the runs.
+A rung is a threshold and a number of rows k: a row is seen if all of the k rows about it reach the threshold. Such
+rows are what is left of a run of rows that reach it when its first and last few are cut off. So runs are found once for
+each threshold, among the rows that reach it, and all rungs are cut from them. The first rung with any run gives the runs.
 """
 
 from __future__ import annotations
@@ -18,41 +18,25 @@ from tidemark.operators.sampling import Scene
 Keys = list[str]
 
 
-def sliding_minima(df: DataFrame, keys: Keys, t: str, score: str, sizes: list[int], step: int) -> DataFrame:
-    """keys, t, size, low: the smallest score of the ``size`` rows from t - (size // 2) on; rows are ``step`` apart,
-    without gaps. Times whose rows are not all there are left out.
+def rung_runs(df: DataFrame, keys: Keys, t: str, score: str, rungs: list[tuple[float, int]], step: int) -> DataFrame:
+    """Runs of each key at every rung (threshold, k), from 0: keys, rung, a (first time), b (last time).
 
-    The rows about a time lie in two neighbouring blocks at most: a suffix of one and a prefix of the next.
+    Rows are ``step`` apart; a time without a row, or with a null score, reaches no threshold. Of k rows about a time
+    k // 2 lie before it, the others at it and behind.
     """
-    rows = df.select(*keys, F.round(F.col(t) / F.lit(step)).cast("long").alias("_i"), F.col(score).alias("_s")).withColumn("size", F.explode(F.array(*map(F.lit, sizes))))
-    rows = rows.withColumn("_block", F.floor(F.col("_i") / F.col("size")))
-    block = W.partitionBy(*keys, "size", "_block")
-    grow = lambda order: F.min("_s").over(block.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("_prefix", grow(F.asc("_i"))).withColumn("_suffix", grow(F.desc("_i")))
-    back, on = F.floor(F.col("size") / 2), F.floor((F.col("size") - 1) / 2)
-    ends = F.array(F.struct((F.col("_i") - on).alias("i"), F.col("_prefix").alias("s")), F.struct((F.col("_i") + back).alias("i"), F.col("_suffix").alias("s")))
-    both = rows.select(*keys, "size", F.explode(ends).alias("_e")).groupBy(*keys, "size", F.col("_e.i").alias("_i")).agg(F.min("_e.s").alias("low"), F.count("*").alias("_n"))
-    return both.where("_n = 2").select(*keys, (F.col("_i") * step).alias(t), "size", "low")
-
-
-def seen_at(df: DataFrame, keys: Keys, t: str, score: str, rungs: list[tuple[float, int]], step: int) -> DataFrame:
-    """keys, rung, t: the times seen at each rung (threshold, k), from 0."""
-    low = sliding_minima(df, keys, t, score, sorted({k for _, k in rungs}), step)
-    marks = F.array(*[F.when((F.col("size") == k) & (F.col("low") >= threshold), F.lit(i)) for i, (threshold, k) in enumerate(rungs)])
-    return low.select(*keys, t, F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("rung")).select(*keys, "rung", t)
-
-
-def rung_runs(df: DataFrame, keys: Keys, t: str, score: str, rungs: list[tuple[float, int]], step: int) -> DataFrame:
-    """Runs of each key at every rung: keys, rung, a (first time), b (last time)."""
-    seen = run_starts(seen_at(df, keys, t, score, rungs, step), [*keys, "rung"], t, step)
-    return seen.groupBy(*keys, "rung", F.col("run").alias("a")).agg(F.max(t).alias("b"))
+    levels = F.array(*[F.lit(float(x)) for x in sorted({x for x, _ in rungs})])
+    at = (F.round(F.col(t) / F.lit(step)).cast("long") * step).alias(t)
+    reached = df.select(*keys, at, F.explode(F.filter(levels, lambda x: F.col(score) >= x)).alias("_level"))
+    runs = run_starts(reached, [*keys, "_level"], t, step).groupBy(*keys, "_level", F.col("run").alias("_from")).agg(F.max(t).alias("_to"))
+    cuts = F.array(*[F.struct(F.lit(i).alias("rung"), F.lit(float(x)).alias("level"), (F.col("_from") + k // 2 * step).alias("a"), (F.col("_to") - (k - 1) // 2 * step).alias("b")) for i, (x, k) in enumerate(rungs)])
+    left = F.filter(cuts, lambda c: (c["level"] == F.col("_level")) & (c["a"] <= c["b"]))
+    return runs.select(*keys, F.explode(left).alias("_c")).select(*keys, "_c.rung", "_c.a", "_c.b")
 
 
 def first_rung(runs: DataFrame, keys: Keys) -> DataFrame:
     """The runs of the first rung of each key that has any."""
-    first = runs.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("rung").alias("_rung"))
-    same = [runs[k].eqNullSafe(first[f"_{k}"]) for k in keys]
-    return runs.join(first, [*same, runs["rung"] == first["_rung"]]).select(*keys, "rung", "a", "b")
+    first = F.min("rung").over(W.partitionBy(*keys))
+    return runs.withColumn("_first", first).where("rung = _first").select(*keys, "rung", "a", "b")
 
 
 def edge_budget(s: Scene, runs: Column, kind: Column, win: float, share: float, several: int = 1, fine: Column | None = None, narrow: float = 0.0) -> Column:

@@ -210,17 +210,20 @@ def smp_edge_alloc(s, d):
 RUNGS = [(0.5, 2), (0.25, 2), (0.25, 1)]
 
 
-def _scores(s, d):
-    """Every hour of a user's time as 5 seconds, with a score."""
-    e = events(s, d).withColumn("t", (F.col("hr") - F.min("hr").over(_U())) * 5)
-    span = e.groupBy("user_id").agg(F.max("t").alias("hi")).select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), "hi", F.lit(5).cast("long"))).alias("t"))
-    n = e.where("cls = 'view'").groupBy("user_id", "t").agg(F.count("*").alias("n"))
-    return span.join(n, ["user_id", "t"], "left").select("user_id", "t", F.least(F.coalesce("n", F.lit(0)) / 4.0, F.lit(1.0)).alias("score"))
+def _rung_runs(s, d):
+    """Runs of every rung, an hour as 5 seconds. An hour without views has a score of 0, which reaches no threshold and
+    needs no row; hours are counted from the user's first once the runs are found."""
+    e = events(s, d)
+    n = e.where("cls = 'view'").groupBy("user_id", (F.col("hr") * 5).alias("t")).agg(F.count("*").alias("n"))
+    runs = L.rung_runs(n.withColumn("score", F.least(F.col("n") / 4.0, F.lit(1.0))), ["user_id"], "t", "score", RUNGS, 5)
+    start = e.groupBy(F.col("user_id").alias("_user")).agg((F.min("hr") * 5).alias("_t0"))
+    runs = runs.join(start, F.col("user_id").eqNullSafe(F.col("_user")))
+    return runs.select("user_id", "rung", (F.col("a") - F.col("_t0")).alias("a"), (F.col("b") - F.col("_t0")).alias("b"))
 
 
 def _laddered(s, d):
     """Scenes with the runs of the first rung that has any, and those of the weakest mask, the last rung."""
-    runs = L.rung_runs(_scores(s, d), ["user_id"], "t", "score", RUNGS, 5)
+    runs = _rung_runs(s, d)
     pair = F.struct(F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
     of = lambda rung: F.coalesce(F.array_sort(F.collect_list(F.when(F.col("rung") == rung, pair))), F.array().cast("array<struct<a:double,b:double>>"))
     lists = runs.groupBy("user_id").agg(*[of(i).alias(f"_r{i}") for i in range(len(RUNGS))])
@@ -233,7 +236,7 @@ def _laddered(s, d):
 
 
 def smp_ladder_runs(s, d):
-    return L.first_rung(L.rung_runs(_scores(s, d), ["user_id"], "t", "score", RUNGS, 5), ["user_id"])
+    return L.first_rung(_rung_runs(s, d), ["user_id"])
 
 
 def _edge_kind():

@@ -90,3 +90,13 @@ def test_checked_parquet_refuses_bad_rows(spark, tmp_path):
         K.checked_parquet(rows, str(tmp_path / "o"), ["v"], {"low": F.col("v") < 3})
     K.checked_parquet(rows, str(tmp_path / "o"), ["v"], {"low": F.col("v") < 2})
     assert spark.read.parquet(str(tmp_path / "o")).count() == 2
+
+
+def test_pictures_with_comments(spark, tmp_path):
+    pixels = " ".join(str(i * i % 50) for i in range(12))
+    (tmp_path / "a.pgm").write_text(f"P2\n# 17\n3 4\n255\n{pixels}\n")
+    (tmp_path / "b.pgm").write_text(f"P2 3 4 255 {pixels}")
+    (tmp_path / "c.pgm").write_text("")
+    (tmp_path / "d.pgm").write_text(f"P2\n# x\n3 4\n255\n{pixels}\nP2\n# P2 y\n3 4\n255\n{pixels}\n")
+    rows = R.sharpness(spark, str(tmp_path)).collect()
+    assert {r.note for r in rows} == {"17", None, "x", "P2 y"} and len(rows) == 4 and len({r.sharp for r in rows}) == 1 and rows[0].sharp > 0

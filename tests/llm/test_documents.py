@@ -761,6 +761,31 @@ def test_families_below_and_above_the_limit_meet_linearly(spark, own, monkeypatc
     assert met.get(400, 0) <= 4 * 400
 
 
+def test_edges_of_a_family_find_its_middle(spark, monkeypatch):
+    """Copies of one text with one to three words changed: those with three link with the text alone, not with each
+    other. They find it among all, so few are left to be compared with the whole family."""
+    met, whole = {}, minhash.met_at
+
+    def counted(heads):
+        out = whole(heads)
+        met[size] = met.get(size, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "met_at", counted)
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(150)]
+    for size in (150, 300):
+        texts = [(0, " ".join(base))]
+        for i in range(1, size):
+            own = list(base)
+            for at in rng.choice(np.arange(5, 145, 5), 1 + i % 3, replace=False):
+                own[at] = f"u{i}x{at}"
+            texts.append((i, " ".join(own)))
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+        assert minhash.near_duplicates(docs, shingle=5).where("component_id = 0").count() == size
+    assert met.get(300, 0) <= 4 * 300
+
+
 # --- all
 
 

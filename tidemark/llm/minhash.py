@@ -10,10 +10,11 @@
    so sets of at most ``SMALL`` shingles also meet by their own digest and those without one shingle, which
    finds every pair of them that differs by one. One bit of each value goes along, so that candidates whose
    bits agree too rarely need no full sets (at 0.8 a chance below 4e-6 to go wrong).
-4. Stars: in the buckets of some bands, then of all, every component sends one member to a hub, a member of
-   the bucket's largest component. Of several hubs of one component the one whose bits agree best is kept,
-   and no more than ``STARS`` per member. Links are confirmed on full sets and components joined. A group of
-   m near copies costs a few pairs per member.
+4. Stars: in the buckets of some bands, then of all, every component sends one member to hubs, members of
+   the bucket's largest component: one is drawn, others are those that meet most nodes in all their buckets, the
+   middle of a family, as what lies at its edge links with the middle alone. Of several hubs of one kind and
+   component one is kept, and no more than ``STARS`` per member and kind. Links are confirmed on full sets and
+   components joined. A group of m near copies costs a few pairs per member.
 5. Rest: what still shares a bucket with another component is compared without all pairs of the bucket. Two
    sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1 of their shingles in any common order;
    the order is by the number of documents that hold a shingle, rarest first. So members outside their
@@ -48,8 +49,10 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049B
 #: Sets of at most so many shingles meet by exact digests too; up to a union of nine shingles, a similarity
 #: of 0.8 leaves room for one shingle of difference.
 SMALL = 9
-#: Pairs that a member of a bucket sends to hubs in one round.
+#: Pairs that a member of a bucket sends to hubs of one kind in one round.
 STARS = 4
+#: Classes of members, by hash, each of which has its own middle of a bucket.
+MIDDLES = 3
 #: Classes of sizes for the rest: each spans a factor of so much.
 SIZE_RATIO = 1.1
 
@@ -200,26 +203,38 @@ def class_nodes(sized: DataFrame, repeated: bool) -> DataFrame:
 
 
 def meeting(nodes: DataFrame) -> DataFrame:
-    """The nodes that share a bucket with another one; of their bands, the buckets that are shared."""
+    """The nodes that share a bucket with another one; of their bands, the buckets that are shared; ``weight``, the
+    members of these, which is largest for the middle of a family."""
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
-    met = spread.join(shared, "bucket").groupBy("node").agg(F.collect_list("bucket").alias("bands"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    met = spread.join(shared, "bucket").groupBy("node").agg(F.collect_list("bucket").alias("bands"), F.sum("members").alias("weight"))
     return nodes.drop("bands").join(met, "node")
 
 
 def star_pairs(now: DataFrame, turn: int, percent: int, permutations: int, of: int) -> DataFrame:
-    """Pairs (a, b) of members and hubs of other components, in the buckets of every ``of``-th band."""
+    """Pairs (a, b) of members and hubs of other components, in the buckets of every ``of``-th band.
+
+    A bucket's hubs are a drawn member and the members of most weight in each of ``MIDDLES`` classes, all of its largest
+    component, and the member of most weight of any component. What lies at the edge of a family links with its middle,
+    but with few of the members that one draws.
+    """
     pick = F.filter("bands", lambda b: F.pmod(F.xxhash64(b), F.lit(of)) == 0)
-    part = now.select(F.explode(pick).alias("bucket"), "root", "node")
-    reps = part.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("x"))
-    hubs = reps.groupBy("bucket").agg(F.max(F.struct("k", "root", "x")).alias("hub"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    pairs = reps.join(hubs, "bucket").where("hub.root <> root").select("root", F.col("hub.root").alias("other"), "x", F.col("hub.x").alias("y")).distinct()
+    part = now.select(F.explode(pick).alias("bucket"), "root", "node", "weight")
+    of_class = lambda node, i: F.pmod(F.xxhash64(F.lit(turn), node), F.lit(MIDDLES)) == i
+    middles = [F.max_by("node", F.when(of_class("node", i), F.struct("weight", "node"))).alias(f"m{i}") for i in range(MIDDLES)]
+    reps = part.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.max(F.struct("weight", "node")).alias("top"), F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("x"), *middles)
+    to = F.array("x", *(f"m{i}" for i in range(MIDDLES)))
+    hubs = reps.groupBy("bucket").agg(F.max(F.struct("k", "top", "root", to.alias("to"))).alias("hub"), F.max(F.struct("top", "root")).alias("middle"), F.count("*").alias("roots")).where("roots > 1")
+    to = F.concat(F.transform("hub.to", lambda y: F.struct(F.col("hub.root").alias("other"), y.alias("y"))), F.array(F.struct(F.col("middle.root").alias("other"), F.col("middle.top.node").alias("y"))))
+    pairs = reps.select("bucket", "root", "x").join(hubs.select("bucket", to.alias("to")), "bucket").select("root", "x", F.posexplode("to").alias("kind", "to"))
+    pairs = pairs.where("to.other <> root and to.y is not null").select("root", "to.other", "x", "to.y", "kind").distinct()
     for k in "xy":
-        pairs = pairs.join(now.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}")), k)
+        pairs = pairs.join(now.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}"), F.col("weight").alias(f"w{k}")), k)
     pairs = pairs.withColumn("differ", _differ(F.col("bx"), F.col("by"))).where(_close(F.col("nx"), F.col("ny"), F.col("differ"), percent, permutations))
-    best = pairs.groupBy("root", "other").agg(F.min(F.struct("differ", "x", "y")).alias("p")).select("p.*")
-    # a member has at most one pair per band
-    best = best.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("differ", "y"))), 1, STARS).alias("to"))
+    heavy = F.when(F.col("kind") > 0, -F.col("wy")).otherwise(0)
+    best = pairs.groupBy("root", "other", "kind").agg(F.min(F.struct(heavy.alias("heavy"), "differ", "x", "y")).alias("p")).select("kind", "p.*")
+    # a member has at most one pair per band and kind of hub
+    best = best.groupBy("x", "kind").agg(F.slice(F.sort_array(F.collect_list(F.struct("differ", "y"))), 1, STARS).alias("to"))
     return best.select("x", F.explode("to").alias("to")).select(F.least("x", "to.y").alias("a"), F.greatest("x", "to.y").alias("b")).distinct()
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, join_small, seats, staged
+from tidemark.llm.common import BROADCAST_ROWS, WORD, join_small, seats, staged
 
 #: Children of one apportionment.
 FANOUT = 512
@@ -150,6 +150,8 @@ def mixed(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     groups = staged(taken.select("doc_id", "source", "size", copies.alias("copies")).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "mix-copies")
     ids = groups.groupBy("doc_id").agg(F.sum("rows").alias("rows"), F.sum("copies").alias("__copies"))
     alone = ids.where("doc_id is not null and rows = 1 and __copies > 0").select(F.col("doc_id").alias("__id"), F.col("__copies").cast("int").alias("__copies"))
+    if alone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        alone = F.broadcast(alone)  # spares a shuffle of all texts
     rows = docs.join(alone, docs["doc_id"] == F.col("__id"))
     out = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
     again = staged(ids.where("doc_id is null or rows > 1").select(F.col("doc_id").alias("__id")), "mix-again")

@@ -23,6 +23,19 @@ def test_qa_rows(spark, tmp_path):
     assert [r.qID for r in got] == ["q5", "q3"]
 
 
+def test_rows_of_one_rank_nest_whatever_their_files(spark, tmp_path):
+    head = "uid,qID,videoID,dataset,fold,track,primary,answer_format,start_time,end_time,duration,ood,clinical,order"
+    rows = [f"d:q{i},q{i},v{i},d,0,FRAME,p,number,0.000,1.500,1.500,0,1,{i // 6}" for i in range(9)]
+    rows.append(rows[0].replace(",v0,", ",v00,"))  # an id that comes twice
+    for name, files in (("up", [rows]), ("down", [rows[::-1]]), ("dealt", [rows[i::3] for i in (2, 0, 1)])):
+        (tmp_path / name).mkdir()
+        for i, own in enumerate(files):
+            (tmp_path / name / f"{i}.csv").write_text("\n".join([head, *own]))
+        for n in range(1, 11):
+            got = R.qa_rows(spark, str(tmp_path / name), track="FRAME", limit=n).collect()
+            assert [r.videoID for r in got] == ["v0", "v00", *[f"v{i}" for i in range(1, 9)]][:n]
+
+
 def test_requests_in_every_wrapping(spark, tmp_path):
     one = {"qID": "1", "question": "?", "extra": 1, "start_time": 0.5}
     for name, body in (("list", [one, {**one, "qID": "2"}]), ("items", {"items": [one]}), ("requests", {"requests": [one]})):

@@ -786,6 +786,29 @@ def test_edges_of_a_family_find_its_middle(spark, monkeypatch):
     assert met.get(300, 0) <= 4 * 300
 
 
+def test_each_turn_joins_its_new_links_alone(spark, monkeypatch):
+    """Pairs of three turns are given; the second and third start from the roots of those before, and without links no
+    components are made."""
+    base = [f"b{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join([*base, f"u{i}"])) for i in range(1, 9)], "doc_id long, text string")
+    fed, turns, whole = [], iter([[(2, 3), (4, 5), (5, 6), (7, 8)], [(3, 6), (2, 5)], [(1, 6)]]), minhash.components
+
+    def counted(links, scratch):
+        fed.append(sorted(map(tuple, links.collect())))
+        return whole(links, scratch)
+
+    given = lambda *_: spark.createDataFrame(next(turns), "a long, b long")
+    monkeypatch.setattr(minhash, "components", counted)
+    monkeypatch.setattr(minhash, "star_pairs", given)
+    monkeypatch.setattr(minhash, "rest_pairs", given)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, shingle=4).collect()}
+    assert got == {**{i: 1 for i in range(1, 7)}, 7: 7, 8: 7}
+    assert fed == [[(2, 3), (4, 5), (5, 6), (7, 8)], [(2, 4)], [(1, 2)]]
+    fed.clear()
+    turns = iter([[], [], []])
+    assert minhash.near_duplicates(docs, shingle=4).where("kept").count() == 8 and not fed
+
+
 # --- all
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import BROADCAST_ROWS, Scratch, fresh_path
+from tidemark.llm.common import BROADCAST_ROWS, Scratch, fresh_path, join_small, tidy
 from tidemark.llm.components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -239,11 +239,12 @@ def star_pairs(now: DataFrame, turn: int, percent: int, permutations: int, of: i
 
 
 def mixed_members(now: DataFrame) -> DataFrame:
-    """(node, minor): members of buckets with several components; minor if outside the largest of one."""
+    """The members of buckets with several components, with ``minor``: outside the largest component of one."""
     part = now.select(F.explode("bands").alias("bucket"), "node", "root")
     per = part.groupBy("bucket", "root").agg(F.count("*").alias("k"))
     mixed = per.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1")
-    return part.join(mixed.select("bucket", "major"), "bucket").groupBy("node").agg(F.max(F.col("root") != F.col("major")).alias("minor"))
+    minor = part.join(mixed.select("bucket", "major"), "bucket").groupBy("node").agg(F.max(F.col("root") != F.col("major")).alias("minor"))
+    return now.join(minor, "node")
 
 
 def rest_heads(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -279,11 +280,10 @@ def met_at(heads: DataFrame) -> DataFrame:
     return x.where("mx").join(y, ["token", "cx", "cy"])
 
 
-def rest_pairs(now: DataFrame, members: DataFrame, sets: DataFrame, percent: int, permutations: int) -> DataFrame:
+def rest_pairs(own: DataFrame, heads: DataFrame, percent: int, permutations: int) -> DataFrame:
     """Pairs (a, b) of two components that share a bucket and a rare shingle; one of them is a minor."""
-    own = now.join(members, "node")
     # a pair of minors meets once, from the larger node
-    pairs = met_at(rest_heads(own, sets, percent)).where("rx <> ry and (not my or x > y)").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    pairs = met_at(heads).where("rx <> ry and (not my or x > y)").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
     # sets of these sizes need so many common shingles; the first of them has as many more behind it
     need = _need(F.col("nx"), F.col("ny"), percent)
     pairs = pairs.where((F.col("ix") <= F.col("nx") - need) & (F.col("iy") <= F.col("ny") - need))
@@ -311,25 +311,37 @@ def near_duplicates(
     held = staged(meeting(nodes), "minhash-meeting")
     sets = staged(full_sets(docs, held.select("node", "doc", "d1", "d2"), shingle, repeated), "minhash-sets")
 
-    links, tested = None, None
-    now, turn = held.withColumn("root", F.col("node")), 0
+    tested, turn = None, 0
+    now = held.withColumn("root", F.col("node"))
 
     def settle(pairs: DataFrame) -> None:
-        """Tests the pairs that were not tested before, and joins components."""
-        nonlocal links, tested, now
-        pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"minhash-pairs{turn}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = confirmed(pairs, sets, percent)
-        links = staged(new if links is None else links.unionByName(new), f"minhash-links{turn}")
-        roots = components(links, staged).withColumnRenamed("node", "__node")
-        now = staged(held.join(roots, F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "node")).drop("__node"), f"minhash-now{turn}")
+        """Tests the pairs that were not tested before, and joins components. Links of earlier turns are in the roots
+        already, so new ones are taken between roots, and a turn without any runs no rounds."""
+        nonlocal tested, now
+        first = tested is None  # every node is its own root
+        pairs = staged(pairs if first else pairs.join(tested, ["a", "b"], "left_anti"), f"minhash-pairs{turn}")
+        tested = pairs if first else tested.unionByName(pairs)
+        links = confirmed(pairs, sets, percent)
+        if not first:
+            for k in "ab":
+                links = links.join(now.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")), k)
+            links = links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+        links = staged(links, f"minhash-links{turn}")
+        tidy(spark)
+        if not links.limit(1).count():
+            return
+        roots = components(links, staged).select(F.col("node").alias("root"), F.col("root").alias("__to"))
+        joined = now.join(roots, "root", "left") if first else join_small(now, roots, ["root"], "left")
+        now = staged(joined.withColumn("root", F.coalesce("__to", "root")).drop("__to"), f"minhash-now{turn}")
+        tidy(spark)
 
     for turn, of in enumerate(star_bands):
         settle(star_pairs(now, turn, percent, permutations, of))
-    members = staged(mixed_members(now), "minhash-members")
-    if members.limit(1).count():
+    own = staged(mixed_members(now), "minhash-members")
+    if own.limit(1).count():
         turn += 1
-        settle(rest_pairs(now, members, sets, percent, permutations))
+        heads = staged(rest_heads(own, sets, percent), "minhash-heads")  # joined with itself: read twice, not planned twice
+        settle(rest_pairs(own, heads, percent, permutations))
 
     # a component bears the smallest doc_id of its classes; the least (doc, digest) stands for it
     roots = now.select("root", "node").where("root <> node")
@@ -342,6 +354,7 @@ def near_duplicates(
     rows = signed.select("doc_id", "n_shingles", "d1", "d2")
     hot = sized.groupBy("d1", "d2").count().where(F.col("count") * 1000 >= max(signed.count(), 1)).select("d1", "d2")
     hot = staged(hot.join(classes, ["d1", "d2"]), "minhash-hot")
+    tidy(spark)
     some = bool(hot.limit(1).count())
     same = ["d1", "d2"]
     cold = rows.join(F.broadcast(hot.select(*same)), same, "left_anti") if some else rows
